@@ -2,13 +2,12 @@
 
 ``rank() over (partition by P order by v desc)`` puts every row of a key in
 one task, and a global ranking (empty P) puts *all* rows in one task.  Here
-the order value is cut into ``n_buckets`` value ranges from approximate
-quantiles (a handful of numbers on the driver), the window runs per
-(P, bucket), and each row adds the number of rows (RANK) or distinct values
-(DENSE_RANK) of its key that sort in earlier buckets.  Equal values always
-land in the same bucket, so ties are ranked exactly as the plain window
-would rank them.  Results are exact; only the balance depends on the
-quantiles.
+the order value is cut into value ranges from approximate quantiles (a
+handful of numbers on the driver), the window runs per (P, bucket), and
+each row adds the number of rows (RANK) or distinct values (DENSE_RANK) of
+its key that sort in earlier buckets.  Equal values always land in the same
+bucket, so ties are ranked exactly as the plain window ranks them.  Results
+are exact; only the balance depends on the quantiles.
 """
 
 from __future__ import annotations
@@ -16,57 +15,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__rank_bucket"
+BUCKET = "__rank_bucket"
 
 
-def _bucket_expr(value: Column, cuts: list[float], descending: bool) -> Column:
-    """Bucket index in sort order; NULL values sort last (Spark's default
-    for DESC and for ASC NULLS LAST) and get their own last bucket."""
-    v = value.cast("double")
-    if descending:
-        # bucket 0 holds the largest values
-        idx = sum((F.when(v < F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    else:
-        idx = sum((F.when(v > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    return F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(idx)
+def quantile_cuts(df: DataFrame, order_col: str, n_buckets: int = 64,
+                  rel_error: float = 0.01) -> list[float]:
+    """n_buckets - 1 approximate quantiles of ``order_col`` (bounded list)."""
+    if n_buckets <= 1:
+        return []
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    return sorted(set(df.approxQuantile(order_col, probs, rel_error)))
 
 
-def bucketed_rank(df: DataFrame, partition_by: list[str], order_col: str,
-                  out_col: str, method: str = "rank", descending: bool = True,
-                  n_buckets: int = 64, rel_error: float = 0.001) -> DataFrame:
-    """Add ``out_col`` = rank/dense_rank of ``order_col`` within
-    ``partition_by`` (may be empty for a global ranking)."""
+def with_value_bucket(df: DataFrame, order_col: str, cuts: list[float],
+                      descending: bool = True) -> DataFrame:
+    """Add the bucket index in sort order, by binary search over the cut
+    points on the JVM (ML ``Bucketizer``; cost O(log #cuts) per row, so the
+    cut list can grow with the cluster).  NULLs sort last (Spark's default
+    for DESC, and ASC NULLS LAST) and get a bucket of their own."""
+    from pyspark.ml.feature import Bucketizer
+
+    value = F.col(order_col)
+    splits = [float("-inf"), *cuts, float("inf")]
+    n = len(splits) - 1
+    tmp = df.withColumn("__rank_v", value.cast("double"))
+    b = Bucketizer(splits=splits, inputCol="__rank_v", outputCol="__rank_b",
+                   handleInvalid="keep").transform(tmp)
+    idx = F.col("__rank_b").cast("int")
+    if descending:  # bucket 0 holds the largest values
+        idx = F.lit(n - 1) - idx
+    return b.withColumn(BUCKET, F.when(value.isNull(), F.lit(n)).otherwise(idx)).drop(
+        "__rank_v", "__rank_b")
+
+
+def rank_within_buckets(b: DataFrame, partition_by: list[str], order_col: str, out_col: str,
+                        method: str = "rank", descending: bool = True) -> DataFrame:
+    """Rank rows of ``b`` (which carries :data:`BUCKET`)."""
     if method not in ("rank", "dense_rank"):
         raise ValueError(method)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(df.approxQuantile(order_col, probs, rel_error))) if n_buckets > 1 else []
     value = F.col(order_col)
-    b = df.withColumn(_BUCKET, _bucket_expr(value, cuts, descending))
-
     order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    w = Window.partitionBy(*partition_by, _BUCKET).orderBy(order)
+    w = Window.partitionBy(*partition_by, BUCKET).orderBy(order)
     fn = F.rank() if method == "rank" else F.dense_rank()
     local = b.withColumn("__local_rank", fn.over(w))
 
-    # Rows (RANK) or distinct values (DENSE_RANK) per (key, bucket): at most
-    # (#keys x n_buckets) rows, then a running sum of the earlier buckets.
-    measure = F.count(F.lit(1)) if method == "rank" else F.count_distinct(value)
-    nulls = F.max(F.when(value.isNull(), 1).otherwise(0)) if method == "dense_rank" else F.lit(0)
-    counts = b.groupBy(*partition_by, _BUCKET).agg(
-        (measure + nulls).alias("__n"))
-    before = Window.partitionBy(*partition_by).orderBy(_BUCKET).rowsBetween(
+    # Rows (RANK) or distinct values (DENSE_RANK; all NULLs are one value)
+    # per (key, bucket): at most #keys x #buckets rows; then the running sum
+    # over the earlier buckets of the same key.
+    if method == "rank":
+        measure = F.count(F.lit(1))
+    else:
+        measure = F.count_distinct(value) + F.max(F.when(value.isNull(), 1).otherwise(0))
+    counts = b.groupBy(*partition_by, BUCKET).agg(measure.alias("__n"))
+    before = Window.partitionBy(*partition_by).orderBy(BUCKET).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.select(*partition_by, _BUCKET,
+    ren = {k: f"__o_{i}" for i, k in enumerate(partition_by)}
+    offsets = counts.select(*[F.col(k).alias(v) for k, v in ren.items()],
+                            F.col(BUCKET).alias("__o_bucket"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     if not partition_by:
-        offsets = F.broadcast(offsets)  # n_buckets + 2 rows: proven bound
-    # Partition keys may be NULL (one NULL group, as in the window): join
-    # null-safely on renamed copies.
-    ren = {k: f"__o_{i}" for i, k in enumerate(partition_by)}
-    offsets = offsets.select(*[F.col(k).alias(v) for k, v in ren.items()],
-                             F.col(_BUCKET).alias("__o_bucket"), "__offset")
-    cond = [local[_BUCKET] == offsets["__o_bucket"]]
+        offsets = F.broadcast(offsets)  # one row per bucket: proven bound
+    # Partition keys may be NULL (one NULL group, as in the window).
+    cond = [local[BUCKET] == offsets["__o_bucket"]]
     cond += [local[k].eqNullSafe(offsets[v]) for k, v in ren.items()]
     joined = local.join(offsets, on=cond, how="inner").drop("__o_bucket", *ren.values())
     return joined.withColumn(out_col, (F.col("__offset") + F.col("__local_rank")).cast("int")).drop(
-        _BUCKET, "__local_rank", "__offset")
+        "__local_rank", "__offset")
+
+
+def bucketed_rank(df: DataFrame, partition_by: list[str], order_col: str, out_col: str,
+                  method: str = "rank", descending: bool = True, n_buckets: int = 64,
+                  cuts: list[float] | None = None) -> DataFrame:
+    """Add ``out_col`` = rank/dense_rank of ``order_col`` within
+    ``partition_by`` (may be empty for a global ranking)."""
+    if cuts is None:
+        cuts = quantile_cuts(df, order_col, n_buckets)
+    b = with_value_bucket(df, order_col, cuts, descending)
+    return rank_within_buckets(b, partition_by, order_col, out_col, method, descending).drop(BUCKET)

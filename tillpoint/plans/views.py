@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.country import normalize_country
 from ..operators.hierarchy import expand_hierarchy
 from ..operators.joins import interval_left_join
-from ..operators.ranking import bucketed_rank
+from ..operators.ranking import BUCKET, quantile_cuts, rank_within_buckets, with_value_bucket
 
 RATIO_DIGITS = 6
 
@@ -115,6 +115,10 @@ def customer_lifetime_value(dim_customer: DataFrame, fact_sales: DataFrame,
 # V4 -------------------------------------------------------------------------
 def product_performance(dim_product: DataFrame, fact_sales: DataFrame,
                         n_buckets: int = 64) -> DataFrame:
+    """Per (product, country) sales with RANK within country and a global
+    DENSE_RANK, both through value-range buckets (operators.ranking) so no
+    single task ranks a whole country or the whole table.  The aggregate is
+    checkpointed once (it is read by the quantile pass and both rankings)."""
     sold = fact_sales.groupBy("product_sk", "country").agg(
         F.sum("line_total").alias("revenue"),
         F.sum("quantity").alias("units"),
@@ -122,8 +126,11 @@ def product_performance(dim_product: DataFrame, fact_sales: DataFrame,
     p = dim_product.select("product_sk", "stock_code", "description")
     s = p.join(sold, "product_sk").select(
         "product_sk", "stock_code", "description", "country", "revenue", "units", "orders")
-    s = bucketed_rank(s, ["country"], "revenue", "country_rank", "rank", n_buckets=n_buckets)
-    return bucketed_rank(s, [], "revenue", "global_rank", "dense_rank", n_buckets=n_buckets)
+    s = s.checkpoint(eager=True)
+    b = with_value_bucket(s, "revenue", quantile_cuts(s, "revenue", n_buckets))
+    b = rank_within_buckets(b, ["country"], "revenue", "country_rank", "rank")
+    b = rank_within_buckets(b, [], "revenue", "global_rank", "dense_rank")
+    return b.drop(BUCKET)
 
 
 # V5 -------------------------------------------------------------------------
