@@ -223,3 +223,24 @@ def date_lit(d) -> str:
 
 def days_back(d, n: int) -> str:
     return f"CAST({date_lit(d)} - INTERVAL {n} DAY AS DATE)"
+
+
+def hu_div(num: str, den: str, scale: int, num_scale: int = 0, out: str | None = None) -> str:
+    """Oracle HALF_UP(num / den) to ``scale`` digits in integer arithmetic.
+    ``num`` may be a DECIMAL with ``num_scale`` digits; ``den`` an integer."""
+    n = f"CAST(round(({num}) * {10 ** num_scale}) AS HUGEINT)" if num_scale else f"CAST(({num}) AS HUGEINT)"
+    d = f"(CAST(({den}) AS HUGEINT) * {10 ** num_scale})"
+    q = f"((2 * abs({n}) * {10 ** scale} + {d}) // (2 * {d}))"
+    val = f"CAST(sign({n}) * {q} AS DECIMAL(38,0)) * {'0.' + '0' * (scale - 1) + '1' if scale else '1'}"
+    res = f"CASE WHEN ({den}) = 0 THEN NULL ELSE {val} END"
+    return f"CAST({res} AS {out})" if out else res
+
+
+FIXTURES["fx_offers"] = """
+  SELECT l_partkey AS product_sk, l_suppkey AS supplier_sk,
+         'SUP' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS supplier_sku,
+         CAST(CAST(p.p_retailprice AS DECIMAL(12,2)) * CAST(40 + l_suppkey % 20 AS DECIMAL(4,0)) * 0.01
+              AS DECIMAL(12,4)) AS unit_cost,
+         1 + (l_partkey + l_suppkey) % 14 AS lead_time_days,
+         10 * (1 + l_suppkey % 5) AS moq
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN part p ON x.l_partkey = p.p_partkey"""

@@ -377,3 +377,23 @@ def dim_category(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string")),
         F.col("s_name"), F.lit(2).cast("bigint"))
     return reduce(DataFrame.union, [roots, mids, leaves])
+
+
+def product_supplier_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier offers per product: every (part, supplier) pair that occurs
+    on a line item, priced at 40-59 % of the retail price."""
+    pairs = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    pct = (F.lit(40) + F.col("l_suppkey") % 20).cast("decimal(4,0)")
+    cost = (F.col("p_retailprice").cast("decimal(12,2)") * pct / F.lit(100)).cast("decimal(12,4)")
+    return pairs.join(p, pairs.l_partkey == p.p_partkey).select(
+        F.col("l_partkey").alias("product_sk"),
+        F.col("l_suppkey").alias("supplier_sk"),
+        F.concat(F.lit("SUP"), F.col("l_suppkey").cast("string"), F.lit("-"),
+                 F.col("l_partkey").cast("string")).alias("supplier_sku"),
+        cost.alias("unit_cost"),
+        (F.lit(1) + (F.col("l_partkey") + F.col("l_suppkey")) % 14).alias("lead_time_days"),
+        (F.lit(10) * (F.lit(1) + F.col("l_suppkey") % 5)).alias("moq"),
+        F.lit(CALENDAR_START).alias("valid_from"),
+        F.lit(None).cast("date").alias("valid_to"),
+    )
