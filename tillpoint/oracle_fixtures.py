@@ -244,3 +244,45 @@ FIXTURES["fx_offers"] = """
          1 + (l_partkey + l_suppkey) % 14 AS lead_time_days,
          10 * (1 + l_suppkey % 5) AS moq
   FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN part p ON x.l_partkey = p.p_partkey"""
+
+
+FIXTURES["fx_events_k"] = f"SELECT *, {K} AS k FROM events"
+
+FIXTURES["fx_address"] = f"""
+  SELECT user_id AS customer_sk, 'Street ' || CAST(k % 2 AS VARCHAR) AS address_line1,
+         'City' || CAST(k % 3 AS VARCHAR) AS address_city, 'R' || CAST(user_id % 4 AS VARCHAR) AS address_region,
+         {_pick('user_id % 3', ['US', 'GB', 'DE'])} AS address_country,
+         lpad(CAST(user_id % 1000 AS VARCHAR), 5, '0') AS address_postal, ts
+  FROM fx_events_k"""
+
+FIXTURES["fx_inventory_feed"] = """
+  SELECT 'WH' || CAST(user_id % 7 AS VARCHAR) AS warehouse_id, 'SKU' || CAST(k % 20 AS VARCHAR) AS sku,
+         CAST(floor(value) AS BIGINT) AS on_hand, k % 10 AS allocated, (epoch_us(ts) // 1000) AS last_updated_ts, ts
+  FROM fx_events_k"""
+
+FIXTURES["fx_price_feed"] = """
+  SELECT 'SKU' || CAST(k % 20 AS VARCHAR) AS sku, 'ST' || CAST(user_id % 10 AS VARCHAR) AS store_id,
+         CAST(value AS DECIMAL(10,2)) AS price,
+         CAST(CAST(value AS DECIMAL(10,2)) * CAST(1.25 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS list_price,
+         CAST(CAST(value AS DECIMAL(10,2)) * CAST(0.6 AS DECIMAL(2,1)) AS DECIMAL(10,2)) AS cost,
+         (epoch_us(ts) // 1000) AS updated_ts, 'rules' AS pricing_engine, ts
+  FROM fx_events_k WHERE event_type IN ('purchase', 'view')"""
+
+FIXTURES["fx_promo_feed"] = """
+  SELECT CAST(user_id AS VARCHAR) AS customer_id, 'P' || CAST(k % 3 AS VARCHAR) AS promo_id,
+         event_type <> 'error' AS eligible, event_type AS eligibility_reason,
+         (epoch_us(ts) // 1000) AS valid_from_ts, (epoch_us(ts + INTERVAL 7 DAY) // 1000) AS valid_to_ts,
+         event_type = 'purchase' AS redeemed, ts
+  FROM fx_events_k"""
+
+FIXTURES["fx_adjustments"] = f"""
+  SELECT event_id AS adjustment_id, user_id % 7 AS warehouse_sk, 'SKU' || CAST(k % 20 AS VARCHAR) AS sku,
+         k - 50 AS quantity_delta, {_pick('k % 4', td.ADJUST_REASONS)} AS reason_code,
+         CAST(NULL AS VARCHAR) AS notes, 'EMP' || CAST(user_id % 13 AS VARCHAR) AS adjusted_by,
+         ts AS adjusted_at,
+         CASE WHEN k % 10 = 0 THEN NULL ELSE 'EMP' || CAST((user_id + k) % 13 AS VARCHAR) END AS approved_by,
+         CASE WHEN k % 10 = 0 THEN NULL ELSE ts + to_minutes(CAST(k AS BIGINT)) END AS approved_at
+  FROM fx_events_k WHERE event_type IN ('error', 'signup', 'view')"""
+
+for _n in ("fx_address", "fx_inventory_feed", "fx_price_feed", "fx_promo_feed", "fx_adjustments"):
+    _DEPS[_n] = ["fx_events_k"]

@@ -397,3 +397,87 @@ def product_supplier_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CALENDAR_START).alias("valid_from"),
         F.lit(None).cast("date").alias("valid_to"),
     )
+
+
+# ------------------------------------------------------- keyed feeds ----
+# Events re-read as keyed change feeds for the state jobs (C*, K*).
+FEED_SPLIT = dt.datetime(2024, 1, 15)   # batch 1 < split <= batch 2
+ADJUST_REASONS = ["DAMAGE", "COUNT", "THEFT", "RETURN"]
+
+
+def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").withColumn("k", _props_k(F.col("props")))
+
+
+def _epoch_ms(c: Column) -> Column:
+    return F.unix_millis(c.cast("timestamp"))
+
+
+def address_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_k(spark, sf_dir)
+    uid = F.col("user_id")
+    return e.select(
+        uid.alias("customer_sk"),
+        F.concat(F.lit("Street "), (F.col("k") % 2).cast("string")).alias("address_line1"),
+        F.concat(F.lit("City"), (F.col("k") % 3).cast("string")).alias("address_city"),
+        F.concat(F.lit("R"), (uid % 4).cast("string")).alias("address_region"),
+        _pick(uid % 3, ["US", "GB", "DE"]).alias("address_country"),
+        F.lpad((uid % 1000).cast("string"), 5, "0").alias("address_postal"),
+        F.col("ts"))
+
+
+def inventory_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_k(spark, sf_dir)
+    return e.select(
+        F.concat(F.lit("WH"), (F.col("user_id") % 7).cast("string")).alias("warehouse_id"),
+        F.concat(F.lit("SKU"), (F.col("k") % 20).cast("string")).alias("sku"),
+        F.floor("value").cast("bigint").alias("on_hand"),
+        (F.col("k") % 10).alias("allocated"),
+        _epoch_ms(F.col("ts")).alias("last_updated_ts"),
+        F.col("ts"))
+
+
+def price_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_k(spark, sf_dir).filter(F.col("event_type").isin("purchase", "view"))
+    price = F.col("value").cast("decimal(10,2)")
+    return e.select(
+        F.concat(F.lit("SKU"), (F.col("k") % 20).cast("string")).alias("sku"),
+        F.concat(F.lit("ST"), (F.col("user_id") % 10).cast("string")).alias("store_id"),
+        price.alias("price"),
+        (price * F.lit(1.25).cast("decimal(3,2)")).cast("decimal(10,2)").alias("list_price"),
+        (price * F.lit(0.6).cast("decimal(2,1)")).cast("decimal(10,2)").alias("cost"),
+        _epoch_ms(F.col("ts")).alias("updated_ts"),
+        F.lit("rules").alias("pricing_engine"),
+        F.col("ts"))
+
+
+def promo_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_k(spark, sf_dir)
+    return e.select(
+        F.col("user_id").cast("string").alias("customer_id"),
+        F.concat(F.lit("P"), (F.col("k") % 3).cast("string")).alias("promo_id"),
+        (F.col("event_type") != "error").alias("eligible"),
+        F.col("event_type").alias("eligibility_reason"),
+        _epoch_ms(F.col("ts")).alias("valid_from_ts"),
+        _epoch_ms(F.timestamp_add("DAY", F.lit(7), F.col("ts"))).alias("valid_to_ts"),
+        (F.col("event_type") == "purchase").alias("redeemed"),
+        F.col("ts"))
+
+
+def inventory_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_k(spark, sf_dir).filter(F.col("event_type").isin("error", "signup", "view"))
+    k, uid = F.col("k"), F.col("user_id")
+    pending = k % 10 == 0
+    return e.select(
+        F.col("event_id").alias("adjustment_id"),
+        (uid % 7).alias("warehouse_sk"),
+        F.concat(F.lit("SKU"), (k % 20).cast("string")).alias("sku"),
+        (k - 50).alias("quantity_delta"),
+        _pick(k % 4, ADJUST_REASONS).alias("reason_code"),
+        F.lit(None).cast("string").alias("notes"),
+        F.concat(F.lit("EMP"), (uid % 13).cast("string")).alias("adjusted_by"),
+        F.col("ts").alias("adjusted_at"),
+        F.when(pending, F.lit(None).cast("string")).otherwise(
+            F.concat(F.lit("EMP"), ((uid + k) % 13).cast("string"))).alias("approved_by"),
+        F.when(pending, F.lit(None).cast("timestamp_ntz")).otherwise(
+            F.timestamp_add("MINUTE", k.cast("int"), F.col("ts"))).alias("approved_at"))
