@@ -73,8 +73,11 @@ def scd2_from_changes(snapshots: DataFrame, keys: list[str], ts_col: str, tracke
     changes = h.filter(F.col("__prev_h").isNull() | (F.col("__prev_h") != F.col("__h")))
     changes = changes.withColumn(
         "change_reason", F.when(F.col("__prev_h").isNull(), F.lit(reason_first)).otherwise(F.lit(reason_change)))
-    changes = next_value(changes, keys, order, ts_col, "eff_to")
-    changes = row_number_in_key(changes, keys, order, "version")
+    # Each two-level step reads its input twice; cutting lineage between
+    # steps (reliable checkpoint in the shared checkpoint folder) keeps the
+    # plan linear and makes a lost executor recompute one step, not all.
+    changes = next_value(changes.checkpoint(eager=True), keys, order, ts_col, "eff_to")
+    changes = row_number_in_key(changes.checkpoint(eager=True), keys, order, "version")
     out = changes.withColumnRenamed(ts_col, "eff_from").withColumn(
         "is_current", F.col("eff_to").isNull()).drop("__h", "__prev_h")
     if key_id:
@@ -91,10 +94,18 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col:
     ``history`` has (keys, tracked, eff_from, eff_to, is_current,
     change_reason, version); ``incoming`` has (keys, tracked, ts_col),
     possibly several snapshots per key (unique per key and ts).  Unchanged
-    snapshots add nothing, so replaying a batch changes nothing.
+    snapshots add nothing, and snapshots at or before the start of a key's
+    open version are ignored (already applied, or late: rebuild with
+    :func:`scd2_from_changes` to place late data), so replaying a batch
+    changes nothing.
     """
+    history = history.checkpoint(eager=True)
+    incoming = incoming.checkpoint(eager=True)
     cur = history.filter(F.col("is_current"))
     closed = history.filter(~F.col("is_current"))
+    start = cur.select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.col("eff_from").alias("__o_from"))
+    incoming = incoming.join(start, [incoming[k].eqNullSafe(start[f"__o_{k}"]) for k in keys], "left")
+    incoming = incoming.filter(F.col("__o_from").isNull() | (F.col(ts_col) > F.col("__o_from")))
     seed = cur.select(*keys, *tracked, F.col("eff_from").alias(ts_col), F.lit(0).alias("__src"),
                       "version", "change_reason")
     inc = incoming.select(*keys, *tracked, ts_col, F.lit(1).alias("__src"),
@@ -105,7 +116,7 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col:
     u = prev_value(u, keys, order, "__h", "__prev_h")
     kept = u.filter((F.col("__src") == 0) | F.col("__prev_h").isNull()
                     | (F.col("__prev_h") != F.col("__h")))
-    kept = next_value(kept, keys, order, ts_col, "eff_to")
+    kept = next_value(kept.checkpoint(eager=True), keys, order, ts_col, "eff_to").checkpoint(eager=True)
     new = row_number_in_key(kept.filter(F.col("__src") == 1), keys, order, "__pos")
     base = cur.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("version").alias("__base"))
     new = new.join(base, [new[k].eqNullSafe(base[f"__b_{k}"]) for k in keys], "left")

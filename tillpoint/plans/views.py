@@ -197,10 +197,19 @@ def sales_rollup_by_region(fact_sales: DataFrame, dim_store: DataFrame, as_of: d
          .select(F.col(fact_key).alias("__fk"), "line_total"))
     s = dim_store.select("store_sk", "region")
     j = f.join(s, f["__fk"] == s["store_sk"])
-    return j.rollup("region", "store_sk").agg(
+    r = j.rollup("region", "store_sk").agg(
         F.sum("line_total").alias("total_revenue"),
         F.count(F.lit(1)).alias("line_count"),
         (F.grouping("region") * 2 + F.grouping("store_sk")).cast("int").alias("grouping_level"))
+    # SQL's ROLLUP yields the grand-total row even over no rows; Spark's
+    # Expand yields nothing then.  Re-derive the grand total from the region
+    # subtotals with a global aggregate, which always returns one row.
+    grand = r.filter(F.col("grouping_level") == 1).agg(
+        F.lit(None).cast("string").alias("region"), F.lit(None).cast("bigint").alias("store_sk"),
+        F.sum("total_revenue").alias("total_revenue"),
+        F.coalesce(F.sum("line_count"), F.lit(0)).cast("bigint").alias("line_count"),
+        F.lit(3).alias("grouping_level"))
+    return r.filter(F.col("grouping_level") != 3).unionByName(grand)
 
 
 # V9 -------------------------------------------------------------------------
