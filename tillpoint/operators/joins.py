@@ -17,24 +17,29 @@ from pyspark.sql import functions as F
 
 
 def interval_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       left_ts: str, right_ts: str, width_days: int = 1) -> DataFrame:
+                       left_ts: str, right_ts: str, width_days: int = 1,
+                       lo_days: int | None = None, hi_days: int | None = None) -> DataFrame:
     """Left outer join keeping every left row; a right row matches when keys
-    are equal and ``left_ts <= right_ts <= left_ts + width_days days`` (both
-    ends inclusive).
+    are equal and ``left_ts + lo_days <= right_ts <= left_ts + hi_days``
+    (both ends inclusive; default lo = 0, hi = ``width_days``).
 
-    Each right row is copied to the ``width_days + 1`` day buckets whose
-    left rows can reach it (its own day and the ``width_days`` days before),
-    and each left row probes only its own day bucket.  A (left, right) pair
-    therefore meets in exactly one bucket: no duplicates, and unmatched left
-    rows get exactly one NULL-extended row from the outer join itself.
+    A right row at day r can only meet left rows of days r - hi .. r - lo,
+    so it is copied to those ``hi - lo + 1`` day buckets and each left row
+    probes only its own day bucket.  A (left, right) pair therefore meets in
+    exactly one bucket: no duplicates, a hot key is split by day, and
+    unmatched left rows get exactly one NULL-extended row from the outer
+    join itself.
     """
-    offsets = F.array(*[F.lit(i) for i in range(width_days + 1)])
+    lo = 0 if lo_days is None else lo_days
+    hi = width_days if hi_days is None else hi_days
+    offsets = F.array(*[F.lit(i) for i in range(lo, hi + 1)])
     r = right.withColumn("__day", F.explode(
         F.transform(offsets, lambda i: F.date_sub(F.to_date(F.col(right_ts)), i))))
     lft = left.withColumn("__lday", F.to_date(F.col(left_ts)))
-    upper = F.timestamp_add("DAY", F.lit(width_days), lft[left_ts])
+    lower = F.timestamp_add("DAY", F.lit(lo), lft[left_ts])
+    upper = F.timestamp_add("DAY", F.lit(hi), lft[left_ts])
     cond = ((lft[left_key] == r[right_key]) & (lft["__lday"] == r["__day"])
-            & (r[right_ts] >= lft[left_ts]) & (r[right_ts] <= upper))
+            & (r[right_ts] >= lower) & (r[right_ts] <= upper))
     return lft.join(r, cond, "left").drop("__lday", "__day")
 
 

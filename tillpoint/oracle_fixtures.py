@@ -136,6 +136,7 @@ FIXTURES["fx_omniture"] = f"""
 
 FIXTURES["fx_shipments"] = f"""
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS shipment_id,
+         'TRK' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS tracking_no,
          CAST(l_orderkey AS VARCHAR) AS invoice_no,
          l_suppkey % 7 AS warehouse_sk,
          {_pick('l_suppkey % 5', td.CARRIERS)} AS carrier,
@@ -286,3 +287,100 @@ FIXTURES["fx_adjustments"] = f"""
 
 for _n in ("fx_address", "fx_inventory_feed", "fx_price_feed", "fx_promo_feed", "fx_adjustments"):
     _DEPS[_n] = ["fx_events_k"]
+
+
+FIXTURES["fx_pos"] = f"""
+  SELECT o_orderkey AS txn_id, 'ST' || CAST(o_custkey % 10 AS VARCHAR) AS store_id,
+         CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS invoice_no,
+         o_orderdate AS txn_ts, o_orderkey % 7 + 1 AS line_count,
+         CAST(o_totalprice AS DECIMAL(14,2)) AS gross_amount,
+         CAST(CAST(o_totalprice AS DECIMAL(14,2)) * CAST(o_orderkey % 5 AS DECIMAL(2,0)) * CAST(0.01 AS DECIMAL(3,2))
+              AS DECIMAL(14,2)) AS discount_amount,
+         CAST(CAST(o_totalprice AS DECIMAL(14,2)) * CAST(0.08 AS DECIMAL(3,2)) AS DECIMAL(14,2)) AS tax_amount,
+         {_pick('o_orderkey % 3', td.TENDERS)} AS tender_type,
+         CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderkey % 17 = 0 END AS void_flag
+  FROM orders"""
+
+FIXTURES["fx_catalog"] = """
+  SELECT 'SKU' || CAST(p_partkey AS VARCHAR) AS sku, 'SUP' || CAST(p_partkey % 50 AS VARCHAR) AS supplier_id,
+         lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS upc,
+         CASE WHEN v = 1 THEN '  ' || p_name || ' ' ELSE upper(p_name) END AS name,
+         CASE WHEN v = 1 THEN lower(p_type) ELSE p_type END AS category, p_brand AS subcategory,
+         CASE WHEN v = 1 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS color,
+         ' ' || CAST(p_size AS VARCHAR) AS size,
+         CASE WHEN v = 1 THEN CAST(CAST(p_retailprice AS DECIMAL(10,2)) * CAST(1.05 AS DECIMAL(3,2)) AS DECIMAL(10,2))
+              ELSE CAST(p_retailprice AS DECIMAL(10,2)) END AS msrp,
+         CAST(CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(10,2)) AS cost,
+         DATE '1995-01-01' + CAST(p_partkey % 4000 AS INTEGER) AS available_from,
+         CASE WHEN p_partkey % 9 = 0 THEN DATE '2000-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS discontinued_at,
+         CASE WHEN v = 1 THEN '20010201' ELSE '20010101' END AS feed_date
+  FROM part, (VALUES (0), (1)) t(v)"""
+
+FIXTURES["fx_tracking"] = f"""
+  SELECT tracking_no,
+         CASE WHEN warehouse_sk % 2 = 0 THEN lower(carrier) ELSE carrier END AS carrier,
+         shipped_ts AS shipped_at, delivered_ts AS delivered_at,
+         CASE WHEN delivered_ts IS NULL THEN 'in_transit' ELSE 'delivered' END AS status,
+         'City' || CAST(warehouse_sk AS VARCHAR) || ', R' || CAST(warehouse_sk % 3 AS VARCHAR) || ' ,'
+           || {_pick('warehouse_sk % 3', ['US', 'GB', 'DE'])} AS last_location,
+         strftime(shipped_ts, '%Y%m%d') AS date_ts
+  FROM fx_shipments"""
+
+FIXTURES["fx_loyalty_raw"] = """
+  SELECT CASE WHEN k % 17 = 0 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS event_ts_str,
+         CAST(user_id AS VARCHAR) AS member_id,
+         CASE WHEN event_type = 'click' THEN 'REDEEM' ELSE 'EARN' END AS event_type,
+         CASE WHEN k % 13 = 0 THEN 'N/A' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS points,
+         'ST' || CAST(user_id % 10 AS VARCHAR) AS store_id, CAST(event_id AS VARCHAR) AS tx_id,
+         CASE WHEN k % 11 = 0 THEN 'garbage' ELSE 'k=' || CAST(k AS VARCHAR) || ';src=app' END AS meta_raw,
+         strftime(ts, '%Y%m%d') AS date_ts
+  FROM fx_events_k WHERE event_type IN ('click', 'purchase')"""
+
+FIXTURES["fx_picks"] = """
+  SELECT 'WH' || CAST(l_suppkey % 7 AS VARCHAR) AS warehouse_id, CAST(l_quantity AS BIGINT) AS quantity,
+         l_shipdate + to_hours(CAST(l_suppkey % 24 AS BIGINT)) AS picked_at,
+         CAST(20000 + (l_partkey % 97) * 1000 AS BIGINT) AS duration_ms
+  FROM lineitem"""
+
+FIXTURES["fx_movements"] = """
+  SELECT 'WH' || CAST(l_suppkey % 7 AS VARCHAR) AS warehouse_id,
+         CASE WHEN l_linestatus = 'O' THEN 'IN' ELSE 'OUT' END AS movement_type,
+         CAST(l_quantity AS BIGINT) AS quantity,
+         l_shipdate + to_hours(CAST(l_partkey % 24 AS BIGINT)) AS movement_ts
+  FROM lineitem"""
+
+FIXTURES["fx_addresses"] = f"""
+  SELECT CAST(c_custkey AS VARCHAR) AS customer_id,
+         'Street ' || CAST(c_custkey % 97 AS VARCHAR) AS addr_line1,
+         'City' || CAST(c_custkey % 50 AS VARCHAR) AS addr_city,
+         'R' || CAST(c_custkey % 4 AS VARCHAR) AS addr_region,
+         {_pick('c_nationkey % 3', ['US', 'GB', 'DE'])} AS addr_country,
+         lpad(CAST(c_custkey % 500 AS VARCHAR), 5, '0') AS addr_postal,
+         c_custkey, c_name, c_mktsegment
+  FROM customer"""
+
+FIXTURES["fx_geo"] = """
+  SELECT DISTINCT addr_country AS country_iso2, CAST(NULL AS VARCHAR) AS city, addr_postal AS postal_code,
+         CAST(CAST(addr_postal AS INTEGER) % 180 - 90 AS DOUBLE) AS latitude,
+         CAST(CAST(addr_postal AS INTEGER) % 360 - 180 AS DOUBLE) AS longitude
+  FROM fx_addresses WHERE CAST(addr_postal AS INTEGER) % 4 <> 0
+  UNION ALL
+  SELECT DISTINCT addr_country, addr_city, CAST(NULL AS VARCHAR),
+         CAST(CAST(substring(addr_city, 5, 3) AS INTEGER) - 45 AS DOUBLE),
+         CAST(CAST(substring(addr_city, 5, 3) AS INTEGER) * 3 AS DOUBLE)
+  FROM fx_addresses WHERE CAST(substring(addr_city, 5, 3) AS INTEGER) % 5 <> 0"""
+
+FIXTURES["fx_signups"] = """
+  SELECT customer_id,
+         ' ' || c_name || CASE WHEN v = 1 THEN '@New.Example.COM ' ELSE '@Example.COM' END AS email,
+         '(555) ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone,
+         'Pat' AS first_name, c_name AS last_name,
+         addr_line1, addr_city, addr_region, addr_country, addr_postal,
+         strftime(DATE '1998-01-01' + CAST(c_custkey % 700 + v * 400 AS INTEGER), '%Y%m%d') AS signup_date
+  FROM fx_addresses, (VALUES (0), (1)) t(v)
+  WHERE v = 0 OR c_custkey % 5 = 0"""
+
+_DEPS["fx_tracking"] = ["fx_shipments"]
+_DEPS["fx_loyalty_raw"] = ["fx_events_k"]
+_DEPS["fx_geo"] = ["fx_addresses"]
+_DEPS["fx_signups"] = ["fx_addresses"]

@@ -481,3 +481,171 @@ def inventory_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("EMP"), ((uid + k) % 13).cast("string"))).alias("approved_by"),
         F.when(pending, F.lit(None).cast("timestamp_ntz")).otherwise(
             F.timestamp_add("MINUTE", k.cast("int"), F.col("ts"))).alias("approved_at"))
+
+
+# ------------------------------------------------------------ raw feeds ----
+# Landing-zone tables (raw layer) derived from the driver's tables, with the
+# dirt the staging jobs exist to clean.
+TENDERS = ["CASH", "CARD", "GIFT"]
+STAGING_AS_OF = dt.date(2001, 8, 1)
+
+
+def pos_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    gross = F.col("o_totalprice").cast("decimal(14,2)")
+    return o.select(
+        key.alias("txn_id"),
+        F.concat(F.lit("ST"), (F.col("o_custkey") % 10).cast("string")).alias("store_id"),
+        F.concat(F.lit("REG"), (key % 4).cast("string")).alias("register_id"),
+        F.concat(F.lit("EMP"), (key % 13).cast("string")).alias("cashier_id"),
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        key.cast("string").alias("invoice_no"),
+        F.col("o_orderdate").alias("txn_ts"),
+        (key % 7 + 1).alias("line_count"),
+        gross.alias("gross_amount"),
+        (gross * (key % 5).cast("decimal(2,0)") * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(14,2)").alias("discount_amount"),
+        (gross * F.lit(0.08).cast("decimal(3,2)")).cast("decimal(14,2)").alias("tax_amount"),
+        _pick(key % 3, TENDERS).alias("tender_type"),
+        F.when(key % 23 == 0, F.lit(None).cast("boolean")).otherwise(key % 17 == 0).alias("void_flag"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("date_ts"))
+
+
+def product_catalog_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feed deliveries per part (the later one re-prices and re-spells)."""
+    p = _read(spark, sf_dir, "part").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    later = F.col("v") == 1
+    price = F.col("p_retailprice").cast("decimal(10,2)")
+    return p.select(
+        F.concat(F.lit("SKU"), F.col("p_partkey").cast("string")).alias("sku"),
+        F.concat(F.lit("SUP"), (F.col("p_partkey") % 50).cast("string")).alias("supplier_id"),
+        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("upc"),
+        F.when(later, F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).otherwise(F.upper("p_name")).alias("name"),
+        F.when(later, F.lower("p_type")).otherwise(F.col("p_type")).alias("category"),
+        F.col("p_brand").alias("subcategory"),
+        F.when(later, F.upper(F.split("p_name", " ").getItem(0))).otherwise(F.split("p_name", " ").getItem(0)).alias("color"),
+        F.concat(F.lit(" "), F.col("p_size").cast("string")).alias("size"),
+        F.when(later, (price * F.lit(1.05).cast("decimal(3,2)")).cast("decimal(10,2)")).otherwise(price).alias("msrp"),
+        (price * F.lit(0.5).cast("decimal(2,1)")).cast("decimal(10,2)").alias("cost"),
+        F.date_add(F.lit(CALENDAR_START), (F.col("p_partkey") % 4000).cast("int")).alias("available_from"),
+        F.when(F.col("p_partkey") % 9 == 0, F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("p_partkey") % 900).cast("int")))
+        .alias("discontinued_at"),
+        F.create_map(F.lit("brand"), F.col("p_brand")).alias("metadata"),
+        F.when(later, F.lit("20010201")).otherwise(F.lit("20010101")).alias("feed_date"))
+
+
+def shipment_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sh = fact_shipments(spark, sf_dir)
+    supp = F.col("warehouse_sk")
+    status = F.when(F.col("delivered_ts").isNull(), F.lit("in_transit")).otherwise(F.lit("delivered"))
+    return sh.select(
+        "tracking_no",
+        F.when(supp % 2 == 0, F.lower("carrier")).otherwise(F.col("carrier")).alias("carrier"),
+        "invoice_no",
+        F.lit(None).cast("string").alias("customer_id"),
+        F.col("shipped_ts").alias("shipped_at"), F.col("delivered_ts").alias("delivered_at"),
+        status.alias("status"),
+        F.concat(F.lit("City"), supp.cast("string"), F.lit(", R"), (supp % 3).cast("string"),
+                 F.lit(" ,"), _pick(supp % 3, ["US", "GB", "DE"])).alias("last_location"),
+        F.timestamp_add("HOUR", F.lit(48), F.col("shipped_ts")).alias("estimated_eta"),
+        F.date_format("shipped_ts", "yyyyMMdd").alias("date_ts"),
+        F.col("carrier").alias("carrier_partition"))
+
+
+def loyalty_events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw.loyalty_events: everything STRING, some rows malformed."""
+    e = _events_k(spark, sf_dir).filter(F.col("event_type").isin("click", "purchase"))
+    k = F.col("k")
+    return e.select(
+        F.when(k % 17 == 0, F.lit("not-a-date")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("event_ts_str"),
+        F.col("user_id").cast("string").alias("member_id"),
+        F.when(F.col("event_type") == "click", F.lit("REDEEM")).otherwise(F.lit("EARN")).alias("event_type"),
+        F.when(k % 13 == 0, F.lit("N/A")).otherwise(F.floor("value").cast("string")).alias("points"),
+        F.concat(F.lit("ST"), (F.col("user_id") % 10).cast("string")).alias("store_id"),
+        F.col("event_id").cast("string").alias("tx_id"),
+        F.when(k % 11 == 0, F.lit("garbage")).otherwise(
+            F.concat(F.lit("k="), k.cast("string"), F.lit(";src=app"))).alias("meta_raw"),
+        F.date_format("ts", "yyyyMMdd").alias("date_ts"))
+
+
+def warehouse_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem")
+    wh = F.concat(F.lit("WH"), (F.col("l_suppkey") % 7).cast("string"))
+    return li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pick_id"),
+        wh.alias("warehouse_id"), F.concat(F.lit("BIN"), (F.col("l_partkey") % 40).cast("string")).alias("bin_id"),
+        F.concat(F.lit("SKU"), F.col("l_partkey").cast("string")).alias("sku"),
+        F.concat(F.lit("EMP"), (F.col("l_orderkey") % 13).cast("string")).alias("picker_id"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.timestamp_add("HOUR", (F.col("l_suppkey") % 24).cast("int"), F.col("l_shipdate")).alias("picked_at"),
+        (F.lit(20000) + (F.col("l_partkey") % 97) * 1000).cast("bigint").alias("duration_ms"),
+        F.date_format("l_shipdate", "yyyyMMdd").alias("date_ts"), wh.alias("warehouse_id_partition"))
+
+
+def inventory_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem")
+    ts = F.timestamp_add("HOUR", (F.col("l_partkey") % 24).cast("int"), F.col("l_shipdate"))
+    return li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("movement_id"),
+        F.concat(F.lit("SKU"), F.col("l_partkey").cast("string")).alias("sku"),
+        F.concat(F.lit("WH"), (F.col("l_suppkey") % 7).cast("string")).alias("warehouse_id"),
+        F.concat(F.lit("BIN"), (F.col("l_partkey") % 40).cast("string")).alias("bin_location"),
+        F.when(F.col("l_linestatus") == "O", F.lit("IN")).otherwise(F.lit("OUT")).alias("movement_type"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        ts.alias("movement_ts"),
+        F.col("l_orderkey").cast("string").alias("reference_doc"),
+        F.concat(F.lit("EMP"), (F.col("l_suppkey") % 13).cast("string")).alias("operator_id"),
+        F.lit(None).cast("string").alias("reason_code"),
+        F.year(ts).cast("bigint").alias("year"), F.month(ts).cast("bigint").alias("month"),
+        F.dayofmonth(ts).cast("bigint").alias("day"))
+
+
+def customer_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return c.select(
+        key.cast("string").alias("customer_id"),
+        F.concat(F.lit("Street "), (key % 97).cast("string")).alias("addr_line1"),
+        F.concat(F.lit("City"), (key % 50).cast("string")).alias("addr_city"),
+        F.concat(F.lit("R"), (key % 4).cast("string")).alias("addr_region"),
+        _pick(F.col("c_nationkey") % 3, ["US", "GB", "DE"]).alias("addr_country"),
+        F.lpad((key % 500).cast("string"), 5, "0").alias("addr_postal"))
+
+
+def dim_geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known places: postal-level entries for most postcodes in use and
+    city-level entries (postal NULL) for most cities in use."""
+    a = customer_addresses(spark, sf_dir)
+    pc = F.col("addr_postal").cast("int")
+    postal = a.filter(pc % 4 != 0).select("addr_country", "addr_postal").distinct().select(
+        F.col("addr_country").alias("country_iso2"), F.lit(None).cast("string").alias("city"),
+        F.col("addr_postal").alias("postal_code"),
+        (F.col("addr_postal").cast("int") % 180 - 90).cast("double").alias("latitude"),
+        (F.col("addr_postal").cast("int") % 360 - 180).cast("double").alias("longitude"))
+    cn = F.substring("addr_city", 5, 3).cast("int")
+    city = a.filter(cn % 5 != 0).select("addr_country", "addr_city").distinct().select(
+        F.col("addr_country").alias("country_iso2"), F.col("addr_city").alias("city"),
+        F.lit(None).cast("string").alias("postal_code"),
+        (F.substring("addr_city", 5, 3).cast("int") - 45).cast("double").alias("latitude"),
+        (F.substring("addr_city", 5, 3).cast("int") * 3).cast("double").alias("longitude"))
+    return postal.unionByName(city)
+
+
+def customer_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw.customer_signups: every customer once, every fifth twice (a later
+    re-signup); messy e-mail and phone text."""
+    a = customer_addresses(spark, sf_dir)
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    x = a.join(c, a.customer_id == c.c_custkey.cast("string"))
+    x = x.withColumn("v", F.explode(F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit(0), F.lit(1)))
+                                    .otherwise(F.array(F.lit(0)))))
+    key = F.col("c_custkey")
+    return x.select(
+        "customer_id",
+        F.concat(F.lit(" "), F.col("c_name"), F.when(F.col("v") == 1, F.lit("@New.Example.COM ")).otherwise(F.lit("@Example.COM"))).alias("email"),
+        F.concat(F.lit("(555) "), F.lpad((key % 1000).cast("string"), 3, "0"), F.lit("-"),
+                 F.lpad((key % 10000).cast("string"), 4, "0")).alias("phone"),
+        F.lit("Pat").alias("first_name"), F.col("c_name").alias("last_name"),
+        "addr_line1", "addr_city", "addr_region", "addr_country", "addr_postal",
+        F.col("c_mktsegment").alias("signup_source"), (key % 2 == 0).alias("marketing_opt_in"),
+        F.date_format(F.date_add(F.lit(dt.date(1998, 1, 1)), (key % 700 + F.col("v") * 400).cast("int")), "yyyyMMdd").alias("signup_date"))
