@@ -71,7 +71,7 @@ FIXTURES["fx_dim_product"] = """
   FROM part"""
 
 FIXTURES["fx_dim_store"] = f"""
-  SELECT s.s_suppkey AS store_sk, s.s_name AS store_id, s.s_name AS store_name,
+  SELECT s.s_suppkey AS store_sk, 'ST' || CAST(s.s_suppkey AS VARCHAR) AS store_id, s.s_name AS store_name,
          {_pick('s.s_suppkey % 3', ['flagship', 'mall', 'outlet'])} AS store_type,
          r.r_name AS region, n.n_name AS country
   FROM supplier s
@@ -384,3 +384,28 @@ _DEPS["fx_tracking"] = ["fx_shipments"]
 _DEPS["fx_loyalty_raw"] = ["fx_events_k"]
 _DEPS["fx_geo"] = ["fx_addresses"]
 _DEPS["fx_signups"] = ["fx_addresses"]
+
+
+FIXTURES["fx_sales_retail"] = """
+  SELECT invoice_no, 'SKU' || lpad(CAST(product_sk AS VARCHAR), 7, '0') AS stock_code, quantity,
+         CASE WHEN CAST(invoice_no AS BIGINT) % 2 = 0 THEN strftime(invoice_ts, '%Y-%m-%d %H:%M:%S')
+              ELSE strftime(invoice_ts, '%m/%d/%Y %H:%M') END AS invoice_date,
+         unit_price, CAST(customer_sk AS VARCHAR) AS customer_id, country
+  FROM fx_fact_sales"""
+
+FIXTURES["fx_invoice_lines"] = """
+  SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS invoice_no, l_orderkey, l_suppkey,
+         'SKU' || CAST(l_partkey AS VARCHAR) AS sku, CAST(l_quantity AS BIGINT) AS qty,
+         CAST(CAST((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))
+                   // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(10,2)) AS unit_price,
+         MIN(l_shipdate) OVER (PARTITION BY l_orderkey, l_suppkey) AS d
+  FROM lineitem"""
+
+FIXTURES["fx_clicks"] = """
+  SELECT 'CMP' || CAST(k % 5 AS VARCHAR) AS campaign_id,
+         CAST(user_id AS VARCHAR) || '-' || CAST(k % 5 AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS send_id,
+         CAST(user_id AS VARCHAR) AS recipient, ts AS clicked_at, '/c/' || CAST(k AS VARCHAR) AS click_url
+  FROM fx_events_k WHERE event_type = 'click'"""
+
+_DEPS["fx_sales_retail"] = ["fx_fact_sales"]
+_DEPS["fx_clicks"] = ["fx_events_k"]

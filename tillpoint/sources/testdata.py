@@ -145,7 +145,7 @@ def dim_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     nr = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey))
     return s.join(nr, s.s_nationkey == nr.n_nationkey, "left").select(
         F.col("s_suppkey").alias("store_sk"),
-        F.col("s_name").alias("store_id"),
+        F.concat(F.lit("ST"), F.col("s_suppkey").cast("string")).alias("store_id"),
         F.col("s_name").alias("store_name"),
         _pick(F.col("s_suppkey") % 3, ["flagship", "mall", "outlet"]).alias("store_type"),
         F.col("r_name").alias("region"),
@@ -649,3 +649,52 @@ def customer_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "addr_line1", "addr_city", "addr_region", "addr_country", "addr_postal",
         F.col("c_mktsegment").alias("signup_source"), (key % 2 == 0).alias("marketing_opt_in"),
         F.date_format(F.date_add(F.lit(dt.date(1998, 1, 1)), (key % 700 + F.col("v") * 400).cast("int")), "yyyyMMdd").alias("signup_date"))
+
+
+def sales_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw.sales_retail (CSV landing): text invoice dates in two formats,
+    natural keys only."""
+    fs = fact_sales(spark, sf_dir)
+    even = F.col("invoice_no").cast("bigint") % 2 == 0
+    return fs.select(
+        "invoice_no",
+        F.concat(F.lit("SKU"), F.lpad(F.col("product_sk").cast("string"), 7, "0")).alias("stock_code"),
+        F.lit(None).cast("string").alias("description"),
+        "quantity",
+        F.when(even, F.date_format("invoice_ts", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.date_format("invoice_ts", "MM/dd/yyyy HH:mm")).alias("invoice_date"),
+        "unit_price",
+        F.col("customer_sk").cast("string").alias("customer_id"),
+        "country",
+        F.date_format("invoice_ts", "yyyyMMdd").alias("date_ts"))
+
+
+def supplier_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw.supplier_invoices: one invoice per (order, supplier) with its
+    lines as ARRAY<STRUCT<sku, qty, unit_price>>."""
+    li = _read(spark, sf_dir, "lineitem")
+    price = (F.col("l_extendedprice").cast("decimal(15,2)") / F.col("l_quantity").cast("decimal(10,0)")).cast("decimal(10,2)")
+    g = li.groupBy("l_orderkey", "l_suppkey").agg(
+        F.min("l_shipdate").alias("d"),
+        F.array_sort(F.collect_list(F.struct(
+            F.concat(F.lit("SKU"), F.col("l_partkey").cast("string")).alias("sku"),
+            F.col("l_quantity").cast("bigint").alias("qty"), price.alias("unit_price")))).alias("line_items"))
+    return g.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("invoice_no"),
+        F.concat(F.lit("SUP"), F.col("l_suppkey").cast("string")).alias("supplier_id"),
+        F.to_date("d").alias("invoice_date"), F.date_add(F.to_date("d"), 30).alias("due_date"),
+        F.lit(None).cast("decimal(14,2)").alias("total_amount"), F.lit("USD").alias("currency"),
+        "line_items", F.lit(None).cast("string").alias("raw_xml"),
+        F.year("d").cast("bigint").alias("feed_year"), F.month("d").cast("bigint").alias("feed_month"))
+
+
+def email_campaign_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_k(spark, sf_dir).filter(F.col("event_type") == "click")
+    k = F.col("k")
+    return e.select(
+        F.concat(F.lit("CMP"), (k % 5).cast("string")).alias("campaign_id"),
+        F.concat_ws("-", F.col("user_id").cast("string"), (k % 5).cast("string"),
+                    F.date_format("ts", "yyyyMMdd")).alias("send_id"),
+        F.col("user_id").cast("string").alias("recipient"),
+        F.col("ts").alias("clicked_at"),
+        F.concat(F.lit("/c/"), k.cast("string")).alias("click_url"))
