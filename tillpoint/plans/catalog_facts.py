@@ -59,7 +59,7 @@ WHERE COALESCE(delivered_at, shipped_at) IS NOT NULL)"""
 
 
 @register("F3_fact_shipments", _S8_SQL + """
-SELECT tracking_no, any_value(carrier) AS carrier,
+SELECT tracking_no, MIN(carrier) AS carrier,
        MIN(CASE WHEN event_type = 'SHIPPED' THEN event_ts END) AS shipped_ts,
        MIN(CASE WHEN event_type = 'DELIVERED' THEN event_ts END) AS delivered_ts,
        list_sort(list({'ts': event_ts, 'status': event_type, 'location': concat_ws(', ', lc, lr, lco)}))
@@ -67,7 +67,7 @@ SELECT tracking_no, any_value(carrier) AS carrier,
        CAST(year(MIN(CASE WHEN event_type = 'SHIPPED' THEN event_ts END)) AS BIGINT) AS ship_year,
        CAST(month(MIN(CASE WHEN event_type = 'SHIPPED' THEN event_ts END)) AS BIGINT) AS ship_month,
        CAST(day(MIN(CASE WHEN event_type = 'SHIPPED' THEN event_ts END)) AS BIGINT) AS ship_day,
-       any_value(carrier) AS carrier_partition,
+       MIN(carrier) AS carrier_partition,
        CAST(MIN(CASE WHEN event_type = 'SHIPPED' THEN event_ts END) AS DATE) AS _partition_date
 FROM ev GROUP BY tracking_no""")
 def q_f3(spark, sf):

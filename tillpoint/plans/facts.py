@@ -68,7 +68,7 @@ def fact_shipments_fold(carrier_events: DataFrame) -> DataFrame:
     events as a time-sorted array (bounded by events per shipment)."""
     loc = F.concat_ws(", ", "location_city", "location_region", "location_country")
     g = carrier_events.groupBy("tracking_no").agg(
-        F.first("carrier").alias("carrier"),
+        F.min("carrier").alias("carrier"),
         F.array_sort(F.collect_list(F.struct(F.col("event_ts").alias("ts"), F.col("event_type").alias("status"),
                                              loc.alias("location")))).alias("tracking_events"),
         F.min(F.when(F.col("event_type") == "SHIPPED", F.col("event_ts"))).alias("shipped_ts"),
