@@ -36,6 +36,8 @@ def with_value_bucket(df: DataFrame, order_col: str, cuts: list[float],
     from pyspark.ml.feature import Bucketizer
 
     value = F.col(order_col)
+    if not cuts:  # no quantiles (empty or all-NULL input): one bucket
+        return df.withColumn(BUCKET, F.when(value.isNull(), F.lit(1)).otherwise(F.lit(0)))
     splits = [float("-inf"), *cuts, float("inf")]
     n = len(splits) - 1
     tmp = df.withColumn("__rank_v", value.cast("double"))
