@@ -25,18 +25,23 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order_col: str,
-           op_col: str | None = None, delete_value: str = "D") -> DataFrame:
+           op_col: str | None = None, delete_value: str = "D", tombstones: bool = False) -> DataFrame:
     """Apply ``changes`` to ``current`` (schema of ``current``).
 
     Per key the latest change wins (last writer by ``order_col``; on equal
     order values the change wins over the stored row).  A change older than
     the stored row is ignored.  With ``op_col``, a winning change whose op
-    is ``delete_value`` removes the key.
+    is ``delete_value`` removes the key.  With ``tombstones`` the removed key
+    stays in the state as a row flagged ``_deleted`` (with its order value),
+    so a change that arrives later but is older than the delete cannot
+    bring the key back; readers filter ``NOT _deleted``.
     """
-    cols = current.columns
+    cols = [c for c in current.columns if c != TOMBSTONE]
     extra = [op_col] if op_col else []
     ch = latest_per_key(changes.select(*cols, *extra), keys, [order_col])
-    c = current.select(*[F.col(x).alias(f"__c_{x}") for x in cols], F.lit(True).alias("__c_here"))
+    cur_del = F.col(TOMBSTONE) if TOMBSTONE in current.columns else F.lit(False)
+    c = current.select(*[F.col(x).alias(f"__c_{x}") for x in cols], F.lit(True).alias("__c_here"),
+                       F.coalesce(cur_del, F.lit(False)).alias("__c_del"))
     n = ch.select(*[F.col(x).alias(f"__n_{x}") for x in cols + extra], F.lit(True).alias("__n_here"))
     cond = [c[f"__c_{k}"].eqNullSafe(n[f"__n_{k}"]) for k in keys]
     j = c.join(n, cond, "full_outer")
@@ -44,10 +49,14 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order_col: s
     has_cur = F.col("__c_here").isNotNull()
     newer = F.col(f"__c_{order_col}").isNull() | (F.col(f"__n_{order_col}") >= F.col(f"__c_{order_col}"))
     take_new = has_new & (~has_cur | newer)
-    deleted = (take_new & (F.col(f"__n_{op_col}") == delete_value)) if op_col else F.lit(False)
+    new_del = F.coalesce(F.col(f"__n_{op_col}") == delete_value, F.lit(False)) if op_col else F.lit(False)
+    deleted = F.when(take_new, new_del).otherwise(F.coalesce(F.col("__c_del"), F.lit(False)))
     out = j.select(*[F.when(take_new, F.col(f"__n_{x}")).otherwise(F.col(f"__c_{x}")).alias(x)
-                     for x in cols], F.coalesce(deleted, F.lit(False)).alias("__del"))
-    return out.filter(~F.col("__del")).drop("__del")
+                     for x in cols], deleted.alias(TOMBSTONE))
+    return out if tombstones else out.filter(~F.col(TOMBSTONE)).drop(TOMBSTONE)
+
+
+TOMBSTONE = "_deleted"
 
 
 def record_hash(cols: list[str]) -> Column:
