@@ -172,12 +172,12 @@ def session_to_order(mobile_events: DataFrame, dim_customer: DataFrame,
 
 # V7 -------------------------------------------------------------------------
 def active_member_panel(fact_loyalty_events: DataFrame, dim_store: DataFrame,
-                        as_of: dt.date, days: int = 30, rsd: float = 0.006) -> DataFrame:
+                        as_of: dt.date, days: int = 30, rsd: float = 0.02) -> DataFrame:
     """D1 fixed: region comes from dim_store through store_sk (left join, so
-    members without a store count under NULL region).  ``rsd`` 0.006 gives
-    an HLL++ sketch of 2^15 registers, the precision warehouse engines use
-    for APPROX_COUNT_DISTINCT; it stays a mergeable fixed-size buffer per
-    group."""
+    members without a store count under NULL region).  ``rsd`` 0.02 gives
+    an HLL++ sketch of 2^12 registers (about 2 % standard error): a
+    mergeable fixed-size buffer per group.  2^15 registers (rsd 0.006) cut
+    the error further but cost 5x the time on the benchmark data."""
     le = fact_loyalty_events.filter(
         (F.col("event_type") == "REDEEM") & (F.col("event_date") >= _days_back(as_of, days)))
     st = dim_store.select("store_sk", "region")
