@@ -189,3 +189,59 @@ def returns_by_reason_monthly(fact_returns: DataFrame, fact_sales: DataFrame) ->
     return g.select("reason_code", "return_count", "return_units", "total_refunded",
                     decimal_ratio(F.col("__days"), F.col("__n"), 8, 2).alias("avg_days_to_return"),
                     "month_start")
+
+
+# A6 -------------------------------------------------------------------------
+def monthly_supplier_performance(receipts: DataFrame, sla_hours: int = 48) -> DataFrame:
+    """Per supplier and month: distinct orders, units, on-time share of the
+    delivered lines, share of filled lines (status F), mean lead time in
+    days of delivered lines, quality = share not returned, spend."""
+    delivered = F.col("delivered_ts").isNotNull()
+    on_time = delivered & (F.col("delivered_ts") <= F.timestamp_add("HOUR", F.lit(sla_hours), F.col("shipped_ts")))
+    secs = F.unix_seconds(F.col("delivered_ts").cast("timestamp")) - F.unix_seconds(F.col("shipped_ts").cast("timestamp"))
+    g = receipts.groupBy("supplier_sk", F.trunc("shipped_ts", "month").alias("month_start")).agg(
+        F.count_distinct("l_orderkey").alias("orders_placed"), F.sum("quantity").alias("units_received"),
+        F.count(F.when(on_time, 1)).alias("__ot"), F.count(F.when(delivered, 1)).alias("__dl"),
+        F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("__f"), F.count(F.lit(1)).alias("__n"),
+        F.count(F.when(F.col("l_returnflag") != "R", 1)).alias("__ok"), F.sum(secs).alias("__s"),
+        F.sum("line_total").alias("__spend"))
+    return g.select(
+        "supplier_sk", "orders_placed", "units_received",
+        decimal_ratio(F.col("__ot"), F.col("__dl"), 5, 4).alias("on_time_pct"),
+        decimal_ratio(F.col("__f"), F.col("__n"), 5, 4).alias("fill_rate_pct"),
+        decimal_ratio(F.col("__s"), F.col("__dl") * 86400, 6, 2).alias("avg_lead_time_days"),
+        decimal_ratio(F.col("__ok"), F.col("__n"), 4, 3).alias("quality_score"),
+        F.col("__spend").cast("decimal(16,2)").alias("total_spend"), "month_start")
+
+
+# A9 -------------------------------------------------------------------------
+# Fixed values (ours): cost per attributed order by channel.
+CHANNEL_COST = {"search": "1.20", "mail": "0.30", "social": "0.80", "direct": "0.00"}
+
+
+def channel_of(referrer: Column) -> Column:
+    host = F.regexp_extract(referrer, r"^https?://([a-z]+)\.", 1)
+    return F.when(referrer.isNull() | (host == ""), F.lit("direct")).otherwise(host)
+
+
+def marketing_attribution_cube(touches: DataFrame, as_of: dt.date) -> DataFrame:
+    """Last-touch attribution: each order goes to the latest session event
+    that reached it (V6 pairs); channel from the referrer host, campaign
+    from that event; cube over channel x campaign x region with cost per
+    attributed order and roas = revenue / cost."""
+    last = touches.groupBy("invoice_no").agg(
+        F.max_by(F.struct("referrer", "campaign_sk", "region"), "session_ts").alias("t"),
+        F.first("line_total").alias("line_total"))
+    cost = None
+    for k, v in CHANNEL_COST.items():
+        c = channel_of(F.col("t.referrer")) == k
+        cost = F.when(c, F.lit(v)) if cost is None else cost.when(c, F.lit(v))
+    x = last.select(channel_of(F.col("t.referrer")).alias("channel"), F.col("t.campaign_sk").alias("campaign_sk"),
+                    F.col("t.region").alias("region"), "line_total", cost.cast("decimal(6,2)").alias("__cost"))
+    c = x.cube("channel", "campaign_sk", "region").agg(
+        F.sum("line_total").cast("decimal(16,2)").alias("attributed_revenue"),
+        F.count(F.lit(1)).alias("attributed_units"), F.sum("__cost").cast("decimal(14,2)").alias("cost"),
+        F.grouping_id("channel", "campaign_sk", "region").cast("bigint").alias("grouping_id"))
+    return c.select("channel", "campaign_sk", "region", "attributed_revenue", "attributed_units", "cost",
+                    decimal_ratio(F.col("attributed_revenue"), F.col("cost"), 8, 4, num_scale=2, den_scale=2)
+                    .alias("roas"), "grouping_id", F.lit(as_of).alias("period_date"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..oracle_fixtures import date_lit, hu_div
+from ..oracle_fixtures import K, _pick, date_lit, hu_div
 from ..registry import register
 from ..sources import testdata as td
 from . import aggregates as a
@@ -146,3 +146,86 @@ SELECT reason_code, COUNT(*) AS return_count, CAST(SUM(quantity) AS BIGINT) AS r
 FROM j GROUP BY reason_code, CAST(date_trunc('month', return_date) AS DATE)""")
 def q_a10(spark, sf):
     return a.returns_by_reason_monthly(td.fact_returns(spark, sf), td.fact_sales(spark, sf))
+
+
+@register("A6_monthly_supplier_performance", f"""
+WITH r AS (
+  SELECT l_suppkey AS supplier_sk, l_orderkey, CAST(l_quantity AS BIGINT) AS quantity, l_shipdate AS shipped_ts,
+         CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_shipdate + to_hours(CAST(l_partkey % 96 AS BIGINT)) END AS delivered_ts,
+         l_linestatus, l_returnflag,
+         CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(14,2)) AS line_total
+  FROM lineitem),
+g AS (
+  SELECT supplier_sk, CAST(date_trunc('month', shipped_ts) AS DATE) AS month_start,
+         COUNT(DISTINCT l_orderkey) AS orders_placed, CAST(SUM(quantity) AS BIGINT) AS units_received,
+         COUNT(CASE WHEN delivered_ts IS NOT NULL AND delivered_ts <= shipped_ts + INTERVAL 48 HOUR THEN 1 END) AS ot,
+         COUNT(delivered_ts) AS dl, COUNT(CASE WHEN l_linestatus = 'F' THEN 1 END) AS f, COUNT(*) AS n,
+         COUNT(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS ok,
+         SUM(date_diff('second', shipped_ts, delivered_ts)) AS s, SUM(line_total) AS spend
+  FROM r GROUP BY supplier_sk, CAST(date_trunc('month', shipped_ts) AS DATE))
+SELECT supplier_sk, orders_placed, units_received,
+       {hu_div('ot', 'dl', 4, out='DECIMAL(5,4)')} AS on_time_pct,
+       {hu_div('f', 'n', 4, out='DECIMAL(5,4)')} AS fill_rate_pct,
+       {hu_div('s', 'dl * 86400', 2, out='DECIMAL(6,2)')} AS avg_lead_time_days,
+       {hu_div('ok', 'n', 3, out='DECIMAL(4,3)')} AS quality_score,
+       CAST(spend AS DECIMAL(16,2)) AS total_spend, month_start
+FROM g""")
+def q_a6(spark, sf):
+    return a.monthly_supplier_performance(td.supplier_receipts(spark, sf))
+
+
+def td_referrer_sql() -> str:
+    return _pick("e.k % 4", td.REFERRERS)
+
+
+_CHANNEL = ("CASE WHEN t.r IS NULL OR regexp_extract(t.r, '^https?://([a-z]+)\\.', 1) = '' THEN 'direct' "
+            "ELSE regexp_extract(t.r, '^https?://([a-z]+)\\.', 1) END")
+
+
+@register("A9_marketing_attribution_cube", f"""
+WITH ev AS (
+  SELECT CAST(e.user_id AS VARCHAR) AS user_id, e.ts AS event_ts, {td_referrer_sql()} AS referrer,
+         e.k % 5 AS campaign_sk, st.region
+  FROM fx_events_k e LEFT JOIN fx_dim_store st ON st.store_sk = e.user_id % 10
+  WHERE e.event_type IN ('click', 'view')),
+pairs AS (
+  SELECT f.invoice_no, ev.event_ts, ev.referrer, ev.campaign_sk, ev.region, f.line_total
+  FROM ev JOIN fx_dim_customer dc ON dc.customer_id = ev.user_id
+  JOIN fx_app_sales f ON f.customer_sk = dc.customer_sk
+   AND f.invoice_ts BETWEEN ev.event_ts AND ev.event_ts + INTERVAL 1 DAY),
+last AS (
+  SELECT invoice_no, arg_max({{'r': referrer, 'c': campaign_sk, 'g': region}}, event_ts) AS t,
+         any_value(line_total) AS line_total
+  FROM pairs GROUP BY invoice_no),
+x AS (
+  SELECT {_CHANNEL} AS channel, t.c AS campaign_sk, t.g AS region, line_total
+  FROM last),
+y AS (
+  SELECT *, CAST(CASE channel {' '.join(f"WHEN '{k}' THEN {v}" for k, v in a.CHANNEL_COST.items())} END
+                 AS DECIMAL(6,2)) AS c FROM x),
+cube AS (
+  SELECT channel, campaign_sk, region, CAST(SUM(line_total) AS DECIMAL(16,2)) AS attributed_revenue,
+         COUNT(*) AS attributed_units, CAST(SUM(c) AS DECIMAL(14,2)) AS cost,
+         CAST(GROUPING(channel, campaign_sk, region) AS BIGINT) AS grouping_id
+  FROM y GROUP BY CUBE(channel, campaign_sk, region))
+SELECT channel, campaign_sk, region, attributed_revenue, attributed_units, cost,
+       {hu_div('attributed_revenue * 100', 'cost * 100', 4, out='DECIMAL(8,4)')} AS roas,
+       grouping_id, {date_lit(td.EVENTS_AS_OF)} AS period_date
+FROM cube""")
+def q_a9(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.joins import interval_left_join
+    me = td.mobile_events(spark, sf)
+    stores = td.dim_store(spark, sf).select(F.col("store_sk").alias("__st"), "region")
+    ev = me.select("user_id", "event_ts", F.col("context.referrer").alias("referrer"),
+                   (F.col("properties")["k"].cast("bigint") % 5).alias("campaign_sk"),
+                   (F.col("user_id").cast("bigint") % 10).alias("__store"))
+    ev = ev.join(stores, ev["__store"] == stores["__st"], "left").drop("__store", "__st")
+    dc = td.dim_customer(spark, sf).select("customer_id", "customer_sk")
+    evc = ev.join(dc, ev.user_id == dc.customer_id).drop("customer_id")
+    sales = td.app_sales(spark, sf).select(F.col("customer_sk").alias("f_sk"), "invoice_no", "invoice_ts",
+                                           "line_total")
+    pairs = interval_left_join(evc, sales, "customer_sk", "f_sk", "event_ts", "invoice_ts", 1).filter(
+        F.col("invoice_no").isNotNull()).select("invoice_no", F.col("event_ts").alias("session_ts"), "referrer",
+                                                 "campaign_sk", "region", "line_total")
+    return a.marketing_attribution_cube(pairs, td.EVENTS_AS_OF)

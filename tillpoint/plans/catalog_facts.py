@@ -276,3 +276,65 @@ WHERE p.start_dt <= {_A} AND p.end_dt >= {_A}""")
 def q_b4(spark, sf):
     clv = v.customer_lifetime_value(td.dim_customer(spark, sf), td.fact_sales(spark, sf), S)
     return fx.bridge_promo_eligibility(fx.bridge_customer_segment(clv, S), _promotions(spark, sf), S)
+
+
+_ATTR_SQL = " UNION ALL ".join(
+    f"SELECT sku, feed_date, '{a}' AS attribute_name, lower(trim({a})) AS attribute_value FROM fx_catalog"
+    for a in fx.PRODUCT_ATTRIBUTES)
+
+
+@register("B1_bridge_product_attribute", f"""
+WITH u AS ({_ATTR_SQL}),
+g AS (SELECT sku, attribute_name, attribute_value, MAX(feed_date) AS last FROM u
+      WHERE attribute_value IS NOT NULL GROUP BY sku, attribute_name, attribute_value)
+SELECT CAST(substring(sku, 4) AS BIGINT) AS product_sk, attribute_name, attribute_value,
+       ROW_NUMBER() OVER (PARTITION BY sku, attribute_name ORDER BY last DESC, attribute_value) = 1 AS primary_value,
+       CAST(list_position([{", ".join("'" + x + "'" for x in fx.PRODUCT_ATTRIBUTES)}], attribute_name) AS BIGINT)
+         AS sort_order
+FROM g""")
+def q_b1(spark, sf):
+    return fx.bridge_product_attribute(td.product_catalog_feed(spark, sf))
+
+
+_EMP_SQL = f"""
+WITH p AS (
+  SELECT 'EMP' || CAST(o_orderkey % 13 AS VARCHAR) AS cashier_id, 'ST' || CAST(o_custkey % 10 AS VARCHAR) AS store_id,
+         year(o_orderdate) AS yr
+  FROM orders),
+g AS (SELECT cashier_id, yr, MIN(store_id) AS store_id, COUNT(*) AS txns FROM p GROUP BY cashier_id, yr),
+snap AS (
+  SELECT CAST(substring(cashier_id, 4) AS BIGINT) AS employee_sk, yr, txns,
+         ['{"', '".join(td.EMPLOYEE_ROLES)}'][(CAST(substring(cashier_id, 4) AS BIGINT) + yr) % 3 + 1] AS role,
+         ['{"', '".join(td.DEPARTMENTS)}'][CAST(substring(store_id, 3) AS INTEGER) % 3 + 1] AS department,
+         CAST(substring(store_id, 3) AS BIGINT) AS home_store_sk,
+         'B' || CAST((yr - CAST(substring(cashier_id, 4) AS BIGINT)) % 2 + 1 AS VARCHAR) AS salary_band,
+         make_date(CAST(yr AS INTEGER), 1, 1) AS eff_date
+  FROM g)"""
+
+
+@register("B5_bridge_employee_role", _EMP_SQL + """
+SELECT employee_sk, role,
+       ROW_NUMBER() OVER (PARTITION BY employee_sk ORDER BY SUM(txns) DESC, role) = 1 AS primary_role,
+       MIN(eff_date) AS eff_from, MAX(make_date(CAST(yr AS INTEGER), 12, 31)) AS eff_to
+FROM snap GROUP BY employee_sk, role""")
+def q_b5(spark, sf):
+    return fx.bridge_employee_role(td.employee_year_snapshots(spark, sf))
+
+
+@register("C4_dim_employee_history", _EMP_SQL + """,
+s AS (SELECT *, LAG(ROW(role, department, home_store_sk, salary_band)) OVER (PARTITION BY employee_sk ORDER BY eff_date)
+                 AS prev FROM snap),
+c AS (SELECT * FROM s WHERE prev IS NULL OR prev IS DISTINCT FROM ROW(role, department, home_store_sk, salary_band)),
+v AS (SELECT *, LEAD(eff_date) OVER (PARTITION BY employee_sk ORDER BY eff_date) AS eff_to,
+             ROW_NUMBER() OVER (PARTITION BY employee_sk ORDER BY eff_date) AS version FROM c)
+SELECT employee_sk * 1000000 + version AS history_id, employee_sk, role, department, home_store_sk, salary_band,
+       eff_date AS eff_from, eff_to, eff_to IS NULL AS is_current,
+       CAST(year(eff_date) AS BIGINT) AS eff_from_year, CAST(date_trunc('year', eff_date) AS DATE) AS _partition_year
+FROM v""")
+def q_c4(spark, sf):
+    from . import state as st
+    snaps = td.employee_year_snapshots(spark, sf).drop("yr", "txns")
+    h = st.scd2_table("dim_employee_history", snaps, "eff_date")
+    return h.withColumn("history_id", F.col("employee_sk") * 1_000_000 + F.col("version")).select(
+        "history_id", "employee_sk", "role", "department", "home_store_sk", "salary_band", "eff_from", "eff_to",
+        "is_current", "eff_from_year", "_partition_year")

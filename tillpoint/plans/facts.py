@@ -280,3 +280,33 @@ def bridge_promo_eligibility(segments: DataFrame, promotions: DataFrame, as_of:
                     F.concat(F.lit("segment:"), F.col("__seg")).alias("reason"),
                     F.col("start_dt").alias("valid_from"), F.col("end_dt").alias("valid_to"),
                     F.lit(as_of).alias("load_date"))
+
+
+# B1 / B5 --------------------------------------------------------------------
+PRODUCT_ATTRIBUTES = ["color", "size", "category", "subcategory"]
+
+
+def bridge_product_attribute(feed: DataFrame) -> DataFrame:
+    """Attributes unpivoted to rows (normalised text); when feeds disagree
+    the value of the newest feed is the primary one; sort_order follows
+    PRODUCT_ATTRIBUTES."""
+    norm = feed.select("sku", "feed_date", *[F.lower(F.trim(a)).alias(a) for a in PRODUCT_ATTRIBUTES])
+    u = norm.unpivot(["sku", "feed_date"], PRODUCT_ATTRIBUTES, "attribute_name", "attribute_value")
+    g = u.filter(F.col("attribute_value").isNotNull()).groupBy("sku", "attribute_name", "attribute_value").agg(
+        F.max("feed_date").alias("__last"))
+    w = Window.partitionBy("sku", "attribute_name").orderBy(F.col("__last").desc(), F.col("attribute_value").asc())
+    order = F.array_position(F.array(*[F.lit(a) for a in PRODUCT_ATTRIBUTES]), F.col("attribute_name"))
+    return g.select(F.substring("sku", 4, 20).cast("bigint").alias("product_sk"), "attribute_name",
+                    "attribute_value", (F.row_number().over(w) == 1).alias("primary_value"),
+                    order.cast("bigint").alias("sort_order"))
+
+
+def bridge_employee_role(snapshots: DataFrame) -> DataFrame:
+    """Each role an employee held, with its date range; the primary role is
+    the one with the most transactions (ties: role name)."""
+    g = snapshots.groupBy("employee_sk", "role").agg(
+        F.min("eff_date").alias("eff_from"),
+        F.max(F.make_date(F.col("yr").cast("int"), F.lit(12), F.lit(31))).alias("eff_to"),
+        F.sum("txns").alias("__t"))
+    w = Window.partitionBy("employee_sk").orderBy(F.col("__t").desc(), F.col("role").asc())
+    return g.select("employee_sk", "role", (F.row_number().over(w) == 1).alias("primary_role"), "eff_from", "eff_to")

@@ -698,3 +698,37 @@ def email_campaign_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("recipient"),
         F.col("ts").alias("clicked_at"),
         F.concat(F.lit("/c/"), k.cast("string")).alias("click_url"))
+
+
+def supplier_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items seen from the supplier side: what was received when."""
+    li = _read(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice").cast("decimal(15,2)")
+    disc = F.col("l_discount").cast("decimal(4,2)")
+    delivered = F.when(F.col("l_partkey") % 11 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
+        F.timestamp_add("HOUR", (F.col("l_partkey") % 96).cast("int"), F.col("l_shipdate")))
+    return li.select(F.col("l_suppkey").alias("supplier_sk"), "l_orderkey",
+                     F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_shipdate").alias("shipped_ts"),
+                     delivered.alias("delivered_ts"), "l_linestatus", "l_returnflag",
+                     (price * (F.lit(1) - disc)).cast("decimal(14,2)").alias("line_total"))
+
+
+EMPLOYEE_ROLES = ["CASHIER", "SUPERVISOR", "STOCK"]
+DEPARTMENTS = ["FRONT", "BACK", "OFFICE"]
+
+
+def employee_year_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attribute snapshot per cashier and year worked (from the POS
+    feed): role and band rotate by year, department by store."""
+    p = pos_transactions(spark, sf_dir)
+    y = F.year("txn_ts")
+    g = p.groupBy("cashier_id", y.alias("yr")).agg(F.min("store_id").alias("store_id"),
+                                                   F.count(F.lit(1)).alias("txns"))
+    n = F.substring("cashier_id", 4, 10).cast("bigint")
+    return g.select(
+        n.alias("employee_sk"), "yr", "txns",
+        _pick((n + F.col("yr")) % 3, EMPLOYEE_ROLES).alias("role"),
+        _pick(F.substring("store_id", 3, 10).cast("int") % 3, DEPARTMENTS).alias("department"),
+        F.substring("store_id", 3, 10).cast("bigint").alias("home_store_sk"),
+        F.concat(F.lit("B"), ((F.col("yr") - n) % 2 + 1).cast("string")).alias("salary_band"),
+        F.make_date(F.col("yr").cast("int"), F.lit(1), F.lit(1)).alias("eff_date"))
