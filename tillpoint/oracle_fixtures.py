@@ -343,7 +343,7 @@ FIXTURES["fx_picks"] = """
   FROM lineitem"""
 
 FIXTURES["fx_movements"] = """
-  SELECT 'WH' || CAST(l_suppkey % 7 AS VARCHAR) AS warehouse_id,
+  SELECT 'WH' || CAST(l_suppkey % 7 AS VARCHAR) AS warehouse_id, 'SKU' || CAST(l_partkey AS VARCHAR) AS sku,
          CASE WHEN l_linestatus = 'O' THEN 'IN' ELSE 'OUT' END AS movement_type,
          CAST(l_quantity AS BIGINT) AS quantity,
          l_shipdate + to_hours(CAST(l_partkey % 24 AS BIGINT)) AS movement_ts

@@ -338,3 +338,19 @@ def q_c4(spark, sf):
     return h.withColumn("history_id", F.col("employee_sk") * 1_000_000 + F.col("version")).select(
         "history_id", "employee_sk", "role", "department", "home_store_sk", "salary_band", "eff_from", "eff_to",
         "is_current", "eff_from_year", "_partition_year")
+
+
+@register("F6_fact_inventory_snapshot", """
+WITH d AS (SELECT sku, warehouse_id, CAST(movement_ts AS DATE) AS snapshot_date,
+                  SUM(CASE WHEN movement_type = 'IN' THEN quantity ELSE -quantity END) AS net,
+                  MAX(movement_ts) AS last_movement_ts
+           FROM fx_movements GROUP BY sku, warehouse_id, CAST(movement_ts AS DATE)),
+r AS (SELECT *, SUM(net) OVER (PARTITION BY sku, warehouse_id ORDER BY snapshot_date ROWS UNBOUNDED PRECEDING) AS oh
+      FROM d)
+SELECT sku, CAST(substring(warehouse_id, 3) AS BIGINT) AS warehouse_sk, CAST(oh AS BIGINT) AS on_hand_units,
+       CAST(0 AS BIGINT) AS allocated_units, CAST(0 AS BIGINT) AS in_transit_units,
+       CAST(oh AS BIGINT) AS available_units, CAST(NULL AS DECIMAL(12,4)) AS avg_cost, last_movement_ts,
+       snapshot_date
+FROM r""")
+def q_f6(spark, sf):
+    return fx.fact_inventory_snapshot(td.inventory_movements(spark, sf))

@@ -310,3 +310,21 @@ def bridge_employee_role(snapshots: DataFrame) -> DataFrame:
         F.sum("txns").alias("__t"))
     w = Window.partitionBy("employee_sk").orderBy(F.col("__t").desc(), F.col("role").asc())
     return g.select("employee_sk", "role", (F.row_number().over(w) == 1).alias("primary_role"), "eff_from", "eff_to")
+
+
+# F6 -------------------------------------------------------------------------
+def fact_inventory_snapshot(movements: DataFrame) -> DataFrame:
+    """Day-end on-hand per (sku, warehouse): IN adds, anything else
+    subtracts; a running sum over the days with movements (two-level per
+    key, bucketed by month, so a hot sku is not one task)."""
+    signed = F.when(F.col("movement_type") == "IN", F.col("quantity")).otherwise(-F.col("quantity"))
+    daily = movements.groupBy("sku", "warehouse_id", F.to_date("movement_ts").alias("snapshot_date")).agg(
+        F.sum(signed).alias("__net"), F.max("movement_ts").alias("last_movement_ts"))
+    from ..operators.sequence import running_sum
+    r = running_sum(daily, ["sku", "warehouse_id"], ["snapshot_date"], "__net", "on_hand_units",
+                    bucket=F.trunc("snapshot_date", "month"))
+    return r.select("sku", F.substring("warehouse_id", 3, 10).cast("bigint").alias("warehouse_sk"),
+                    F.col("on_hand_units").cast("bigint").alias("on_hand_units"),
+                    F.lit(0).cast("bigint").alias("allocated_units"), F.lit(0).cast("bigint").alias("in_transit_units"),
+                    F.col("on_hand_units").cast("bigint").alias("available_units"),
+                    F.lit(None).cast("decimal(12,4)").alias("avg_cost"), "last_movement_ts", "snapshot_date")
