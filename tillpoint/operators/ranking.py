@@ -18,11 +18,24 @@ from pyspark.sql import functions as F
 BUCKET = "__rank_bucket"
 
 
-def quantile_cuts(df: DataFrame, order_col: str, n_buckets: int = 64,
-                  rel_error: float = 0.01) -> list[float]:
-    """n_buckets - 1 approximate quantiles of ``order_col`` (bounded list)."""
+def default_buckets(df: DataFrame, minimum: int = 16) -> int:
+    """As many value buckets as the session has shuffle partitions, so the
+    ranking windows spread over the whole cluster (thousands at 100 TB)."""
+    try:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        n = minimum
+    return max(minimum, n)
+
+
+def quantile_cuts(df: DataFrame, order_col: str, n_buckets: int | None = None,
+                  rel_error: float | None = None) -> list[float]:
+    """n_buckets - 1 approximate quantiles of ``order_col`` (bounded list;
+    default bucket count from :func:`default_buckets`)."""
+    n_buckets = n_buckets or default_buckets(df)
     if n_buckets <= 1:
         return []
+    rel_error = rel_error if rel_error is not None else min(0.01, 0.25 / n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     return sorted(set(df.approxQuantile(order_col, probs, rel_error)))
 
@@ -86,7 +99,7 @@ def rank_within_buckets(b: DataFrame, partition_by: list[str], order_col: str, o
 
 
 def bucketed_rank(df: DataFrame, partition_by: list[str], order_col: str, out_col: str,
-                  method: str = "rank", descending: bool = True, n_buckets: int = 64,
+                  method: str = "rank", descending: bool = True, n_buckets: int | None = None,
                   cuts: list[float] | None = None) -> DataFrame:
     """Add ``out_col`` = rank/dense_rank of ``order_col`` within
     ``partition_by`` (may be empty for a global ranking)."""

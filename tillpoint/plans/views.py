@@ -114,7 +114,7 @@ def customer_lifetime_value(dim_customer: DataFrame, fact_sales: DataFrame,
 
 # V4 -------------------------------------------------------------------------
 def product_performance(dim_product: DataFrame, fact_sales: DataFrame,
-                        n_buckets: int = 64) -> DataFrame:
+                        n_buckets: int | None = None) -> DataFrame:
     """Per (product, country) sales with RANK within country and a global
     DENSE_RANK, both through value-range buckets (operators.ranking) so no
     single task ranks a whole country or the whole table.  The aggregate is
