@@ -167,3 +167,51 @@ def q_k4(spark, sf):
     feed = td.price_feed(spark, sf)
     state = _two_runs(spark, feed, st.PRICE_COLS, lambda s, b: st.realtime_price(s, b).select(*st.PRICE_COLS))
     return st.realtime_price(state, st.empty_like(feed, st.PRICE_COLS))
+
+
+def _scd2_sql(snap_sql: str, key: str, attrs: list[str], ts: str, extra: str = "") -> str:
+    row = ", ".join(attrs)
+    return f"""
+WITH snap AS ({snap_sql}),
+s AS (SELECT *, LAG(ROW({row})) OVER (PARTITION BY {key} ORDER BY {ts}) AS prev FROM snap),
+c AS (SELECT * FROM s WHERE prev IS NULL OR prev IS DISTINCT FROM ROW({row})),
+v AS (SELECT *, LEAD({ts}) OVER (PARTITION BY {key} ORDER BY {ts}) AS eff_to,
+             ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY {ts}) AS version FROM c)
+SELECT {key} * 1000000 + version AS history_id, {key}, {row}, {ts} AS eff_from, eff_to,
+       eff_to IS NULL AS is_current, CASE WHEN prev IS NULL THEN 'new' ELSE 'changed' END AS change_reason{extra}
+FROM v"""
+
+
+_TERMS_SNAP = """
+  SELECT supplier_sk, CAST(30 + ((supplier_sk + quarter(m)) % 3) * 15 AS BIGINT) AS payment_terms_days,
+         CAST((supplier_sk + (month(m) - 1) // 6) % 4 AS DECIMAL(5,2)) AS discount_pct,
+         CAST(m AS TIMESTAMP) AS eff_ts, 'EMP' || CAST(supplier_sk % 13 AS VARCHAR) AS changed_by
+  FROM (SELECT DISTINCT l_suppkey AS supplier_sk, CAST(date_trunc('month', l_shipdate) AS DATE) AS m FROM lineitem) x"""
+
+
+@register("C3_supplier_terms_history",
+          _scd2_sql(_TERMS_SNAP, "supplier_sk", ["payment_terms_days", "discount_pct"], "eff_ts", ", changed_by"))
+def q_c3(spark, sf):
+    h = st.scd2_table("acid_supplier_terms_history", td.supplier_terms_snapshots(spark, sf), "eff_ts")
+    return h.withColumn("history_id", F.col("supplier_sk") * 1_000_000 + F.col("version")).select(
+        "history_id", "supplier_sk", "payment_terms_days", "discount_pct", "eff_from", "eff_to", "is_current",
+        "change_reason", "changed_by")
+
+
+_STORE_SNAP = """
+  SELECT store_sk,
+         CASE (store_sk + year(m)) % 3 WHEN 0 THEN 'flagship' WHEN 1 THEN 'mall' ELSE 'outlet' END AS store_type,
+         CAST(substring(mgr, 4) AS BIGINT) AS manager_employee_sk,
+         CAST(1000 + (store_sk % 5) * 500 + (year(m) % 2) * 250 AS BIGINT) AS sq_ft, m AS eff_date
+  FROM (SELECT CAST(o_custkey % 10 AS BIGINT) AS store_sk, CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
+               MIN('EMP' || CAST(o_orderkey % 13 AS VARCHAR)) AS mgr
+        FROM orders GROUP BY 1, 2) x"""
+
+
+@register("C5_dim_store_history",
+          _scd2_sql(_STORE_SNAP, "store_sk", ["store_type", "manager_employee_sk", "sq_ft"], "eff_date"))
+def q_c5(spark, sf):
+    h = st.scd2_table("dim_store_history", td.store_month_snapshots(spark, sf), "eff_date")
+    return h.withColumn("history_id", F.col("store_sk") * 1_000_000 + F.col("version")).select(
+        "history_id", "store_sk", "store_type", "manager_employee_sk", "sq_ft", "eff_from", "eff_to", "is_current",
+        "change_reason")

@@ -732,3 +732,31 @@ def employee_year_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("store_id", 3, 10).cast("bigint").alias("home_store_sk"),
         F.concat(F.lit("B"), ((F.col("yr") - n) % 2 + 1).cast("string")).alias("salary_band"),
         F.make_date(F.col("yr").cast("int"), F.lit(1), F.lit(1)).alias("eff_date"))
+
+
+def supplier_terms_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payment terms per supplier and month of shipments (terms rotate by
+    quarter, the discount by half-year)."""
+    li = _read(spark, sf_dir, "lineitem")
+    m = F.trunc("l_shipdate", "month")
+    g = li.groupBy(F.col("l_suppkey").alias("supplier_sk"), m.alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    q = F.quarter("m")
+    return g.select(
+        "supplier_sk",
+        (F.lit(30) + ((F.col("supplier_sk") + q) % 3) * 15).cast("bigint").alias("payment_terms_days"),
+        ((F.col("supplier_sk") + F.floor((F.month("m") - 1) / 6)) % 4).cast("decimal(5,2)").alias("discount_pct"),
+        F.col("m").cast("timestamp_ntz").alias("eff_ts"),
+        F.concat(F.lit("EMP"), (F.col("supplier_sk") % 13).cast("string")).alias("changed_by"))
+
+
+def store_month_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store attributes per store and month of POS activity."""
+    p = pos_transactions(spark, sf_dir)
+    m = F.trunc("txn_ts", "month")
+    g = p.groupBy(F.substring("store_id", 3, 10).cast("bigint").alias("store_sk"), m.alias("m")).agg(
+        F.min("cashier_id").alias("mgr"))
+    return g.select(
+        "store_sk", _pick((F.col("store_sk") + F.year("m")) % 3, ["flagship", "mall", "outlet"]).alias("store_type"),
+        F.substring("mgr", 4, 10).cast("bigint").alias("manager_employee_sk"),
+        (F.lit(1000) + (F.col("store_sk") % 5) * 500 + (F.year("m") % 2) * 250).cast("bigint").alias("sq_ft"),
+        F.col("m").alias("eff_date"))
