@@ -50,6 +50,41 @@ def test_interval_left_join_matches_brute_force(spark):
     assert rows(got, "lid", "rid") == rows(exp, "lid", "rid")
 
 
+def _trailing_brute(left, right, width_s):
+    """The plain form: range join, then max / distinct set per left id."""
+    cond = ((left.lk == right.rk) & (right.rts >= left.lts - F.expr(f"INTERVAL {width_s} SECONDS"))
+            & (right.rts <= left.lts))
+    j = left.join(right, cond, "left")
+    return j.groupBy("lid").agg(F.max("rv").alias("mx"), F.max(F.when(F.col("rid").isNotNull(), F.struct("rts", "rid"))).alias("last"),
+                                F.array_sort(F.collect_set("rc")).alias("codes"))
+
+
+def test_trailing_agg_matches_brute_force(spark):
+    random.seed(11)
+    # a hot key, timestamps on block edges (whole hours) and on the range
+    # bounds (right rows exactly width before a left row), NULL keys/times
+    left = [(random.choice([1, 1, 1, 2, None]), T0 + dt.timedelta(hours=random.randint(0, 120),
+                                                                 minutes=random.choice([0, 0, 30])), i)
+            for i in range(160)]
+    left.append((1, None, 999))
+    right = [(random.choice([1, 1, 2, 3, None]),
+              T0 + dt.timedelta(hours=random.randint(0, 140), minutes=random.choice([0, 30, 59])),
+              random.choice([None, 1, 5, 9]), random.choice(["a", "b", "c", None]), j)
+             for j in range(300)]
+    right += [(lk, lts - dt.timedelta(days=1), 42, "edge", 1000 + i)
+              for i, (lk, lts, _) in enumerate(left[:20]) if lts is not None]
+    right += [(lk, lts, 7, "same", 2000 + i) for i, (lk, lts, _) in enumerate(left[20:40]) if lts is not None]
+    L = spark.createDataFrame(left, "lk bigint, lts timestamp_ntz, lid int")
+    R = spark.createDataFrame(right, "rk bigint, rts timestamp_ntz, rv int, rc string, rid int")
+    for width, blk in [(86400, 3600), (86400, 7200), (5400, 3600), (1800, 3600)]:
+        got = joins.trailing_agg(L, R, ["lid"], "lk", "rk", "lts", "rts", width,
+                                 maxes={"mx": F.col("rv"), "last": F.struct("rts", "rid")},
+                                 sets={"codes": F.col("rc")}, block_seconds=blk)
+        assert got.columns == ["lk", "lts", "lid", "mx", "last", "codes"]
+        exp = _trailing_brute(L, R, width)
+        assert rows(got, "lid", "mx", "last", "codes") == rows(exp, "lid", "mx", "last", "codes"), (width, blk)
+
+
 def test_upsert_last_writer_delete_and_replay(spark):
     cur = spark.createDataFrame([(1, "old", 10), (2, "keep", 50), (3, "gone", 5)], "id int, val string, ts int")
     ch = spark.createDataFrame(

@@ -6,13 +6,15 @@
   is ever built.
 * :func:`as_of_join` - point-in-time lookup into an SCD-2 history
   (``eff_from <= ts < eff_to``), bucketed the same way.
+* :func:`trailing_agg` - max / distinct-set aggregates over a trailing time
+  range of another table without building the range join's pairs.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +72,89 @@ def as_of_join(fact: DataFrame, history: DataFrame, fact_key: str, hist_key: str
             & (h[eff_from] <= f[fact_ts])
             & (h[eff_to].isNull() | (f[fact_ts] < h[eff_to])))
     return f.join(h, cond, how).drop("__fm", "__hm")
+
+
+def trailing_agg(left: DataFrame, right: DataFrame, left_id: list[str], left_key: str, right_key: str,
+                 left_ts: str, right_ts: str, width_seconds: int,
+                 maxes: dict[str, Column] | None = None, sets: dict[str, Column] | None = None,
+                 block_seconds: int = 3600) -> DataFrame:
+    """Per distinct ``left_id``: ``max`` and distinct-set aggregates over the
+    right rows with an equal key and ``left_ts - width <= right_ts <= left_ts``.
+
+    The pairs of the range join are never built.  Max and set union are
+    idempotent, so the range is cut into pieces whose results simply merge:
+    time is divided into blocks of ``block_seconds`` (at most the width);
+    the blocks lying wholly inside the range come from one pre-aggregated
+    row per (key, block), the block holding ``left_ts`` from a running
+    aggregate up to ``left_ts``, and the block holding the lower bound from
+    a running aggregate down to it.  Each left row meets at most
+    width / block + 2 rows, and every sort runs inside one (key, block), so
+    a hot key is split by time and the work stays linear in the input.
+
+    ``maxes`` / ``sets`` map an output name to a Column over ``right`` (a
+    struct in ``maxes`` gives the payload of the latest row when its first
+    field is the time).  Sets come out sorted, empty when nothing matched;
+    maxes are NULL then.  Every left row yields exactly one row per
+    distinct ``left_id`` with the left columns unchanged.
+    """
+    maxes, sets = maxes or {}, sets or {}
+    width = int(width_seconds) * 1_000_000
+    block = min(int(block_seconds) * 1_000_000, width)
+    if width <= 0:
+        raise ValueError("width_seconds must be positive")
+
+    def blk(us: Column) -> Column:  # floor(us / block) in exact integer arithmetic
+        return ((us - F.pmod(us, F.lit(block))) / F.lit(block)).cast("bigint")
+
+    def micros(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    vals = list(maxes) + list(sets)
+    ids = [F.col(c) for c in left_id]
+    r = right.select(F.col(right_key).alias("__k"), micros(right_ts).alias("__us"),
+                     *[maxes[n].alias(n) for n in maxes], *[sets[n].alias(n) for n in sets]).filter(
+        F.col("__k").isNotNull() & F.col("__us").isNotNull()).withColumn("__b", blk(F.col("__us")))
+    lft = left.withColumn("__k", F.col(left_key)).withColumn("__us", micros(left_ts)).withColumn(
+        "__lo", F.col("__us") - F.lit(width))
+    probe = lft.filter(F.col("__k").isNotNull() & F.col("__us").isNotNull())
+    id_struct = F.struct(*ids).alias("__id")
+
+    # every (key, block) summarised by one row (combined map-side)
+    per_block = r.groupBy("__k", "__b").agg(*[F.max(n).alias(n) for n in maxes],
+                                            *[F.collect_set(n).alias(n) for n in sets])
+    b_hi, b_lo = blk(F.col("__us")), blk(F.col("__lo"))
+    inner = F.when(b_hi - b_lo >= 2, F.sequence(b_lo + 1, b_hi - 1)).otherwise(
+        F.array().cast("array<bigint>"))
+    full = probe.select(id_struct, "__k", F.explode(inner).alias("__b")).join(per_block, ["__k", "__b"])
+    full = full.select("__id", *[F.col(n) for n in maxes], *[F.col(n) for n in sets])
+
+    # the two edge blocks: right rows (kind 0) with the probes of both edges
+    # (kind 1 = upper edge at left_ts, kind 2 = lower edge at left_ts - width)
+    nul = [F.lit(None).alias(n) for n in vals]
+    edges = r.select(F.lit(None).cast(probe.select(id_struct).schema[0].dataType).alias("__id"),
+                     "__k", "__b", "__us", F.lit(0).alias("__kind"), *vals).unionByName(
+        probe.select(id_struct, "__k", b_hi.alias("__b"), "__us", F.lit(1).alias("__kind"), *nul)).unionByName(
+        probe.select(id_struct, "__k", b_lo.alias("__b"), F.col("__lo").alias("__us"), F.lit(2).alias("__kind"),
+                     *nul))
+    up = Window.partitionBy("__k", "__b").orderBy(F.col("__us").asc(), F.col("__kind").asc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("__k", "__b").orderBy(F.col("__us").desc(), F.col("__kind").asc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+
+    def edge(n: str, agg) -> Column:  # probes carry NULL values, so only right rows count
+        return F.when(F.col("__kind") == 1, agg(n).over(up)).otherwise(agg(n).over(down)).alias(n)
+
+    part = edges.select("__id", "__kind", *[edge(n, F.max) for n in maxes],
+                        *[edge(n, F.collect_set) for n in sets]).filter(F.col("__kind") > 0).drop("__kind")
+
+    # one row per left id: its own columns plus the merged pieces
+    own = lft.select(id_struct, F.struct(*[F.col(c) for c in left.columns]).alias("__self"), *nul)
+    pieces = full.select("__id", F.lit(None).cast(own.schema["__self"].dataType).alias("__self"),
+                         *vals).unionByName(
+        part.select("__id", F.lit(None).cast(own.schema["__self"].dataType).alias("__self"), *vals))
+    allrows = own.select("__id", "__self", *[F.col(n).cast(pieces.schema[n].dataType).alias(n) for n in vals]) \
+        .unionByName(pieces)
+    g = allrows.groupBy("__id").agg(
+        F.first("__self", ignorenulls=True).alias("__self"), *[F.max(n).alias(n) for n in maxes],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in sets])
+    return g.select(*[F.col(f"__self.{c}").alias(c) for c in left.columns], *vals)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decimal_ratio
+from ..operators.joins import trailing_agg
 
 
 # B2 -------------------------------------------------------------------------
@@ -224,14 +225,24 @@ def channel_of(referrer: Column) -> Column:
     return F.when(referrer.isNull() | (host == ""), F.lit("direct")).otherwise(host)
 
 
-def marketing_attribution_cube(touches: DataFrame, as_of: dt.date) -> DataFrame:
+def last_touch(sales: DataFrame, touches: DataFrame, within_days: int = 1) -> DataFrame:
+    """Per order (``invoice_no``, ``customer_sk``, ``invoice_ts``,
+    ``line_total``): the latest session event of the same customer at most
+    ``within_days`` before it, as struct ``t`` (event_ts, referrer,
+    campaign_sk, region); orders no event reached are dropped.  The latest
+    event is a max over (time, payload), so it runs as a trailing aggregate
+    and the (event, order) pairs are never built."""
+    t = trailing_agg(sales.select("invoice_no", "customer_sk", "invoice_ts", "line_total"), touches,
+                     ["invoice_no"], "customer_sk", "customer_sk", "invoice_ts", "event_ts", within_days * 86400,
+                     maxes={"t": F.struct("event_ts", "referrer", "campaign_sk", "region")})
+    return t.filter(F.col("t").isNotNull())
+
+
+def marketing_attribution_cube(last: DataFrame, as_of: dt.date) -> DataFrame:
     """Last-touch attribution: each order goes to the latest session event
-    that reached it (V6 pairs); channel from the referrer host, campaign
-    from that event; cube over channel x campaign x region with cost per
-    attributed order and roas = revenue / cost."""
-    last = touches.groupBy("invoice_no").agg(
-        F.max_by(F.struct("referrer", "campaign_sk", "region"), "session_ts").alias("t"),
-        F.first("line_total").alias("line_total"))
+    that reached it (:func:`last_touch`); channel from the referrer host,
+    campaign from that event; cube over channel x campaign x region with
+    cost per attributed order and roas = revenue / cost."""
     cost = None
     for k, v in CHANNEL_COST.items():
         c = channel_of(F.col("t.referrer")) == k

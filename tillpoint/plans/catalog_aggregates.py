@@ -214,7 +214,6 @@ SELECT channel, campaign_sk, region, attributed_revenue, attributed_units, cost,
 FROM cube""")
 def q_a9(spark, sf):
     from pyspark.sql import functions as F
-    from ..operators.joins import interval_left_join
     me = td.mobile_events(spark, sf)
     stores = td.dim_store(spark, sf).select(F.col("store_sk").alias("__st"), "region")
     ev = me.select("user_id", "event_ts", F.col("context.referrer").alias("referrer"),
@@ -223,9 +222,5 @@ def q_a9(spark, sf):
     ev = ev.join(stores, ev["__store"] == stores["__st"], "left").drop("__store", "__st")
     dc = td.dim_customer(spark, sf).select("customer_id", "customer_sk")
     evc = ev.join(dc, ev.user_id == dc.customer_id).drop("customer_id")
-    sales = td.app_sales(spark, sf).select(F.col("customer_sk").alias("f_sk"), "invoice_no", "invoice_ts",
-                                           "line_total")
-    pairs = interval_left_join(evc, sales, "customer_sk", "f_sk", "event_ts", "invoice_ts", 1).filter(
-        F.col("invoice_no").isNotNull()).select("invoice_no", F.col("event_ts").alias("session_ts"), "referrer",
-                                                 "campaign_sk", "region", "line_total")
-    return a.marketing_attribution_cube(pairs, td.EVENTS_AS_OF)
+    last = a.last_touch(td.app_sales(spark, sf), evc, 1)
+    return a.marketing_attribution_cube(last, td.EVENTS_AS_OF)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decimal_ratio
-from ..operators.joins import interval_left_join
+from ..operators.joins import trailing_agg
 from ..operators.merge import latest_per_key
 from ..operators.sequence import prev_value, running_sum
 
@@ -113,14 +113,14 @@ def fraud_scored(txns: DataFrame, signals: DataFrame, lookback_days: int = 1) ->
     the ``lookback_days`` before it (inclusive), their distinct reason codes
     (sorted), and a band by cutoff (0.8 HIGH, 0.5 MEDIUM, else LOW; NONE
     without signals)."""
-    # one row per (signal, reason code): the per-transaction aggregate then
-    # keeps a set bounded by the distinct codes, never a list of all signals
-    s = signals.select(F.col("customer_id").alias("__sc"), F.col("signal_ts").cast("timestamp_ntz").alias("__sts"),
+    # one row per (signal, reason code); the trailing aggregate never builds
+    # (transaction, signal) pairs, so a customer with a third of all signals
+    # costs a sort per (customer, hour), not a quadratic join
+    s = signals.select("customer_id", F.col("signal_ts").cast("timestamp_ntz").alias("__sts"),
                        "score", F.explode_outer("reason_codes").alias("__code"))
-    j = interval_left_join(txns, s, "customer_id", "__sc", "txn_ts", "__sts",
-                           lo_days=-lookback_days, hi_days=0)
-    g = j.groupBy("txn_id", "customer_id", "txn_ts").agg(
-        F.max("score").alias("__max"), F.array_sort(F.collect_set("__code")).alias("signals"))
+    g = trailing_agg(txns.select("txn_id", "customer_id", "txn_ts"), s, ["txn_id", "customer_id", "txn_ts"],
+                     "customer_id", "customer_id", "txn_ts", "__sts", lookback_days * 86400,
+                     maxes={"__max": F.col("score")}, sets={"signals": F.col("__code")})
     band = (F.when(F.col("__max") >= 0.8, "HIGH").when(F.col("__max") >= 0.5, "MEDIUM")
             .when(F.col("__max").isNotNull(), "LOW").otherwise("NONE"))
     return g.select("txn_id", "customer_id", F.col("__max").cast("decimal(5,4)").alias("fraud_score"),
