@@ -132,3 +132,17 @@ def test_as_of_join_picks_valid_version(spark):
     out = rows(joins.as_of_join(fact, hist, "fk", "hk", "ts"), "fk", "ts", "tag")
     assert [r[2] for r in out] == [None, "v1", "v2", "v2", None][:0] or sorted(
         [r[2] for r in out], key=lambda x: (x is not None, x)) == [None, None, "v1", "v2", "v2"]
+
+
+def test_lookup_join_splits_hot_keys_exactly(spark):
+    from tillpoint.operators import keys
+    random.seed(17)
+    fact = spark.createDataFrame(
+        [(i, 7 if i % 3 == 0 else random.choice([1, 2, 3, 4, 5, 99, None])) for i in range(900)],
+        "fid int, fk bigint")
+    dim = spark.createDataFrame([(k, f"name{k}") for k in [1, 2, 3, 4, 5, 7]], "dk bigint, name string")
+    assert keys.hot_keys(fact, "fk", 0.2) == [7]
+    for how in ["left", "inner"]:
+        got = keys.lookup_join(fact, dim, "fk", "dk", how, share=0.2)
+        exp = fact.join(dim, fact.fk == dim.dk, how)
+        assert rows(got, "fid", "fk", "dk", "name") == rows(exp, "fid", "fk", "dk", "name")

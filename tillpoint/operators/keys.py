@@ -36,3 +36,33 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Return ``broadcast(df)`` when it has at most ``max_rows`` rows (one
     counting job), else ``df`` unchanged."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+    """Non-NULL values of ``key`` holding more than ``share`` of the rows.
+    At most 1 / share values can, so the list brought to the driver is
+    bounded (100 keys at 1 %) whatever the size of ``df``."""
+    total = df.count()
+    if total == 0:
+        return []
+    heavy = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(
+        F.col(key).isNotNull() & (F.col("__n") > F.lit(total * share)))
+    return [r[0] for r in heavy.select(key).collect()]
+
+
+def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "left",
+                share: float = 0.01) -> DataFrame:
+    """``fact`` joined to ``dim`` whose ``dim_key`` is unique (key names
+    must differ).  Keys with more than ``share`` of the fact rows (see
+    :func:`hot_keys`) are joined to a broadcast of just their dimension
+    rows, so a key with a third of the facts is never shuffled into one
+    task; the remaining keys take the usual shuffle join.  Exact: each fact
+    row goes through exactly one of the two joins."""
+    cond = F.col(fact_key) == F.col(dim_key)
+    hot = hot_keys(fact.select(fact_key), fact_key, share)
+    if not hot:
+        return fact.join(dim, cond, how)
+    is_hot = F.coalesce(F.col(fact_key).isin(hot), F.lit(False))
+    hot_dim = dim.filter(F.col(dim_key).isin(hot))  # at most len(hot) rows: proven bound
+    return fact.filter(is_hot).join(F.broadcast(hot_dim), cond, how).unionByName(
+        fact.filter(~is_hot).join(dim, cond, how))

@@ -221,6 +221,7 @@ def q_a9(spark, sf):
                    (F.col("user_id").cast("bigint") % 10).alias("__store"))
     ev = ev.join(stores, ev["__store"] == stores["__st"], "left").drop("__store", "__st")
     dc = td.dim_customer(spark, sf).select("customer_id", "customer_sk")
-    evc = ev.join(dc, ev.user_id == dc.customer_id).drop("customer_id")
+    from ..operators.keys import lookup_join
+    evc = lookup_join(ev, dc, "user_id", "customer_id", "inner").drop("customer_id")  # hot users
     last = a.last_touch(td.app_sales(spark, sf), evc, 1)
     return a.marketing_attribution_cube(last, td.EVENTS_AS_OF)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.country import normalize_country
 from ..operators.hierarchy import expand_hierarchy
 from ..operators.joins import interval_left_join
+from ..operators.keys import lookup_join
 from ..operators.ranking import BUCKET, quantile_cuts, rank_within_buckets, with_value_bucket
 
 RATIO_DIGITS = 6
@@ -161,7 +162,7 @@ def session_to_order(mobile_events: DataFrame, dim_customer: DataFrame,
                      fact_sales: DataFrame, within_days: int = 1) -> DataFrame:
     ev = mobile_events.select("user_id", "event_ts", F.col("context.referrer").alias("referrer"))
     dc = dim_customer.select("customer_id", "customer_sk")
-    evc = ev.join(dc, ev.user_id == dc.customer_id, "left").drop("customer_id")
+    evc = lookup_join(ev, dc, "user_id", "customer_id", "left").drop("customer_id")  # hot users
     f = fact_sales.select(F.col("customer_sk").alias("f_customer_sk"), "invoice_no",
                           "invoice_ts", "line_total")
     j = interval_left_join(evc, f, "customer_sk", "f_customer_sk", "event_ts", "invoice_ts",

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keys import lookup_join
+
 # As-of dates per data domain (the driver's data is historical, so
 # "CURRENT_DATE()" is pinned to the last day of each domain).
 SALES_AS_OF = dt.date(2001, 8, 1)      # last order date
@@ -98,7 +100,7 @@ def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = F.broadcast(nation_countries(spark, sf_dir).select("n_nationkey", "sales_country"))
     cust = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "sales_country")
-    oc = o.join(cust, o.o_custkey == cust.c_custkey, "left")
+    oc = lookup_join(o, cust, "o_custkey", "c_custkey", "left")  # a customer may hold a third of the orders
     price = F.col("l_extendedprice").cast("decimal(15,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
     qty = F.col("l_quantity").cast("bigint")
