@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import NULL_ID, by_doc, column, exchange_width, in_buckets, int64s, pack, split_by, unpack
-from .sharing import gathered, shared_values
+from .common import (NULL_ID, column, exchange_width, in_buckets, int64s, pack, split_by, squeeze, stretch_out, unboxed,
+                     unpack)
+from .sharing import BITS, gathered, shared_values
 
 WINDOW = 2
 MEAN = 4
@@ -64,7 +65,6 @@ def chunks(raw: bytes | None, **how) -> tuple[list[bytes], list[int]]:
 
 def documents(tab: pa.Table):
     """``(number, doc_id, lines, chunk bounds)`` in a fixed order."""
-    tab = by_doc(tab)
     ids = int64s(tab, "doc_id").tolist()
     for d, raw in enumerate(column(tab, "text").cast(pa.large_binary())):
         lines, ends = chunks(raw.as_py())
@@ -83,17 +83,17 @@ def chunk_hashes(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def nominate(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
     out = {k: [] for k in ("dest", "bucket", "kind", "blob", "lens", "firsts", "refs")}
-    known = set(gathered(right).tolist())
+    known = set(gathered(right, shards).tolist())
     if left.num_rows and known:
         bucket = int(column(left, "bucket")[0].as_py())
         number: dict[bytes, int] = {}
         shard, first, places = [], [], []
-        for d, i, lines, bounds in documents(left):
+        for d, i, lines, bounds in documents(unboxed(left)):
             for c, (a, b) in enumerate(bounds):
                 if b - a > 1:
                     text = b"\n".join(lines[a:b])
                     h = xxhash.xxh3_64_intdigest(text)
-                    if h in known:
+                    if (h // shards & (1 << BITS) - 1) * shards + h % shards in known:
                         n = number.setdefault(text, len(number))
                         if n == len(shard):
                             shard.append(h % shards)
@@ -105,7 +105,7 @@ def nominate(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
             part = order[ends[s]:ends[s + 1]]
             if len(part):
                 texts = [keys[p] for p in part]
-                for k, v in zip(out, (s, bucket, 0, b"".join(texts), pack(np.array([len(t) for t in texts], np.int64)),
+                for k, v in zip(out, (s, bucket, 0, squeeze(b"".join(texts)), pack(np.array([len(t) for t in texts], np.int64)),
                                       pack(first[part]), pack(part))):
                     out[k].append(v)
         if places:
@@ -125,7 +125,7 @@ def compare(tab: pa.Table, shards: int) -> pa.Table:
     for blob, lens, firsts, dest in zip(rows["blob"], rows["lens"], rows["firsts"], rows["dest"]):
         texts.append([])
         if dest < shards:
-            end = np.cumsum(unpack(lens, np.int64)).tolist()
+            blob, end = stretch_out(blob), np.cumsum(unpack(lens, np.int64)).tolist()
             for a, b, place in zip([0, *end], end, map(tuple, unpack(firsts, np.int64).reshape(-1, 2).tolist())):
                 text = blob[a:b]
                 texts[-1].append(text)
@@ -150,7 +150,7 @@ def cut_documents(left: pa.Table, right: pa.Table, with_kept: bool) -> pa.Table:
             first.update(zip(unpack(refs, np.int64).tolist(), map(tuple, unpack(firsts, np.int64).reshape(-1, 2).tolist())))
         else:
             place.update(((d, c), n) for n, d, c in unpack(refs, np.int64).reshape(-1, 3).tolist())
-    for d, i, lines, bounds in documents(left) if left.num_rows else ():
+    for d, i, lines, bounds in documents(unboxed(left)) if left.num_rows else ():
         kept, gone, cut = [], 0, 0
         for c, (a, b) in enumerate(bounds):
             n = place.get((d, c))

@@ -34,9 +34,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import (NULL_ID, by_doc, column, exchange_width, in_buckets, int64s, is_member, mix, pack, run_starts,
-                     sliding_min, split_by, unpack)
-from .sharing import gathered, shared_values
+from .common import (NULL_ID, column, exchange_width, in_buckets, int64s, is_member, mix, pack, run_starts,
+                     sliding_min, split_by, squeeze, stretch_out, unboxed, unpack)
+from .sharing import gathered, reduced, shared_values
 from .wordseq import Words, sequence_hashes, split_words, whole, word_hashes
 
 LENGTH = 13
@@ -56,7 +56,6 @@ def window_samples(words: Words, hashes: np.ndarray, length: int, gram: int) ->
 
 
 def sample_values(tab: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    tab = by_doc(tab)
     words = split_words(column(tab, "text"))
     ids = int64s(tab, "doc_id")
     low, valid = window_samples(words, word_hashes(words.vocab), length, gram)
@@ -83,9 +82,9 @@ def grouped(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidate_windows(left: pa.Table, right: pa.Table, length: int, gram: int, shards: int) -> pa.Table:
     out = {k: [] for k in ("dest", "bucket", "prints", "docs", "multi")}
-    known = gathered(right)
+    known = gathered(right, shards)
     if left.num_rows and len(known):
-        tab = by_doc(left)
+        tab = unboxed(left)
         words = split_words(column(tab, "text"))
         ids = int64s(tab, "doc_id")
         hashes = word_hashes(words.vocab)
@@ -94,7 +93,7 @@ def candidate_windows(left: pa.Table, right: pa.Table, length: int, gram: int, s
         hit = np.zeros(len(low), bool)
         hit[at] = True
         run = np.cumsum(hit) - 1
-        member = is_member(low[at], known)
+        member = is_member(reduced(low[at], shards), known)
         starts = np.flatnonzero(valid & (member[run] if len(at) else valid))
         a, b = (p[starts] for p in window_prints(words, hashes, length))
         docs = ids[words.doc[starts]]
@@ -110,7 +109,7 @@ def candidate_windows(left: pa.Table, right: pa.Table, length: int, gram: int, s
                 part = order[ends[s]:ends[s + 1]]
                 if len(part):
                     for k, v in zip(out, (s, bucket, pack(np.c_[a[part], b[part]]), pack(docs[part]),
-                                          pack(np.packbits(multi[part])))):
+                                          squeeze(np.packbits(multi[part]).tobytes()))):
                         out[k].append(v)
     kinds = {"dest": pa.int32(), "bucket": pa.int32()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
@@ -120,7 +119,7 @@ def confirm(tab: pa.Table) -> pa.Table:
     bucket = column(tab, "bucket").to_numpy()
     prints = [unpack(x, np.uint64).reshape(-1, 2) for x in column(tab, "prints").to_pylist()]
     docs = np.concatenate([unpack(x, np.int64) for x in column(tab, "docs").to_pylist()])
-    multi = np.concatenate([np.unpackbits(unpack(x, np.uint8), count=len(p)).astype(bool)
+    multi = np.concatenate([np.unpackbits(np.frombuffer(stretch_out(x), np.uint8), count=len(p)).astype(bool)
                             for x, p in zip(column(tab, "multi").to_pylist(), prints)])
     home = np.repeat(bucket, [len(p) for p in prints])
     both = np.concatenate(prints)
@@ -216,7 +215,7 @@ def cut_documents(left: pa.Table, right: pa.Table, length: int, with_kept: bool)
         fields["kept"] = pa.string()
     if left.num_rows == 0:
         return pa.table({k: pa.array([], t) for k, t in fields.items()})
-    tab = by_doc(left)
+    tab = unboxed(left)
     ids = int64s(tab, "doc_id")
     words = split_words(column(tab, "text"))
     gone = removed_words(words, ids, right, length) if right.num_rows else np.zeros(len(words.code), bool)

@@ -37,9 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import (NULL_ID, by_doc, column, exchange_width, flat_text, in_buckets, int64s, is_member, mix, pack,
-                     run_starts, slices, sliding_min, split_by, unpack)
-from .sharing import gathered, shared_values
+from .common import (NULL_ID, column, exchange_width, flat_text, in_buckets, int64s, is_member, mix, pack,
+                     run_starts, slices, sliding_min, split_by, squeeze, stretch_out, unboxed, unpack)
+from .sharing import gathered, reduced, shared_values
 
 LENGTH = 50
 GRAM = 24
@@ -81,7 +81,6 @@ def samples(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
 
 
 def sample_values(tab: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    tab = by_doc(tab)
     buf, off = flat_text(column(tab, "text"))
     ids = int64s(tab, "doc_id")
     vals, docs = [], []
@@ -101,10 +100,10 @@ def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: i
     """Distinct stretches of surviving suffixes of a bucket, by shard, and
     (kind 1, addressed to the bucket itself) where each one occurs."""
     out = {k: [] for k in ("dest", "bucket", "kind", "blob", "lens", "docs", "refs")}
-    known = gathered(right)
+    known = gathered(right, shards)
     if left.num_rows and len(known):
         bucket = int(column(left, "bucket")[0].as_py())
-        tab = by_doc(left)
+        tab = unboxed(left)
         buf, off = flat_text(column(tab, "text"))
         ids = int64s(tab, "doc_id")
         number: dict[bytes, int] = {}
@@ -119,7 +118,7 @@ def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: i
                 nxt = np.searchsorted(stop, at)
                 ends = np.r_[stop, len(low)][nxt]
                 ends[:-1] = np.minimum(ends[:-1], at[1:])
-            hit = is_member(low[at], known)
+            hit = is_member(reduced(low[at], shards), known)
             at, ends = at[hit], ends[hit]
             doc = np.searchsorted(off, at + base, side="right") - 1
             raw = buf[base:off[j]].tobytes()
@@ -140,7 +139,7 @@ def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: i
             for s in range(shards):
                 part = order[ends[s]:ends[s + 1]]
                 if len(part):
-                    for k, v in (("dest", s), ("bucket", bucket), ("kind", 0), ("blob", b"".join([keys[p] for p in part])),
+                    for k, v in (("dest", s), ("bucket", bucket), ("kind", 0), ("blob", squeeze(b"".join([keys[p] for p in part]))),
                                  ("lens", pack(lens[part])), ("docs", pack(mins[part])), ("refs", pack(part))):
                         out[k].append(v)
             for k, v in (("dest", shards + bucket), ("bucket", bucket), ("kind", 1), ("blob", b""),
@@ -204,11 +203,12 @@ def sort_shard(tab: pa.Table, length: int, shards: int) -> pa.Table:
         for r in range(tab.num_rows):
             emit(bucket[r], 1, refs[r], lens[r], docs[r])
     else:
-        buf = np.frombuffer(b"".join(blobs), np.uint8)
-        size = np.concatenate([unpack(x, np.int64) for x in lens])
+        buf = np.frombuffer(b"".join(map(stretch_out, blobs)), np.uint8)
+        lens = [unpack(x, np.int64) for x in lens]
+        size = np.concatenate(lens)
         mins = np.concatenate([unpack(x, np.int64) for x in docs])
         ref = np.concatenate([unpack(x, np.int64) for x in refs])
-        home = np.repeat(bucket, [len(x) // 8 for x in lens])
+        home = np.repeat(bucket, [len(x) for x in lens])
         begin = np.cumsum(np.r_[0, size])[:-1]
         windows = size - length + 1
         stretch = np.repeat(np.arange(len(size)), windows)
@@ -257,7 +257,7 @@ def cut_documents(left: pa.Table, right: pa.Table, length: int, with_kept: bool)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     out: dict[str, list] = {k: [] for k in names}
     if left.num_rows:
-        tab = by_doc(left)
+        tab = unboxed(left)
         buf, off = flat_text(column(tab, "text"))
         ids = int64s(tab, "doc_id")
         gone = removed_mask(ids, off, right, length) if right.num_rows else np.zeros(len(buf), bool)
