@@ -9,17 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
+def vocabulary(name: str) -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_dedup import phrase_dedup
+    return phrase_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op3_suffix_dedup,
+        op2_best_fit_packing, op3_suffix_dedup, op5_phrase_dedup, op10_line_dedup,
     )}
 
 
