@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes: space and \t \n \v \f \r.
@@ -26,9 +26,14 @@ def exchange_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_of(doc_id: Column, buckets: int) -> Column:
+    """Bucket of a document, by its id; rows without one go by their text."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+
+
 def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     """``(bucket, box)``: whole documents dealt evenly over buckets by a hash
-    of their id and length.  A box holds the ids and texts that one batch of
+    of their id (see :func:`bucket_of`).  A box holds the ids and texts that one batch of
     rows has for one bucket, compressed, so a shuffle of the texts takes about
     half of what rows of strings take.  Other columns are left out."""
     def boxes(batches):
@@ -48,7 +53,7 @@ def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "box"])
 
     return docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(buckets)).cast("int").alias("bucket"),
+        bucket_of(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), buckets).alias("bucket"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
     ).mapInArrow(boxes, "bucket int, box binary")
 
