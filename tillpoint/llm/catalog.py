@@ -28,11 +28,27 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrase_dedup import phrase_dedup
     return phrase_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import featurised, fit, scored
+    feats = featurised(table(spark, sf_dir, "documents")).checkpoint()
+    return scored(feats, fit(feats, table(spark, sf_dir, "labels")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
     return line_dedup(table(spark, sf_dir, "documents"))
@@ -40,9 +56,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_suffix_dedup, op5_phrase_dedup, op10_line_dedup,
+        op2_best_fit_packing, op3_suffix_dedup, op4_mixing, op5_phrase_dedup, op7_near_dedup,
+        op9_quality, op10_line_dedup,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+    return {"op4_mixing": oracles.OP4}
