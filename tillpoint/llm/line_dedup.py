@@ -170,7 +170,7 @@ def cut_documents(left: pa.Table, right: pa.Table, with_kept: bool) -> pa.Table:
 def line_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """One row per document; ``with_kept`` adds the remaining text."""
     width = exchange_width(docs.sparkSession)
-    buckets, shards = 4 * width, 2 * width
+    buckets, shards = 2 * width, width
     dealt = in_buckets(docs, buckets)
     shared = shared_values(dealt, chunk_hashes, shards)
     found = (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))

@@ -236,7 +236,7 @@ def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     width = exchange_width(docs.sparkSession)
-    buckets, shards = 4 * width, 2 * width
+    buckets, shards = 2 * width, width
     dealt = in_buckets(docs, buckets)
     sketched = (dealt.groupBy("bucket").applyInArrow(lambda t: sketch_bucket(t, shingle, shards), SKETCHED)
                 .groupBy("dest").applyInArrow(lambda t: meet(t, shards), SKETCHED).checkpoint())

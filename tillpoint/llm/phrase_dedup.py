@@ -42,7 +42,7 @@ from .wordseq import Words, sequence_hashes, split_words, whole, word_hashes
 LENGTH = 13
 GRAM = 6
 #: Words that one automaton covers.
-SHARD_WORDS = 100_000
+SHARD_WORDS = 50_000
 #: Letters for words: code points after the separator, surrogates left out.
 LETTERS = 0x110000 - 0x800 - 2
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -235,7 +235,7 @@ def phrase_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_k
     starts in a document with a smaller doc_id.  One row per document;
     ``with_kept`` adds the kept words joined by one space."""
     width = exchange_width(docs.sparkSession)
-    buckets, shards = 4 * width, 2 * width
+    buckets, shards = 2 * width, width
     dealt = in_buckets(docs, buckets)
     shared = shared_values(dealt, lambda t: sample_values(t, length, gram), shards)
     found = (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))

@@ -44,6 +44,8 @@ from .sharing import gathered, reduced, shared_values
 LENGTH = 50
 GRAM = 24
 STEP_BYTES = 1 << 20
+#: Parts of a shard, by sample, that are sorted one after the other.
+PARTS = 8
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 REMAINDER = RESULT + ", kept binary"
 STRETCH = "dest int, bucket int, kind int, blob binary, lens binary, docs binary, refs binary"
@@ -98,7 +100,8 @@ def sample_values(tab: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np
 
 def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: int) -> pa.Table:
     """Distinct stretches of surviving suffixes of a bucket, by shard, and
-    (kind 1, addressed to the bucket itself) where each one occurs."""
+    (kind 1, addressed to the bucket itself) where each one occurs.  A
+    stretch's reference to a shard is its number times ``PARTS`` plus its part."""
     out = {k: [] for k in ("dest", "bucket", "kind", "blob", "lens", "docs", "refs")}
     known = gathered(right, shards)
     if left.num_rows and len(known):
@@ -107,7 +110,7 @@ def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: i
         buf, off = flat_text(column(tab, "text"))
         ids = int64s(tab, "doc_id")
         number: dict[bytes, int] = {}
-        ref, at_doc, at_pos, first, shard, size = [], [], [], [], [], []
+        ref, at_doc, at_pos, first, shard, part_of, size = [], [], [], [], [], [], []
         for i, j in slices(off, STEP_BYTES):
             base = off[i]
             low, valid = samples(buf[base:off[j]], off[i:j + 1] - base, length, gram)
@@ -122,12 +125,15 @@ def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: i
             at, ends = at[hit], ends[hit]
             doc = np.searchsorted(off, at + base, side="right") - 1
             raw = buf[base:off[j]].tobytes()
-            for a, e, d, s in zip(at.tolist(), ends.tolist(), doc.tolist(), (low[at] % np.uint64(shards)).tolist()):
+            value = reduced(low[at], shards)
+            place, piece = (value % np.uint64(shards)).tolist(), (value // np.uint64(shards) % np.uint64(PARTS)).tolist()
+            for a, e, d, s, q in zip(at.tolist(), ends.tolist(), doc.tolist(), place, piece):
                 key = raw[a:e + length - 1]
                 n = number.setdefault(key, len(number))
                 if n == len(first):
                     first.append(ids[d])
                     shard.append(s)
+                    part_of.append(q)
                     size.append(len(key))
                 ref.append(n)
                 at_doc.append(d)
@@ -136,11 +142,12 @@ def stretches(left: pa.Table, right: pa.Table, length: int, gram: int, shards: i
             keys = list(number)
             order, ends = split_by(np.array(shard, np.int32), shards)
             lens, mins = np.array(size, np.int64), np.array(first, np.int64)
+            sent = np.arange(len(keys)) * PARTS + np.array(part_of)
             for s in range(shards):
                 part = order[ends[s]:ends[s + 1]]
                 if len(part):
                     for k, v in (("dest", s), ("bucket", bucket), ("kind", 0), ("blob", squeeze(b"".join([keys[p] for p in part]))),
-                                 ("lens", pack(lens[part])), ("docs", pack(mins[part])), ("refs", pack(part))):
+                                 ("lens", pack(lens[part])), ("docs", pack(mins[part])), ("refs", pack(sent[part]))):
                         out[k].append(v)
             for k, v in (("dest", shards + bucket), ("bucket", bucket), ("kind", 1), ("blob", b""),
                          ("lens", pack(np.array(at_pos, np.int64))), ("docs", pack(np.array(at_doc, np.int64))),
@@ -210,19 +217,23 @@ def sort_shard(tab: pa.Table, length: int, shards: int) -> pa.Table:
         ref = np.concatenate([unpack(x, np.int64) for x in refs])
         home = np.repeat(bucket, [len(x) for x in lens])
         begin = np.cumsum(np.r_[0, size])[:-1]
-        windows = size - length + 1
-        stretch = np.repeat(np.arange(len(size)), windows)
-        inner = np.arange(windows.sum()) - np.repeat(np.cumsum(np.r_[0, windows])[:-1], windows)
-        least = mins[stretch]
-        idx, low = repeated_windows(buf, begin[stretch] + inner, stretch, mins, length)
-        least[idx] = low
-        cut = np.flatnonzero(np.r_[True, (stretch[1:] != stretch[:-1]) | (least[1:] != least[:-1])]) if len(least) else least
-        runs = np.diff(np.r_[cut, len(least)])
-        own = stretch[cut]
+        found = []
+        for part in range(PARTS):
+            some = np.flatnonzero(ref % PARTS == part)
+            windows = size[some] - length + 1
+            stretch = np.repeat(some, windows)
+            inner = np.arange(windows.sum()) - np.repeat(np.cumsum(np.r_[0, windows])[:-1], windows)
+            least = mins[stretch]
+            idx, low = repeated_windows(buf, begin[stretch] + inner, stretch, mins, length)
+            least[idx] = low
+            if len(least):
+                cut = np.flatnonzero(np.r_[True, (stretch[1:] != stretch[:-1]) | (least[1:] != least[:-1])])
+                found.append((stretch[cut], inner[cut], np.diff(np.r_[cut, len(least)]), least[cut]))
+        own, inner, runs, least = map(np.concatenate, zip(*found))
         order, ends = split_by(home[own], int(bucket.max()) + 1)
         for b in np.unique(home):
-            part = order[ends[b]:ends[b + 1]]
-            emit(int(b), 0, pack(ref[own[part]]), pack(np.c_[inner[cut[part]], runs[part]]), pack(least[cut[part]]))
+            at = order[ends[b]:ends[b + 1]]
+            emit(int(b), 0, pack(ref[own[at]] // PARTS), pack(np.c_[inner[at], runs[at]]), pack(least[at]))
     kinds = {"bucket": pa.int32(), "kind": pa.int32()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
@@ -283,7 +294,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_k
     most ``length``.  One row per document; ``with_kept`` adds the remaining
     bytes themselves."""
     width = exchange_width(docs.sparkSession)
-    buckets, shards = 4 * width, 2 * width
+    buckets, shards = 2 * width, width
     dealt = in_buckets(docs, buckets)
     shared = shared_values(dealt, lambda t: sample_values(t, length, gram), shards)
     found = (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
