@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integer_vectors, top_k
+    return top_k(integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -38,11 +43,21 @@ def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_report
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_windows, read_back, with_control_case
+    return read_back(format_windows(with_control_case(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import featurised, fit, scored
     feats = featurised(table(spark, sf_dir, "documents")).checkpoint()
@@ -56,11 +71,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_suffix_dedup, op4_mixing, op5_phrase_dedup, op7_near_dedup,
-        op9_quality, op10_line_dedup,
+        op1_topk, op2_best_fit_packing, op3_suffix_dedup, op4_mixing, op5_phrase_dedup,
+        op6_fingerprints, op7_near_dedup, op8_chat, op9_quality, op10_line_dedup,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
-    return {"op4_mixing": oracles.OP4}
+    return {"op1_topk": oracles.OP1, "op4_mixing": oracles.OP4, "op5_phrase_dedup": oracles.OP5,
+            "op7_near_dedup": oracles.OP7, "op8_chat": oracles.OP8}

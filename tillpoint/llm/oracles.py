@@ -38,3 +38,92 @@ SELECT doc_id, size, source_size, target,
        (whole + CASE WHEN words_before + size / 2 < target - whole * source_size THEN 1 ELSE 0 END)::INT AS copies
 FROM ranked
 """
+
+OP1 = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+OP5 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS start, words FROM docs WHERE len(words) >= 13),
+keyed AS (
+  SELECT doc_id, start, array_to_string(words[start:start + 12], ' ') AS w FROM windows),
+firsts AS (SELECT w, min(doc_id) AS first FROM keyed GROUP BY w),
+gone AS (
+  SELECT DISTINCT k.doc_id, unnest(range(k.start, k.start + 13)) AS pos
+  FROM keyed k JOIN firsts f USING (w) WHERE f.first < k.doc_id),
+each AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, coalesce(string_agg(word, ' ' ORDER BY e.pos), '') AS text
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+OP7 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                      WHEN len(w) = 1 THEN w ELSE []::VARCHAR[] END AS s
+  FROM docs),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 80 * (n + m - shared)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, seen) AS (
+  SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+labels AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(l.label, s.doc_id) AS component_id,
+       s.doc_id = coalesce(l.label, s.doc_id) AS kept
+FROM sets s LEFT JOIN labels l ON l.node = s.doc_id
+"""
+
+OP8 = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+         16 + len(role) + len(text) + len(regexp_replace(role || text, '[^\\<\[|]', '', 'g')) AS chars
+  FROM raw),
+started AS (
+  SELECT *, pos = 1 AND role = 'system' AS is_system,
+         coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS s_tokens,
+         coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id), 0) AS s_chars
+  FROM numbered),
+roomed AS (SELECT *, greatest(32, floor((512 - 128 - s_tokens) / 2)) AS room FROM started),
+opened AS (
+  SELECT *, coalesce(pos = 1 OR tokens > room OR lag(tokens) OVER c > room
+                     OR floor(start / room) <> floor(lag(start) OVER c / room), false) AS opens,
+         coalesce(sum(CASE WHEN NOT is_system THEN chars END)
+                  OVER (PARTITION BY conv_id ORDER BY start RANGE BETWEEN 128 PRECEDING AND 1 PRECEDING), 0) AS old_chars
+  FROM roomed WINDOW c AS (PARTITION BY conv_id ORDER BY pos))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(chars) + sum(CASE WHEN opens AND pos > 1 THEN s_chars + old_chars ELSE 0 END))::BIGINT AS formatted_chars
+FROM opened GROUP BY conv_id
+"""
