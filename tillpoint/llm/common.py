@@ -31,18 +31,19 @@ def bucket_of(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
-def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
+def in_buckets(docs: DataFrame, buckets: int, carry: list[str] | None = None) -> DataFrame:
     """``(bucket, box)``: whole documents dealt evenly over buckets by a hash
     of their id (see :func:`bucket_of`).  A box holds the ids and texts that one batch of
     rows has for one bucket, compressed, so a shuffle of the texts takes about
-    half of what rows of strings take.  Other columns are left out."""
+    half of what rows of strings take.  The columns of ``carry`` travel along
+    as one struct, ``rest``, so their names are free; others are left out."""
     def boxes(batches):
         how = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             tab = pa.Table.from_batches([batch])
             bucket = column(tab, "bucket").to_numpy()
             order, ends = split_by(bucket, buckets)
-            tab = tab.select(["doc_id", "text"]).take(pa.array(order))
+            tab = tab.drop_columns(["bucket"]).take(pa.array(order))
             rows = [b for b in range(buckets) if ends[b + 1] > ends[b]]
             blobs = []
             for b in rows:
@@ -55,6 +56,7 @@ def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(
         bucket_of(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), buckets).alias("bucket"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *([F.struct(*carry).alias("rest")] if carry else []),
     ).mapInArrow(boxes, "bucket int, box binary")
 
 

@@ -23,8 +23,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import (NULL_ID, column, exchange_width, in_buckets, int64s, pack, split_by, squeeze, stretch_out, unboxed,
                      unpack)
@@ -140,9 +142,9 @@ def compare(tab: pa.Table, shards: int) -> pa.Table:
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
 
-def cut_documents(left: pa.Table, right: pa.Table, with_kept: bool) -> pa.Table:
-    names = ["doc_id", "n_lines", "n_removed", "n_chunks", "n_chunks_removed", "kept_sha256"] + ["kept"] * with_kept
-    out: dict[str, list] = {k: [] for k in names}
+def decided(left: pa.Table, right: pa.Table):
+    """``(doc_id, lines, kept lines, chunks, removed chunks)`` of a bucket's
+    documents, in the order of :func:`unboxed`."""
     first: dict[int, tuple[int, int]] = {}
     place: dict[tuple[int, int], int] = {}
     for kind, refs, firsts in zip(*(column(right, c).to_pylist() for c in ("kind", "refs", "firsts"))):
@@ -150,31 +152,71 @@ def cut_documents(left: pa.Table, right: pa.Table, with_kept: bool) -> pa.Table:
             first.update(zip(unpack(refs, np.int64).tolist(), map(tuple, unpack(firsts, np.int64).reshape(-1, 2).tolist())))
         else:
             place.update(((d, c), n) for n, d, c in unpack(refs, np.int64).reshape(-1, 3).tolist())
-    for d, i, lines, bounds in documents(unboxed(left)) if left.num_rows else ():
-        kept, gone, cut = [], 0, 0
+    for d, i, lines, bounds in documents(left):
+        kept, cut = [], 0
         for c, (a, b) in enumerate(bounds):
             n = place.get((d, c))
             if n is not None and first[n] < (i, a):
-                gone, cut = gone + b - a, cut + 1
+                cut += 1
             else:
                 kept += lines[a:b]
-        text = b"\n".join(kept)
-        row = [None if i == NULL_ID else i, len(lines), gone, len(bounds), cut, hashlib.sha256(text).hexdigest(), text]
+        yield i, lines, kept, bounds, cut
+
+
+def cut_documents(left: pa.Table, right: pa.Table) -> pa.Table:
+    names = ["doc_id", "n_lines", "n_removed", "n_chunks", "n_chunks_removed", "kept_sha256"]
+    out: dict[str, list] = {k: [] for k in names}
+    for i, lines, kept, bounds, cut in decided(unboxed(left), right) if left.num_rows else ():
+        row = (None if i == NULL_ID else i, len(lines), len(lines) - len(kept), len(bounds), cut,
+               hashlib.sha256(b"\n".join(kept)).hexdigest())
         for k, v in zip(out, row):
             out[k].append(v)
-    kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
-    tab = pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
-    return tab.set_column(tab.num_columns - 1, "kept", tab["kept"].cast(pa.string())) if with_kept else tab
+    return pa.table({k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()})
+
+
+def cut_rows(left: pa.Table, right: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The documents themselves, with what remains of their texts."""
+    if left.num_rows == 0:
+        return schema.empty_table()
+    tab = unboxed(left)
+    texts = [None if t is None else b"\n".join(k) for t, (_, _, k, _, _) in
+             zip(column(tab, "text").to_pylist(), decided(tab, right))]
+    text = pa.array(texts, pa.binary()).cast(pa.string())
+    rest = column(tab, "rest") if "rest" in tab.column_names else None
+    cols = []
+    for field in schema:
+        if field.name == "text":
+            cols.append(text)
+        elif field.name == "doc_id":
+            cols.append(column(tab, "doc_id"))
+        elif field.name == "n_chars":
+            cols.append(pc.utf8_length(text).cast(field.type))
+        else:
+            cols.append(rest.field(field.name).cast(field.type))
+    return pa.table(cols, schema=schema)
 
 
-def line_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
-    """One row per document; ``with_kept`` adds the remaining text."""
-    width = exchange_width(docs.sparkSession)
-    buckets, shards = 2 * width, width
-    dealt = in_buckets(docs, buckets)
+def found_chunks(dealt: DataFrame, shards: int) -> DataFrame:
     shared = shared_values(dealt, chunk_hashes, shards)
-    found = (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
-             .applyInArrow(lambda a, b: nominate(a, b, shards), NOMINATED)
-             .groupBy("dest").applyInArrow(lambda t: compare(t, shards), FIRSTS))
-    return (dealt.groupBy("bucket").cogroup(found.groupBy("bucket"))
-            .applyInArrow(lambda a, b: cut_documents(a, b, with_kept), RESULT + ", kept string" * with_kept))
+    return (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
+            .applyInArrow(lambda a, b: nominate(a, b, shards), NOMINATED)
+            .groupBy("dest").applyInArrow(lambda t: compare(t, shards), FIRSTS))
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """One row per document: what was removed, and a digest of the rest."""
+    width = exchange_width(docs.sparkSession)
+    dealt = in_buckets(docs, 2 * width)
+    return (dealt.groupBy("bucket").cogroup(found_chunks(dealt, width).groupBy("bucket"))
+            .applyInArrow(cut_documents, RESULT))
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns: ``text`` is what remains, and
+    ``n_chars`` (if there) its length; a null text stays null."""
+    width = exchange_width(docs.sparkSession)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    dealt = in_buckets(docs, 2 * width, others)
+    schema = to_arrow_schema(docs.schema)
+    return (dealt.groupBy("bucket").cogroup(found_chunks(dealt, width).groupBy("bucket"))
+            .applyInArrow(lambda a, b: cut_rows(a, b, schema), docs.schema))

@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import (NULL_ID, bucket_of, column, exchange_width, in_buckets, int64s, mix, pack, split_by, squeeze,
                      stretch_out, unboxed, unpack)
@@ -285,3 +286,25 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     return (every.join(final, F.col("doc_id") == F.col("doc"), "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The documents that :func:`near_dedup` keeps, with all their columns;
+    of repeated rows of one doc_id the first by text."""
+    buckets = 2 * exchange_width(docs.sparkSession)
+    kept = near_dedup(docs, shingle, similar).where("kept").select(F.col("doc_id").alias("id"))
+    kept = kept.where("id IS NOT NULL").withColumn("bucket", bucket_of(F.col("id"), buckets))
+    schema = to_arrow_schema(docs.schema)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0:
+            return schema.empty_table()
+        tab = once(unboxed(left))
+        ids = column(tab, "doc_id")
+        tab = tab.filter(pc.or_(pc.is_null(ids), pc.is_in(ids, value_set=column(right, "id"))))
+        cols = [column(tab, f.name) if f.name in ("doc_id", "text") else column(tab, "rest").field(f.name) for f in schema]
+        return pa.table([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return (in_buckets(docs, buckets, others).groupBy("bucket").cogroup(kept.groupBy("bucket"))
+            .applyInArrow(choose, docs.schema))
