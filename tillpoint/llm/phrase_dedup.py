@@ -14,9 +14,9 @@ A window is ``length`` consecutive words of one document.  Three steps:
    all its documents through them, word by word.  A match whose passage
    starts in a document with a smaller doc_id removes its words.
 
-A word is one letter to the automaton: the words of passages are numbered by
-code points (two letters a word where one alphabet is too small), and
-documents are set apart by a letter that no passage has.
+To the automaton a word of a passage is a number written in few letters; the
+first letter of a word has an alphabet of its own, so matches start and end
+at words, and documents are set apart by a letter that no passage has.
 
 Defined results: a null text has no words; a document shorter than a window
 loses nothing; rows of one doc_id never remove each other's words; a null
@@ -43,8 +43,9 @@ LENGTH = 13
 GRAM = 6
 #: Words that one automaton covers.
 SHARD_WORDS = 50_000
-#: Letters for words: code points after the separator, surrogates left out.
-LETTERS = 0x110000 - 0x800 - 2
+#: Letters at each place of a word.  A node of the automaton looks through
+#: its children one by one, so there must not be many.
+LETTERS = 256
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 WINDOWS = "dest int, bucket int, prints binary, docs binary, multi binary"
 CONFIRMED = "bucket int, prints binary, docs binary"
@@ -138,18 +139,14 @@ def confirm(tab: pa.Table) -> pa.Table:
 
 def lettered(code: np.ndarray, letters: int) -> tuple[str, int]:
     """Word numbers as a string, and its letters per word.  -1 (a word of no
-    passage, or the gap between documents) becomes code point 1."""
-    def chars(x: np.ndarray) -> np.ndarray:
-        x = x + 2
-        return np.where(x >= 0xD800, x + 0x800, x).astype("<u4")
-
-    top = int(code.max(initial=-1)) + 1
-    if top <= letters:
-        return chars(code).tobytes().decode("utf-32-le"), 1
-    half = letters // 2  # two disjoint alphabets: matches cannot start in the middle of a word
-    pair = np.c_[code // half, half + code % half]
-    pair[code < 0] = -1
-    return chars(pair.ravel()).tobytes().decode("utf-32-le"), 2
+    passage, or the gap between documents) is written in code point 1."""
+    places, top = 1, int(code.max(initial=-1)) + 1
+    while letters ** places < top:
+        places += 1
+    digits = np.stack([code // letters ** p % letters for p in reversed(range(places))], axis=1)
+    digits[:, 1:] += letters
+    digits[code < 0] = -1
+    return (digits.ravel() + 2).astype("<u4").tobytes().decode("utf-32-le"), places
 
 
 def locate(code: np.ndarray, starts: np.ndarray, low: np.ndarray, length: int,
@@ -188,11 +185,11 @@ def removed_words(words: Words, ids: np.ndarray, found: pa.Table, length: int) -
             starts, at = starts[~other], at[~other]
             break
         at[step] += 1
+    doc = words.doc
+    later = docs[at] < ids[doc[starts]]  # passages of which the bucket has a later occurrence
+    starts, at = starts[later], at[later]
     _, once = np.unique(at, return_index=True)
     passage, low = starts[once], docs[at[once]]
-    order = np.argsort(passage)
-    passage, low = passage[order], low[order]
-    doc = words.doc
     gap = np.flatnonzero(np.diff(doc, prepend=-1) > 0)
     code = np.insert(words.code, gap, -1)  # document d's words move on by the gaps up to it
     moved = np.arange(len(words.code)) + np.searchsorted(gap, np.arange(len(words.code)), side="right")
@@ -235,7 +232,7 @@ def phrase_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_k
     starts in a document with a smaller doc_id.  One row per document;
     ``with_kept`` adds the kept words joined by one space."""
     width = exchange_width(docs.sparkSession)
-    buckets, shards = 2 * width, width
+    buckets, shards = 4 * width, width
     dealt = in_buckets(docs, buckets)
     shared = shared_values(dealt, lambda t: sample_values(t, length, gram), shards)
     found = (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
