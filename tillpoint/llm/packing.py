@@ -49,10 +49,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
-            texts = column(batch, "text").cast(pa.large_binary()).to_pylist()
             rows = [[], [], [], [], [], []]
-            for doc, raw in zip(ids, coder.ids(texts)):
-                raw += end
+            for doc, own in zip(ids, coder.ids(column(batch, "text"))):
+                raw = own.tobytes() + end
                 for k, a in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[a:a + 4 * capacity]
                     for r, v in zip(rows, (doc, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
