@@ -1,24 +1,26 @@
 """MinHash near-dedup by HyperMinHash (operator 7).
 
 A document is its set of distinct word shingles.  Each shingle is hashed
-once: the top bits choose one of 256 registers, and a register keeps of the
+once: the top bits choose one of 512 registers, and a register keeps of the
 smallest hash it saw only the count of leading zeros and ten mantissa bits
 (16 bits in all).  A register that no shingle chose takes the smallest value
 of the whole set under a hash function of its own, so short documents have
 full sketches too.
 
-1. *Banding.*  51 bands of five registers; documents that agree on at least
+1. *Banding.*  73 bands of seven registers; documents that agree on at least
    two bands are candidates (a pair at similarity 0.8 is missed with a
-   probability of about 4e-8; the chance of unlike documents falls with the
-   tenth power of their similarity).  Buckets of documents report each band
+   probability of about 7e-7; the chance of unlike documents falls with the
+   14th power of their similarity).  Buckets of documents report each band
    key once per distinct set; shards keep keys that several sets have.
 2. *Verification.*  A pair's full sets meet; the collision-corrected Jaccard
    estimate of the sketches sorts out hopeless pairs, then the sets
    themselves are intersected.
-3. *Groups without all pairs.*  Documents of equal sets are one node.  Each
-   node is first compared with one hub (the band-mate it meets most often).
-   Only pairs that still lead from one component to another are compared
-   after that, all of them, so no link that matters is left out.
+3. *Groups without all pairs.*  Documents of equal sets are one node.  In
+   two rounds, each node is compared with a few hubs: of every band one node
+   (the smallest, then one by hash) is the hub, and a node tries the hubs it
+   meets most often and is not yet connected to.  Only pairs that still lead
+   from one component to another are compared after that, all of them, so no
+   link that matters is left out.
 
 Defined results: words are lower-cased (A-Z) runs of other than white space;
 a text of fewer words than a shingle is one shingle; a text without words is
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -44,13 +46,15 @@ from .wordseq import sequence_hashes, split_words, word_hashes
 
 SHINGLE = 2
 SIMILAR = (80, 100)
-REGISTERS = 256
+REGISTERS = 512
 MANTISSA = 10
-BAND = 5
+BAND = 7
 BANDS = REGISTERS // BAND
 AGREE = 2
-#: How far below the threshold an estimate may be: six standard deviations.
+#: How far below the threshold an estimate may be: eight standard deviations.
 MARGIN = 0.15
+#: Hubs that a node is compared with in each round.
+PARTNERS = (4, 8)
 #: Documents compared with one hub in one task.
 FANOUT = 500
 SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -89,9 +93,9 @@ def compressed(low: np.ndarray) -> np.ndarray:
 def sketch(s: np.ndarray) -> np.ndarray:
     """Registers of a sorted, distinct, non-empty set of 64-bit hashes."""
     reg = np.zeros(REGISTERS, np.uint16)
-    which = (s >> np.uint64(56)).astype(np.int64)
+    which = (s >> np.uint64(55)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-    reg[which[first]] = compressed(s[first] & np.uint64((1 << 56) - 1))
+    reg[which[first]] = compressed((s[first] & np.uint64((1 << 55) - 1)) << np.uint64(1))
     empty = np.flatnonzero(reg == 0)
     if len(empty):
         z = s[None, :] ^ SEEDS[empty][:, None]
@@ -234,6 +238,15 @@ def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(band, node, label)`` of the bands whose nodes are not all of one
+    component."""
+    now = (members.join(labels, "node", "left")
+           .select("band", "node", F.coalesce("label", "node").alias("label")))
+    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top")
+    return now.join(mixed.select("band"), "band")
+
+
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     width = exchange_width(docs.sparkSession)
@@ -248,8 +261,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
 
     members = (sketched.where("kind = 0").mapInArrow(members_of, "band long, doc long")
                .join(nodes, "doc").select("band", "node").distinct())
-    spread = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
-    members = members.join(spread.where("hub <> top"), "band").select("band", "node", "hub").checkpoint()
+    spread = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top"))
+    members = members.join(spread.where("low <> top"), "band").select("band", "node").checkpoint()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of ``pairs(hub, node)`` those that are links, as ``(a, b)``."""
@@ -261,26 +274,37 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
                 .applyInArrow(lambda a, b: send_sets(a, b, shingle, shards), SKETCHED)
                 .groupBy("dest").applyInArrow(lambda t: link_shard(t, similar), "a long, b long"))
 
-    met = members.where("node <> hub").groupBy("hub", "node").count().where(F.col("count") >= AGREE)
-    first = met.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")).checkpoint()
-    links = verified(first).checkpoint()
-    labels = components(links)
+    tested = links = None
+    now = members.withColumn("label", F.col("node"))
+    for turn, partners in enumerate(PARTNERS):
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+        hubs = now.groupBy("band").agg(F.min_by(F.struct("node", "label"), order).alias("hub"))
+        met = (now.join(hubs, "band").where("label <> hub.label")
+               .groupBy("node", F.col("hub.node").alias("hub")).count().where(F.col("count") >= AGREE))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
+        tries = (met.withColumn("rank", rank).where(F.col("rank") <= partners)
+                 .select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y"), "hub", "node"))
+        if tested is not None:
+            tries = tries.join(tested, ["x", "y"], "left_anti")
+        tries = tries.checkpoint()
+        found = verified(tries.select("hub", "node")).checkpoint()
+        tested = tries.select("x", "y") if tested is None else tested.union(tries.select("x", "y"))
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        now = unsettled(members, labels).checkpoint()
 
     # What still leads from one component to another: all of it, without the pairs within a component.
-    now = (members.select("band", "node").join(labels, "node", "left")
-           .select("band", "node", F.coalesce("label", "node").alias("label")))
     most = (now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
-            .agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1").select("band", "main"))
+            .agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main")))
     now = now.join(most, "band")
     rest = now.where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("x_label"))
     across = (rest.join(now, "band").where((F.col("x_label") != F.col("label"))
                                            & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node"))))
-              .groupBy(F.least("x", "node").alias("hub"), F.greatest("x", "node").alias("node")).count()
-              .where(F.col("count") >= AGREE).select("hub", "node")
-              .join(first.select("hub", "node"), ["hub", "node"], "left_anti").checkpoint())
-    more = verified(across).checkpoint()
-    labels = components(links.union(more))
+              .groupBy(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).count()
+              .where(F.col("count") >= AGREE).select("x", "y").join(tested, ["x", "y"], "left_anti")
+              .select(F.col("x").alias("hub"), F.col("y").alias("node")).checkpoint())
+    if not across.isEmpty():
+        labels = components(links.union(verified(across).checkpoint()))
     final = nodes.join(labels, "node", "left").select("doc", F.coalesce("label", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
     return (every.join(final, F.col("doc_id") == F.col("doc"), "left")
