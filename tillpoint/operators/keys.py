@@ -1,13 +1,12 @@
-"""Surrogate keys and size-checked broadcasts.
+"""Surrogate keys and lookups on hot keys.
 
 * :func:`dense_index` numbers rows 0..n-1 in a given order without a global
   ``row_number()`` (which runs in one task): a range-partitioned sort, a
   row number inside each sorted partition, and per-partition offsets from
   a count per partition (one row per partition, so bounded by the task
   count, not by the data).
-* :func:`broadcast_if_small` broadcasts a side only after counting it
-  against an explicit row bound; above the bound the join stays a shuffle
-  join (and AQE may still broadcast from runtime sizes).
+* :func:`lookup_join` joins a fact to a dimension without sending a hot key
+  to one task.
 """
 
 from __future__ import annotations
@@ -18,8 +17,12 @@ from pyspark.sql import functions as F
 
 def dense_index(df: DataFrame, order_cols: list[str], out: str, start: int = 0) -> DataFrame:
     """Add ``out`` = start + position of the row in ``order_cols`` order
-    (order must be total for a deterministic result)."""
-    s = df.repartitionByRange(*order_cols).withColumn("__pid", F.spark_partition_id())
+    (order must be total for a deterministic result).
+
+    Rows and counts must see the same range partitions, and a range
+    repartition evaluated twice may sample and coalesce differently, so the
+    partitioned rows are checkpointed once and both read that."""
+    s = df.repartitionByRange(*order_cols).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy("__pid").orderBy(*order_cols)
     local = s.withColumn("__pos", F.row_number().over(w) - 1)
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
@@ -32,12 +35,6 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str, start: int = 0)
         "__pid", "__pos", "__opid", "__off")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows (one
-    counting job), else ``df`` unchanged."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     """Non-NULL values of ``key`` holding more than ``share`` of the rows.
     At most 1 / share values can, so the list brought to the driver is
