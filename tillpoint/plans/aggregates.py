@@ -231,9 +231,12 @@ def last_touch(sales: DataFrame, touches: DataFrame, within_days: int = 1) -> Da
     ``within_days`` before it, as struct ``t`` (event_ts, referrer,
     campaign_sk, region); orders no event reached are dropped.  The latest
     event is a max over (time, payload), so it runs as a trailing aggregate
-    and the (event, order) pairs are never built."""
-    t = trailing_agg(sales.select("invoice_no", "customer_sk", "invoice_ts", "line_total"), touches,
-                     ["invoice_no"], "customer_sk", "customer_sk", "invoice_ts", "event_ts", within_days * 86400,
+    and the (event, order) pairs are never built.  The lines of an order are
+    summed first, so an order counts once with all its lines."""
+    per_order = sales.groupBy("invoice_no", "customer_sk", "invoice_ts").agg(
+        F.sum("line_total").cast(sales.schema["line_total"].dataType).alias("line_total"))
+    t = trailing_agg(per_order, touches,
+                     ["invoice_no", "customer_sk", "invoice_ts"], "customer_sk", "customer_sk", "invoice_ts", "event_ts", within_days * 86400,
                      maxes={"t": F.struct("event_ts", "referrer", "campaign_sk", "region")})
     return t.filter(F.col("t").isNotNull())
 

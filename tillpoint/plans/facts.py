@@ -230,11 +230,15 @@ def dim_customer_merge(existing: DataFrame, sales: DataFrame) -> DataFrame:
 def type1_dimension(existing: DataFrame, incoming: DataFrame, natural: str, sk: str,
                     attrs: list[str]) -> DataFrame:
     """D3: type-1 overwrite; known keys keep their surrogate key and take
-    the incoming attributes, new keys are numbered after the maximum."""
-    inc = incoming.select(F.col(natural).alias("__n"), *[F.col(a).alias(f"__i_{a}") for a in attrs])
+    the incoming attributes (NULL included), new keys are numbered after the
+    maximum.  Of several incoming rows of one key the largest by its
+    attributes counts; rows without a key are left out."""
+    inc = (incoming.filter(F.col(natural).isNotNull()).groupBy(F.col(natural).alias("__n"))
+           .agg(F.max(F.struct(*attrs)).alias("__i"))
+           .select("__n", *[F.col(f"__i.{a}").alias(f"__i_{a}") for a in attrs]))
     j = existing.join(inc, existing[natural] == inc["__n"], "full_outer")
     known = j.filter(F.col(natural).isNotNull()).select(
-        sk, natural, *[F.coalesce(F.col(f"__i_{a}"), F.col(a)).alias(a) for a in attrs])
+        sk, natural, *[F.when(F.col("__n").isNotNull(), F.col(f"__i_{a}")).otherwise(F.col(a)).alias(a) for a in attrs])
     top = existing.agg(F.coalesce(F.max(sk), F.lit(0)).alias("m")).first()["m"]
     new = j.filter(F.col(natural).isNull()).select(F.col("__n").alias(natural),
                                                    *[F.col(f"__i_{a}").alias(a) for a in attrs])

@@ -18,7 +18,12 @@ from ..operators.sequence import prev_value, running_sum
 
 
 def _addr_hash(*cols: str) -> Column:
-    return F.sha2(F.lower(F.concat_ws("|", *[F.col(c) for c in cols])), 256)
+    """Hash of an address, whatever its letters' case; a NULL part counts as
+    a part of its own, so it cannot shift the others."""
+    return F.sha2(F.lower(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit(NULL_PART)) for c in cols])), 256)
+
+
+NULL_PART = "\x00"
 
 
 ADDR = ["addr_line1", "addr_city", "addr_region", "addr_country", "addr_postal"]
@@ -132,7 +137,9 @@ def fraud_scored(txns: DataFrame, signals: DataFrame, lookback_days: int = 1) ->
 def geocode(addresses: DataFrame, geography: DataFrame, load_date: dt.date) -> DataFrame:
     """Lookup geocoding: postal-level match (country + postcode, confidence
     0.95), else city-level (country + city, 0.70), else none (0)."""
-    a = addresses.select(*ADDR).distinct()
+    # one row per hash: of several spellings of an address the smallest
+    a = (addresses.groupBy(_addr_hash(*ADDR).alias("raw_addr_hash")).agg(F.min(F.struct(*ADDR)).alias("__a"))
+         .select("raw_addr_hash", *[F.col(f"__a.{c}").alias(c) for c in ADDR]))
     gp = (geography.filter(F.col("postal_code").isNotNull())
           .groupBy(F.col("country_iso2").alias("__pc"), F.col("postal_code").alias("__pp"))
           .agg(F.min("latitude").alias("__plat"), F.min("longitude").alias("__plon")))
@@ -144,7 +151,7 @@ def geocode(addresses: DataFrame, geography: DataFrame, load_date: dt.date) -> D
     conf = (F.when(F.col("__plat").isNotNull(), F.lit(0.95)).when(F.col("__clat").isNotNull(), F.lit(0.70))
             .otherwise(F.lit(0.0)))
     return j.select(
-        _addr_hash(*ADDR).alias("raw_addr_hash"), *ADDR,
+        "raw_addr_hash", *ADDR,
         F.coalesce("__plat", "__clat").alias("lat"), F.coalesce("__plon", "__clon").alias("lon"),
         conf.cast("decimal(4,3)").alias("confidence"), F.lit("lookup").alias("provider"),
         F.lit(load_date).alias("load_date"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import decimal_ratio
 from ..operators.joins import as_of_join
-from ..operators.merge import latest_per_key, scd2_from_changes, scd2_merge, upsert
+from ..operators.merge import TOMBSTONE, latest_per_key, scd2_from_changes, scd2_merge, upsert
 from ..operators.sequence import running_sum
 
 LEDGER_COLS = ["return_id", "invoice_no", "customer_sk", "return_ts", "refund_amount",
@@ -20,11 +20,20 @@ LEDGER_COLS = ["return_id", "invoice_no", "customer_sk", "return_ts", "refund_am
 
 
 # C1 / S7 --------------------------------------------------------------------
-def apply_returns_cdc(ledger: DataFrame, cdc: DataFrame) -> DataFrame:
+def apply_returns_cdc(ledger: DataFrame, cdc: DataFrame, tombstones: bool = False) -> DataFrame:
     """Apply a batch of I/U/D changes to returns_ledger (latest change
-    per return_id wins; 'D' removes the row; replay is a no-op)."""
-    return upsert(ledger.select(*LEDGER_COLS), cdc.select(*LEDGER_COLS, "op"),
-                  ["return_id"], "return_ts", op_col="op")
+    per return_id wins; 'D' removes the row; replaying the last batch is a
+    no-op).  With ``tombstones`` the result is the stored form, which still
+    knows what was deleted, so that replaying any older batch is a no-op too;
+    :func:`visible_ledger` hides the deleted rows."""
+    kept = [TOMBSTONE] if TOMBSTONE in ledger.columns else []
+    return upsert(ledger.select(*LEDGER_COLS, *kept), cdc.select(*LEDGER_COLS, "op"),
+                  ["return_id"], "return_ts", op_col="op", tombstones=tombstones)
+
+
+def visible_ledger(stored: DataFrame) -> DataFrame:
+    """The rows of a stored ledger that are not deleted."""
+    return stored.filter(~F.col(TOMBSTONE)).drop(TOMBSTONE)
 
 
 def merged_returns_cdc(cdc: DataFrame) -> DataFrame:

@@ -104,8 +104,30 @@ def write_snapshot(df: DataFrame, root: str, snapshot_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{SNAPSHOT_COL}={snapshot_id}")
 
 
+def latest_snapshot(spark: SparkSession, root: str) -> int | None:
+    """Id of the newest complete snapshot, by folder: one that holds the
+    committer's ``_SUCCESS`` file, empty or not.  None where there is no
+    folder or no complete snapshot; any other failure is raised."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    prefix, ids = f"{SNAPSHOT_COL}=", []
+    for entry in fs.listStatus(path):
+        name = entry.getPath().getName()
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name.startswith(prefix) and fs.exists(done):
+            ids.append(int(name[len(prefix):]))
+    return max(ids, default=None)
+
+
+def read_snapshot(spark: SparkSession, root: str, snapshot_id: int) -> DataFrame:
+    return spark.read.parquet(f"{root}/{SNAPSHOT_COL}={snapshot_id}")
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The latest snapshot (partition pruning reads only that folder)."""
-    allv = spark.read.parquet(root)
-    latest = allv.select(F.max(SNAPSHOT_COL)).first()[0]
-    return allv.filter(F.col(SNAPSHOT_COL) == latest).drop(SNAPSHOT_COL)
+    """The newest complete snapshot."""
+    latest = latest_snapshot(spark, root)
+    if latest is None:
+        raise FileNotFoundError(f"no complete snapshot under {root}")
+    return read_snapshot(spark, root, latest)

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.state import LEDGER_COLS
 from ..sources.readers import TS_MICROS
-from ..sources.sinks import SNAPSHOT_COL
+from ..sources.sinks import SNAPSHOT_COL, latest_snapshot, read_snapshot
 from ..operators.merge import TOMBSTONE, upsert
 
 
@@ -83,12 +83,10 @@ def hourly_picks_stream(picks: DataFrame, watermark: str = "2 hours", slide: str
 
 # T5 / T6 --------------------------------------------------------------------
 def _current_state(spark: SparkSession, root: str, schema: T.StructType) -> tuple[DataFrame, int]:
-    try:
-        allv = spark.read.parquet(root)
-    except Exception:  # no snapshot yet
+    latest = latest_snapshot(spark, root)
+    if latest is None:  # no snapshot yet; an unreadable one is an error
         return spark.createDataFrame([], schema), -1
-    latest = allv.select(F.max(SNAPSHOT_COL)).first()[0]
-    return allv.filter(F.col(SNAPSHOT_COL) == latest).drop(SNAPSHOT_COL), int(latest)
+    return read_snapshot(spark, root, latest), latest
 
 
 def snapshot_merge_sink(root: str, schema: T.StructType, merge):
