@@ -16,18 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     checkpoints; nothing is collected."""
     edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+
+    def moved(df: DataFrame, col: str, hook: DataFrame) -> DataFrame:
+        step = hook.select(F.col("a").alias("k"), F.col("to").alias("v"))
+        return df.join(step, F.col(col) == F.col("k"), "left").withColumn(col, F.coalesce("v", col)).drop("k", "v")
+
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        hook = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).checkpoint()
+        hook = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
         for _ in range(2):
-            nxt = hook.select(F.col("a").alias("k"), F.col("to").alias("v"))
-            hook = hook.join(nxt, F.col("to") == F.col("k"), "left").select("a", F.coalesce("v", "to").alias("to"))
+            hook = moved(hook, "to", hook)
         hook = hook.checkpoint()
-
-        def moved(df: DataFrame, col: str) -> DataFrame:
-            step = hook.select(F.col("a").alias("k"), F.col("to").alias("v"))
-            return df.join(step, F.col(col) == F.col("k"), "left").withColumn(col, F.coalesce("v", col)).drop("k", "v")
-
-        labels = moved(labels, "label").checkpoint()
-        edges = moved(moved(edges, "a"), "b").where("a <> b").distinct().checkpoint()
+        labels = moved(labels, "label", hook)  # one join a round, run when the labels are used
+        edges = moved(moved(edges, "a", hook), "b", hook).where("a <> b").distinct().checkpoint()
     return labels
