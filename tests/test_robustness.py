@@ -87,3 +87,23 @@ def test_snapshots_empty_half_written_and_unreadable(spark, tmp_path):
         cur.count()
     none, last = jobs._current_state(spark, str(tmp_path / "nothing"), df.schema)
     assert last == -1 and none.count() == 0
+
+
+def test_ids_beyond_their_slots_fail(spark):
+    from tillpoint.operators.merge import history_id
+    df = spark.createDataFrame([(7, 12), (8, 1_000_000)], "k long, version long")
+    assert df.filter("k = 7").select(history_id("k").alias("h")).first().h == 7_000_012
+    with pytest.raises(Exception, match="larger id stride"):
+        df.select(history_id("k").alias("h")).collect()
+
+
+def test_late_snapshots_are_returned(spark):
+    from tillpoint.operators.merge import late_snapshots, scd2_from_changes, scd2_merge
+    t = [dt.datetime(2024, 1, d) for d in range(1, 10)]
+    snaps = lambda x: spark.createDataFrame(x, "k long, a string, ts timestamp_ntz")
+    history = scd2_from_changes(snaps([(1, "x", t[2]), (1, "y", t[5]), (2, "z", t[2])]), ["k"], "ts", ["a"])
+    history = history.select("k", "a", "eff_from", "eff_to", "is_current", "change_reason", "version").checkpoint()
+    batch = snaps([(1, "w", t[3]), (1, "y", t[5]), (1, "x", t[2]), (1, "q", t[7]), (3, "n", t[0])])
+    assert rows(late_snapshots(history, batch, ["k"], "ts"), "k", "a") == [(1, "w")]
+    merged = scd2_merge(history, batch, ["k"], "ts", ["a"])
+    assert rows(merged.filter("is_current"), "k", "a") == [(1, "q"), (2, "z"), (3, "n")]

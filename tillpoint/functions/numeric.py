@@ -21,5 +21,11 @@ def decimal_ratio(num: Column, den: Column, precision: int, scale: int,
     across the final rounding boundary.
     """
     n = num.cast(f"decimal({20 + num_scale},{num_scale})")
-    d = F.nullif(den, F.lit(0)).cast(f"decimal({12 + den_scale},{den_scale})")
+    d = F.nullif(den, F.lit(0)).cast(f"decimal({16 + den_scale},{den_scale})")
     return (n / d).cast(f"decimal({precision},{scale})")
+
+
+def checked(value: Column, within: Column, message: str) -> Column:
+    """``value`` where ``within`` holds; the job fails with ``message`` where
+    it does not, rather than going on with a number that means something else."""
+    return F.when(F.coalesce(within, F.lit(True)), value).otherwise(F.raise_error(F.lit(message)).cast("bigint"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import checked
 from .sequence import next_value, prev_value, row_number_in_key
 
 
@@ -64,6 +65,24 @@ def record_hash(cols: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
 
 
+def history_id(key: str, stride: int = 1_000_000) -> Column:
+    """key * stride + version; the job fails on a version that would run
+    into the next key."""
+    return checked(F.col(key).cast("bigint") * stride + F.col("version"), F.col("version") < stride,
+                   f"more than {stride - 1} versions of one key: choose a larger id stride")
+
+
+def late_snapshots(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col: str) -> DataFrame:
+    """The rows of ``incoming`` that :func:`scd2_merge` leaves out because
+    they come before the key's open version without starting any version:
+    data that arrived late, to be kept aside and placed by a rebuild.  A
+    snapshot inside a closed version that changes nothing is among them."""
+    h = history.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "eff_from", "is_current")
+    same = [incoming[k].eqNullSafe(h[f"__h_{k}"]) for k in keys]
+    after = incoming.join(h.filter("is_current"), [*same, incoming[ts_col] < h["eff_from"]], "left_semi")
+    return after.join(h, [*[after[k].eqNullSafe(h[f"__h_{k}"]) for k in keys], after[ts_col] == h["eff_from"]], "left_anti")
+
+
 def scd2_from_changes(snapshots: DataFrame, keys: list[str], ts_col: str, tracked: list[str],
                       key_id: str | None = None, id_stride: int = 1_000_000,
                       reason_first: str = "new", reason_change: str = "changed") -> DataFrame:
@@ -90,7 +109,7 @@ def scd2_from_changes(snapshots: DataFrame, keys: list[str], ts_col: str, tracke
     out = changes.withColumnRenamed(ts_col, "eff_from").withColumn(
         "is_current", F.col("eff_to").isNull()).drop("__h", "__prev_h")
     if key_id:
-        out = out.withColumn("history_id", F.col(key_id).cast("bigint") * id_stride + F.col("version"))
+        out = out.withColumn("history_id", history_id(key_id, id_stride))
     return out
 
 
@@ -104,9 +123,9 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col:
     change_reason, version); ``incoming`` has (keys, tracked, ts_col),
     possibly several snapshots per key (unique per key and ts).  Unchanged
     snapshots add nothing, and snapshots at or before the start of a key's
-    open version are ignored (already applied, or late: rebuild with
-    :func:`scd2_from_changes` to place late data), so replaying a batch
-    changes nothing.
+    open version are ignored (already applied, or late), so replaying a batch
+    changes nothing.  :func:`late_snapshots` returns the late ones for
+    quarantine; :func:`scd2_from_changes` over all snapshots places them.
     """
     history = history.checkpoint(eager=True)
     incoming = incoming.checkpoint(eager=True)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators.merge import history_id
 from ..oracle_fixtures import date_lit
 from ..registry import register
 from ..sources import testdata as td
@@ -335,7 +336,7 @@ def q_c4(spark, sf):
     from . import state as st
     snaps = td.employee_year_snapshots(spark, sf).drop("yr", "txns")
     h = st.scd2_table("dim_employee_history", snaps, "eff_date")
-    return h.withColumn("history_id", F.col("employee_sk") * 1_000_000 + F.col("version")).select(
+    return h.withColumn("history_id", history_id("employee_sk")).select(
         "history_id", "employee_sk", "role", "department", "home_store_sk", "salary_band", "eff_from", "eff_to",
         "is_current", "eff_from_year", "_partition_year")
 

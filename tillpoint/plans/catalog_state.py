@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators.merge import history_id
 from ..oracle_fixtures import date_lit
 from ..registry import register
 from ..sources import testdata as td
@@ -193,7 +194,7 @@ _TERMS_SNAP = """
           _scd2_sql(_TERMS_SNAP, "supplier_sk", ["payment_terms_days", "discount_pct"], "eff_ts", ", changed_by"))
 def q_c3(spark, sf):
     h = st.scd2_table("acid_supplier_terms_history", td.supplier_terms_snapshots(spark, sf), "eff_ts")
-    return h.withColumn("history_id", F.col("supplier_sk") * 1_000_000 + F.col("version")).select(
+    return h.withColumn("history_id", history_id("supplier_sk")).select(
         "history_id", "supplier_sk", "payment_terms_days", "discount_pct", "eff_from", "eff_to", "is_current",
         "change_reason", "changed_by")
 
@@ -212,6 +213,6 @@ _STORE_SNAP = """
           _scd2_sql(_STORE_SNAP, "store_sk", ["store_type", "manager_employee_sk", "sq_ft"], "eff_date"))
 def q_c5(spark, sf):
     h = st.scd2_table("dim_store_history", td.store_month_snapshots(spark, sf), "eff_date")
-    return h.withColumn("history_id", F.col("store_sk") * 1_000_000 + F.col("version")).select(
+    return h.withColumn("history_id", history_id("store_sk")).select(
         "history_id", "store_sk", "store_type", "manager_employee_sk", "sq_ft", "eff_from", "eff_to", "is_current",
         "change_reason")

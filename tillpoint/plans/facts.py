@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import checked
 from ..operators.keys import dense_index
 
 
@@ -45,10 +46,12 @@ def fact_supplier_invoice_lines(invoices: DataFrame) -> DataFrame:
     x = invoices.select("*", F.posexplode("line_items").alias("__pos", "__li"))
     sup = F.regexp_extract("supplier_id", r"(\d+)$", 1).cast("bigint")
     parts = F.split("invoice_no", "-")
-    # id = order * 10^7 + supplier * 100 + line position (unique while the
-    # supplier key stays below 10^5 and an invoice below 100 lines)
-    line_id = (F.get(parts, 0).cast("bigint") * 10_000_000 + F.get(parts, 1).cast("bigint") * 100
-               + F.col("__pos"))
+    # id = order * 10^7 + supplier * 100 + line position; checked, because
+    # beyond these slots two lines would get one id
+    supplier = F.get(parts, 1).cast("bigint")
+    line_id = checked(F.get(parts, 0).cast("bigint") * 10_000_000 + supplier * 100 + F.col("__pos"),
+                      (supplier < 100_000) & (F.col("__pos") < 100),
+                      "invoice line id: a supplier key from 100000 or an invoice of over 100 lines")
     return x.select(
         line_id.alias("invoice_line_id"),
         "invoice_no", sup.alias("supplier_sk"), F.col("__li.sku").alias("sku"),

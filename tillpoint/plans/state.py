@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import decimal_ratio
 from ..operators.joins import as_of_join
-from ..operators.merge import TOMBSTONE, latest_per_key, scd2_from_changes, scd2_merge, upsert
+from ..operators.merge import TOMBSTONE, history_id, latest_per_key, scd2_from_changes, scd2_merge, upsert
 from ..operators.sequence import running_sum
 
 LEDGER_COLS = ["return_id", "invoice_no", "customer_sk", "return_ts", "refund_amount",
@@ -67,7 +67,7 @@ def customer_address_history_incremental(snapshots: DataFrame, split: dt.datetim
                          "change_reason", "version")
     merged = scd2_merge(first, snapshots.filter(F.col("ts") >= F.lit(split)), ["customer_sk"], "ts",
                         ADDRESS_ATTRS, reason_change="address_change")
-    return merged.withColumn("history_id", F.col("customer_sk") * 1_000_000 + F.col("version")).select(
+    return merged.withColumn("history_id", history_id("customer_sk")).select(
         *HISTORY_COLS)
 
 
