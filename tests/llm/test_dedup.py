@@ -88,34 +88,35 @@ def test_chunk_boundaries_resist_shifts():
     assert len(a & b) > 0.9 * len(a)
 
 
-@pytest.mark.parametrize("size", [1, 2, 5])
-def test_near_dedup_is_brute_force(docs, docs_rows, size):
-    assert plain(near_dedup(docs, size)) == grouped(near_rows([(i, t) for i, t, _ in docs_rows], size))
+def chained():
+    """A chain whose neighbours are alike but whose ends are not, one that
+    moves by less, and many that are alike, but not enough."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1000 + k, " ".join(words[8 * k:8 * k + 100]), "s") for k in range(20)]
+    rows += [(2000 + (k * 7) % 40, " ".join(f"x{w}" for w in words[5 * k:5 * k + 100]), "s") for k in range(40)]
+    return rows + [(3000 + k, " ".join(words[300:360] + [f"v{k}_{j}" for j in range(40)]), "s") for k in range(30)]
 
 
-def test_near_dedup_chain_needs_every_link(make):
-    """Neighbours of a chain are alike, its ends are not: one component."""
-    words = [f"w{k}" for k in range(300)]
-    rows = [(k + 1, " ".join(words[8 * k:8 * k + 100]), "s") for k in range(20)]
-    rows += [(100 + k, " ".join(words[:60] + [f"v{k}_{j}" for j in range(40)]), "s") for k in range(30)]  # alike, but not enough
+def test_near_dedup_is_brute_force(make, docs_rows, monkeypatch):
+    monkeypatch.setattr(nd, "FANOUT", 3)
+    rows = docs_rows + chained()
     assert plain(near_dedup(make(rows))) == grouped(near_rows([(i, t) for i, t, _ in rows], 2))
 
 
-def test_pairs_that_the_hub_does_not_settle(make, monkeypatch):
-    """Whatever the first round finds, the second compares all that is left."""
-    words = [f"w{k}" for k in range(400)]
-    rows = [(k + 1, " ".join(words[5 * k:5 * k + 100]), "s") for k in range(40)]
-    monkeypatch.setattr(nd, "FANOUT", 3)
-    assert plain(near_dedup(make(rows))) == grouped(near_rows([(i, t) for i, t, _ in rows], 2))
+def test_all_left_pairs_are_compared(make, monkeypatch):
+    """Without any round of hubs, the exhaustive one finds every component."""
+    monkeypatch.setattr(nd, "PARTNERS", (0,))
+    rows = chained()
+    assert plain(near_dedup(make(rows), 1)) == grouped(near_rows([(i, t) for i, t, _ in rows], 1))
 
 
-def test_one_of_each_group(docs, docs_rows, make):
-    kept = one_of_each_group(docs, 2)
-    assert kept.schema == docs.schema
-    assert {r.doc_id for r in kept.collect()} == {i for i, _, _, k in near_rows([(i, t) for i, t, _ in docs_rows], 2) if k}
-    again = one_of_each_group(make(docs_rows + REPEATED), 2).collect()
-    assert sorted(r.doc_id for r in again if r.doc_id is not None) == sorted(r.doc_id for r in kept.collect())
-    assert sum(r.doc_id is None for r in again) == 2
+def test_one_of_each_group(make, docs_rows):
+    df = make(docs_rows + REPEATED)
+    kept = one_of_each_group(df, 2)
+    assert kept.schema == df.schema
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    expected = [i for i, _, _, k in near_rows([(i, t) for i, t, _ in docs_rows], 2) if k]
+    assert grouped(ids) == grouped(expected + [None, None])
 
 
 def test_estimate_follows_the_similarity():
@@ -132,7 +133,7 @@ def test_estimate_follows_the_similarity():
 
 def test_empty_tables(make):
     none = make([])
-    for df in (suffix_dedup(none), phrase_dedup(none), line_dedup(none), without_repeated_lines(none), near_dedup(none), one_of_each_group(none, 5)):
+    for df in (suffix_dedup(none), phrase_dedup(none), line_dedup(none), without_repeated_lines(none), one_of_each_group(none, 5)):
         assert df.count() == 0
 
 
