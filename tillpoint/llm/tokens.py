@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 from .wordseq import split_words
 
 #: Words a worker remembers before it starts over, and the longest of them.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 LONGEST = 64
 #: Texts that are worked on at once.
-AT_ONCE = 2000
+AT_ONCE = 600
 
 
 class WordEncoder:
