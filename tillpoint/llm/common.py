@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these bytes: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 16 << 20
 #: Stand-in for a null doc_id inside kernels: after every real id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that Spark hands to Python hold at most ``BATCH_BYTES``,
+    however long the documents are (a single row may be longer)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def exchange_width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sizes them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -37,6 +44,8 @@ def in_buckets(docs: DataFrame, buckets: int, carry: list[str] | None = None) ->
     rows has for one bucket, compressed, so a shuffle of the texts takes about
     half of what rows of strings take.  The columns of ``carry`` travel along
     as one struct, ``rest``, so their names are free; others are left out."""
+    bounded_batches(docs.sparkSession)
+
     def boxes(batches):
         how = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:

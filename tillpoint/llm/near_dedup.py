@@ -250,7 +250,7 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     width = exchange_width(docs.sparkSession)
-    buckets, shards = 2 * width, width
+    buckets, shards = 4 * width, width
     dealt = in_buckets(docs, buckets)
     sketched = (dealt.groupBy("bucket").applyInArrow(lambda t: sketch_bucket(t, shingle, shards), SKETCHED)
                 .groupBy("dest").applyInArrow(lambda t: meet(t, shards), SKETCHED).checkpoint())
@@ -315,7 +315,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
 def one_of_each_group(docs: DataFrame, shingle: int, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The documents that :func:`near_dedup` keeps, with all their columns;
     of repeated rows of one doc_id the first by text."""
-    buckets = 2 * exchange_width(docs.sparkSession)
+    buckets = 4 * exchange_width(docs.sparkSession)
     kept = near_dedup(docs, shingle, similar).where("kept").select(F.col("doc_id").alias("id"))
     kept = kept.where("id IS NOT NULL").withColumn("bucket", bucket_of(F.col("id"), buckets))
     schema = to_arrow_schema(docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import bounded_batches, column
 
 CAPACITY = 4096
 END_ID = 1
@@ -43,6 +43,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
                with_ids: bool = False) -> DataFrame:
     """Token pieces of all documents; only documents longer than ``capacity``
     are cut.  ``with_ids`` adds the ids themselves."""
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         from .tokens import encoder
         coder = encoder(vocabulary)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import bounded_batches, column
 from .wordseq import split_words
 
 SHAPES = 64
@@ -92,6 +92,8 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def featurised(docs: DataFrame) -> DataFrame:
     """``(doc_id, feats)`` of every document."""
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
@@ -156,6 +158,7 @@ def scored(feats: DataFrame, model: Ranking) -> DataFrame:
 def passing(docs: DataFrame, model: Ranking) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
     names = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
