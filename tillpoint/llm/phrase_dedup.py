@@ -9,10 +9,11 @@ A window is ``length`` consecutive words of one document.  Three steps:
    128-bit fingerprint of the whole word sequence.  A bucket sends each
    distinct window once, with its smallest doc_id, so hot passages are
    pre-aggregated; a shard confirms those that at least two documents hold.
-3. *Location.*  Every bucket compiles Aho-Corasick automata of the confirmed
-   passages that concern it (sharded, so that each stays small) and streams
-   all its documents through them, word by word.  A match whose passage
-   starts in a document with a smaller doc_id removes its words.
+3. *Location.*  Every bucket compiles Aho-Corasick automata of the sample
+   phrases of the confirmed passages that concern it (sharded, so that each
+   stays small) and streams all its documents through them, word by word.
+   Around each located phrase, the confirmed windows that start in a document
+   with a smaller doc_id too lose their words.
 
 To the automaton a word of a passage is a number written in few letters; the
 first letter of a word has an alphabet of its own, so matches start and end
@@ -41,7 +42,7 @@ from .wordseq import Words, sequence_hashes, split_words, whole, word_hashes
 
 LENGTH = 13
 GRAM = 6
-#: Words that one automaton covers.
+#: Phrases that one automaton holds.
 SHARD_WORDS = 50_000
 #: Letters at each place of a word.  A node of the automaton looks through
 #: its children one by one, so there must not be many.
@@ -149,64 +150,73 @@ def lettered(code: np.ndarray, letters: int) -> tuple[str, int]:
     return (digits.ravel() + 2).astype("<u4").tobytes().decode("utf-32-le"), places
 
 
-def locate(code: np.ndarray, starts: np.ndarray, low: np.ndarray, length: int,
-           letters: int = LETTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Compile the passages that start at ``starts`` of ``code`` (word
-    numbers, -1 between documents), with the smallest doc_id ``low`` of each,
-    and stream ``code`` through the automaton: ``(start, low)`` of every
-    occurrence."""
+def locate(code: np.ndarray, starts: np.ndarray, length: int, letters: int = LETTERS) -> np.ndarray:
+    """Compile the phrases of ``length`` words that start at ``starts`` of
+    ``code`` (word numbers, -1 between documents) and stream ``code`` through
+    the automaton: where each occurrence starts."""
     used = np.unique(code[(starts[:, None] + np.arange(length)).ravel()])
     at = np.searchsorted(used, code)
     at[at == len(used)] = 0
     text, per = lettered(np.where(used[at] == code, at, -1), letters)
-    machine = ahocorasick.Automaton()
-    for s, d in zip(starts.tolist(), low.tolist()):
-        machine.add_word(text[s * per:(s + length) * per], d)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for s in starts.tolist():
+        machine.add_word(text[s * per:(s + length) * per])
     machine.make_automaton()
-    hits = np.array([x for m in machine.iter(text) for x in m], np.int64).reshape(-1, 2)
-    return (hits[:, 0] + 1) // per - length, hits[:, 1]
+    return (np.fromiter((end for end, _ in machine.iter(text)), np.int64) + 1) // per - length
 
 
-def removed_words(words: Words, ids: np.ndarray, found: pa.Table, length: int) -> np.ndarray:
-    """Which words of a bucket's documents go."""
-    edge = np.zeros(len(words.code) + 1, np.int32)
-    prints = np.concatenate([unpack(x, np.uint64).reshape(-1, 2) for x in column(found, "prints").to_pylist()])
-    docs = np.concatenate([unpack(x, np.int64) for x in column(found, "docs").to_pylist()])
-    order = np.lexsort((prints[:, 1], prints[:, 0]))
-    prints, docs = prints[order], docs[order]
-    a, b = window_prints(words, word_hashes(words.vocab), length)
-    starts = np.flatnonzero(whole(words.off, len(a), length) & is_member(a, prints[:, 0]))
+def confirmed(prints: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have a confirmed print, and its place in ``prints``
+    (sorted pairs)."""
+    starts = starts[is_member(a[starts], prints[:, 0])]
     at = np.searchsorted(prints[:, 0], a[starts])
     while len(at):  # equal first halves are next to each other
         other = prints[at, 1] != b[starts]
         step = other & (at + 1 < len(prints))
         step[step] = prints[at[step] + 1, 0] == a[starts[step]]
         if not step.any():
-            starts, at = starts[~other], at[~other]
-            break
+            return starts[~other], at[~other]
         at[step] += 1
+    return starts, at
+
+
+def removed_words(words: Words, ids: np.ndarray, found: pa.Table, length: int, gram: int) -> np.ndarray:
+    """Which words of a bucket's documents go."""
+    prints = np.concatenate([unpack(x, np.uint64).reshape(-1, 2) for x in column(found, "prints").to_pylist()])
+    docs = np.concatenate([unpack(x, np.int64) for x in column(found, "docs").to_pylist()])
+    order = np.lexsort((prints[:, 1], prints[:, 0]))
+    prints, docs = prints[order], docs[order]
+    hashes = word_hashes(words.vocab)
+    a, b = window_prints(words, hashes, length)
+    starts, at = confirmed(prints, a, b, np.flatnonzero(whole(words.off, len(a), length)))
     doc = words.doc
-    later = docs[at] < ids[doc[starts]]  # passages of which the bucket has a later occurrence
-    starts, at = starts[later], at[later]
-    _, once = np.unique(at, return_index=True)
-    passage, low = starts[once], docs[at[once]]
+    later = docs[at] < ids[doc[starts]]  # windows that start in a document with a smaller id too
+    starts = starts[later]
+    # the sample phrase of each such window
+    grams = mix(sequence_hashes(hashes[words.code, 0], gram))
+    span = length - gram + 1
+    inside = grams[starts[:, None] + np.arange(span)] if len(starts) else np.zeros((0, span), np.uint64)
+    phrase = starts + np.argmin(inside, axis=1)
+    _, once = np.unique(grams[phrase], return_index=True)
+    phrase = np.sort(phrase[once])
     gap = np.flatnonzero(np.diff(doc, prepend=-1) > 0)
     code = np.insert(words.code, gap, -1)  # document d's words move on by the gaps up to it
     moved = np.arange(len(words.code)) + np.searchsorted(gap, np.arange(len(words.code)), side="right")
     home = np.full(len(code), -1)
     home[moved] = np.arange(len(words.code))
-    passage = moved[passage]
-    # Automata are sharded by passages; each streams all documents of the bucket.
-    for p in range(0, len(passage), SHARD_WORDS):
-        where, least = locate(code, passage[p:p + SHARD_WORDS], low[p:p + SHARD_WORDS], length)
-        where = home[where]
-        where = where[least < ids[doc[where]]]
-        np.add.at(edge, where, 1)
-        np.add.at(edge, where + length, -1)
+    seen = np.zeros(len(words.code) + 1, bool)
+    # Automata are sharded by phrases; each streams all documents of the bucket.
+    for p in range(0, len(phrase), SHARD_WORDS):
+        seen[home[locate(code, moved[phrase[p:p + SHARD_WORDS]], gram)]] = True
+    count = np.cumsum(np.r_[0, seen])
+    starts = starts[count[starts + span] > count[starts]]  # confirmed windows around a located phrase
+    edge = np.zeros(len(words.code) + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + length, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
-def cut_documents(left: pa.Table, right: pa.Table, length: int, with_kept: bool) -> pa.Table:
+def cut_documents(left: pa.Table, right: pa.Table, length: int, gram: int, with_kept: bool) -> pa.Table:
     fields = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
     if with_kept:
         fields["kept"] = pa.string()
@@ -215,7 +225,7 @@ def cut_documents(left: pa.Table, right: pa.Table, length: int, with_kept: bool)
     tab = unboxed(left)
     ids = int64s(tab, "doc_id")
     words = split_words(column(tab, "text"))
-    gone = removed_words(words, ids, right, length) if right.num_rows else np.zeros(len(words.code), bool)
+    gone = removed_words(words, ids, right, length, gram) if right.num_rows else np.zeros(len(words.code), bool)
     n = np.diff(words.off)
     lost = np.diff(np.r_[0, np.cumsum(gone)][words.off])
     lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n - lost)]), words.flat.filter(pa.array(~gone)))
@@ -239,5 +249,5 @@ def phrase_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_k
              .applyInArrow(lambda a, b: candidate_windows(a, b, length, gram, shards), WINDOWS)
              .groupBy("dest").applyInArrow(confirm, CONFIRMED))
     return (dealt.groupBy("bucket").cogroup(found.groupBy("bucket"))
-            .applyInArrow(lambda a, b: cut_documents(a, b, length, with_kept),
+            .applyInArrow(lambda a, b: cut_documents(a, b, length, gram, with_kept),
                           RESULT + ", kept string" * with_kept))
