@@ -18,7 +18,7 @@ and nothing is approximate.
 Defined results: vectors that are null or hold null or non-finite
 components, and rows without an id, take no part; missing components of a
 shorter vector count as 0; ties go to the smaller id; a query is never its
-own neighbour; with fewer candidates than k, all are returned; of several
+own neighbour; scores must fit into 64 bits; with fewer candidates than k, all are returned; of several
 vectors under one id the smallest counts; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -102,7 +102,10 @@ def chunk_row(part: int, number: int, ids: np.ndarray, v: np.ndarray, k: int, ev
 def search_chunk(q_ids, q, least, ids, v, high, low, k: int):
     """Block-at-a-time search of a batch of queries in one chunk: yields
     (query position, scores, ids) of the best that may be among the k best."""
-    bounds = product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low)
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+    bounds = up @ high.T.astype(np.float64) + down @ low.T.astype(np.float64)
+    slack = (up - down) @ np.maximum(np.abs(high), np.abs(low)).T.astype(np.float64)
+    bounds += np.where(slack < EXACT, 0, slack * 1e-9)  # doubles are exact below 2**53; beyond it the bound is widened
     order = np.argsort(-bounds, axis=1, kind="stable")
     floor = least.copy()
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
