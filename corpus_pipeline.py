@@ -31,9 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that stand elsewhere before; every
+    """Documents without runs of lines that stand elsewhere before; every
     document stays, with what remains of its text."""
-    return without_repeated_lines(docs)
+    return without_repeated_lines(docs, edges=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

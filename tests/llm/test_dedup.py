@@ -78,6 +78,49 @@ def test_line_dedup_is_brute_force(docs, docs_rows):
         assert r.bucket == r.kept == "x"
 
 
+def repeated_pairs(pairs):
+    """Lines of (doc_id, text) that a pair of neighbouring lines covers whose
+    first place ends before it; one list of flags per document."""
+    split = [(i, [] if t is None else t.split("\n")) for i, t in pairs]
+    first = {}
+    for i, lines in split:
+        for a in range(len(lines) - 1):
+            w = (lines[a], lines[a + 1])
+            first[w] = min(first.get(w, (i, a)), (i, a))
+    out = {}
+    for i, lines in split:
+        gone = [False] * len(lines)
+        for a in range(len(lines) - 1):
+            j, b = first[lines[a], lines[a + 1]]
+            if j < i or j == i and b + 2 <= a:
+                gone[a] = gone[a + 1] = True
+        out[i] = (lines, gone)
+    return out
+
+
+def test_all_repeated_runs_of_lines_go(make, docs_rows):
+    """Runs of any length from two lines on, wherever chunks end."""
+    rows = docs_rows + [(500 + k, "\n".join([f"own {k}", "a", "b", "c", "d", "e"][:3 + k % 4] + [f"tail {k}"]), "h") for k in range(12)]
+    rows += [(600, "x\nx\nx\nx\nx", "h"), (601, "y\ny\ny", "h"), (602, "p\nq\np\nq\np", "h"), (603, "q\np", "h")]
+    expected = repeated_pairs([(i, t) for i, t, _ in rows])
+    texts = {i: "\n".join(x for x, g in zip(*v) if not g) for i, v in expected.items()}
+    df = make(rows)
+    got = {r.doc_id: r for r in line_dedup(df, edges=True).collect()}
+    assert {i: (r.n_lines, r.n_removed, r.kept_sha256) for i, r in got.items()} == {
+        i: (len(lines), sum(gone), hashlib.sha256(texts[i].encode()).hexdigest()) for i, (lines, gone) in expected.items()}
+    assert got[16].n_removed == 30 and got[505].n_removed == 3 and got[600].n_removed == 3 and got[601].n_removed == 0
+    for r in without_repeated_lines(df, edges=True).collect():
+        assert r.text == (None if r.doc_id == 1 else texts[r.doc_id]) and r.bucket == r.kept == "x"
+
+
+def test_registered_query_takes_whole_runs(spark):
+    from tillpoint.llm.catalog import queries
+    sf_dir = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    expected = {i: sum(gone) for i, (_, gone) in repeated_pairs(docs).items()}
+    assert {r.doc_id: r.n_removed for r in queries()["op10_line_dedup"](spark, sf_dir).collect()} == expected
+
+
 def test_chunk_boundaries_resist_shifts():
     import random
     rng = random.Random(2)

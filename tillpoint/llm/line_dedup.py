@@ -11,6 +11,13 @@ occurrence, by (doc_id, line).  Chunk hashes only nominate: the hashes that
 several places share are found first (``sharing.py``), then the bytes of the
 nominated chunks are compared, each distinct chunk sent once per bucket.
 
+Chunks leave the edges of a repeated passage, and passages shorter than a
+chunk.  With ``edges`` a second round of the same kind looks up every pair of
+neighbouring lines that no removed chunk holds, and a pair goes whose first
+occurrence ends before it begins.  Pairs inside a removed chunk stand in the
+chunk's first occurrence too, so all runs of two or more lines that occurred
+before go whole, wherever chunks end.
+
 Defined results: a null text has no lines and an empty remainder; an empty
 text is one empty line; rows of one doc_id with equal chunks at the same
 line keep both; a null doc_id counts as larger than every other; an empty
@@ -28,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import (NULL_ID, column, exchange_width, in_buckets, int64s, pack, split_by, squeeze, stretch_out, unboxed,
+from .common import (NULL_ID, column, exchange_width, in_buckets, int64s, mix, pack, split_by, squeeze, stretch_out, unboxed,
                      unpack)
 from .sharing import BITS, gathered, shared_values
 
@@ -38,6 +45,7 @@ LEAST = 2
 MASK = (1 << 64) - 1
 RESULT = "doc_id long, n_lines long, n_removed long, n_chunks long, n_chunks_removed long, kept_sha256 string"
 NOMINATED = "dest int, bucket int, kind int, blob binary, lens binary, firsts binary, refs binary"
+MARKED = "bucket int, box binary"
 FIRSTS = "bucket int, kind int, refs binary, firsts binary"
 
 
@@ -73,34 +81,54 @@ def documents(tab: pa.Table):
         yield d, ids[d], lines, list(zip([0, *ends[:-1]], ends))
 
 
-def chunk_hashes(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    vals, place = [], []
-    for _, _, lines, bounds in documents(tab):
-        for a, b in bounds:
-            if b - a > 1:
-                vals.append(xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])))
-                place.append(len(place))  # a second place in the same document counts too
-    return np.array(vals, np.uint64), np.array(place, np.int64)
+def chunk_places(tab: pa.Table):
+    """``(number, doc_id, lines, [(chunk, begin, end, hash)])`` of the chunks
+    of several lines."""
+    for d, i, lines, bounds in documents(tab):
+        yield d, i, lines, [(c, a, b, xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])))
+                            for c, (a, b) in enumerate(bounds) if b - a > 1]
+
+
+def marked_documents(tab: pa.Table):
+    """``(number, doc_id, lines, number of chunks, bounds of the removed
+    ones)`` of documents out of :func:`marked`."""
+    ids = int64s(tab, "doc_id").tolist()
+    for d, (raw, n, cut) in enumerate(zip(column(tab, "text").cast(pa.large_binary()), column(tab, "n_chunks").to_pylist(),
+                                          column(tab, "cut").to_pylist())):
+        raw = raw.as_py()
+        yield d, ids[d], [] if raw is None else raw.split(b"\n"), n, list(zip(cut[::2], cut[1::2]))
+
 
+def pair_places(tab: pa.Table):
+    """As :func:`chunk_places`, of the pairs of neighbouring lines that no
+    removed chunk holds."""
+    for d, i, lines, _, cut in marked_documents(tab):
+        inside = {k for a, b in cut for k in range(a, b - 1)}
+        h = [xxhash.xxh3_64_intdigest(x) for x in lines]
+        pairs = mix(np.array(h[:-1], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(h[1:], np.uint64)).tolist()
+        yield d, i, lines, [(a, a, a + 2, p) for a, p in enumerate(pairs) if a not in inside]
 
-def nominate(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
+
+def hashes_of(tab: pa.Table, places_of) -> tuple[np.ndarray, np.ndarray]:
+    vals = [p[3] for _, _, _, places in places_of(tab) for p in places]
+    return np.array(vals, np.uint64), np.arange(len(vals))  # a second place in the same document counts too
+
+
+def nominate(left: pa.Table, right: pa.Table, shards: int, places_of) -> pa.Table:
     out = {k: [] for k in ("dest", "bucket", "kind", "blob", "lens", "firsts", "refs")}
     known = set(gathered(right, shards).tolist())
     if left.num_rows and known:
         bucket = int(column(left, "bucket")[0].as_py())
         number: dict[bytes, int] = {}
         shard, first, places = [], [], []
-        for d, i, lines, bounds in documents(unboxed(left)):
-            for c, (a, b) in enumerate(bounds):
-                if b - a > 1:
-                    text = b"\n".join(lines[a:b])
-                    h = xxhash.xxh3_64_intdigest(text)
-                    if (h // shards & (1 << BITS) - 1) * shards + h % shards in known:
-                        n = number.setdefault(text, len(number))
-                        if n == len(shard):
-                            shard.append(h % shards)
-                            first.append((i, a))
-                        places.append((n, d, c))
+        for d, i, lines, spans in places_of(unboxed(left)):
+            for c, a, b, h in spans:
+                if (h // shards & (1 << BITS) - 1) * shards + h % shards in known:
+                    n = number.setdefault(b"\n".join(lines[a:b]), len(number))
+                    if n == len(shard):
+                        shard.append(h % shards)
+                        first.append((i, a))
+                    places.append((n, d, c))
         keys, first = list(number), np.array(first, np.int64).reshape(-1, 2)
         order, ends = split_by(np.array(shard, np.int32), shards)
         for s in range(shards):
@@ -142,9 +170,16 @@ def compare(tab: pa.Table, shards: int) -> pa.Table:
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
 
-def decided(left: pa.Table, right: pa.Table):
-    """``(doc_id, lines, kept lines, chunks, removed chunks)`` of a bucket's
-    documents, in the order of :func:`unboxed`."""
+def boxed(tab: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, tab.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(tab.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def first_places(right: pa.Table) -> tuple[dict[int, tuple[int, int]], dict[tuple[int, int], int]]:
+    """First place of each nominated text, and the text at each place, of a
+    bucket."""
     first: dict[int, tuple[int, int]] = {}
     place: dict[tuple[int, int], int] = {}
     for kind, refs, firsts in zip(*(column(right, c).to_pylist() for c in ("kind", "refs", "firsts"))):
@@ -152,35 +187,69 @@ def decided(left: pa.Table, right: pa.Table):
             first.update(zip(unpack(refs, np.int64).tolist(), map(tuple, unpack(firsts, np.int64).reshape(-1, 2).tolist())))
         else:
             place.update(((d, c), n) for n, d, c in unpack(refs, np.int64).reshape(-1, 3).tolist())
+    return first, place
+
+
+def decided(left: pa.Table, right: pa.Table):
+    """``(doc_id, lines, kept lines, number of chunks, bounds of the removed
+    chunks)`` of a bucket's documents, in the order of :func:`unboxed`."""
+    first, place = first_places(right)
     for d, i, lines, bounds in documents(left):
-        kept, cut = [], 0
+        kept, cut = [], []
         for c, (a, b) in enumerate(bounds):
             n = place.get((d, c))
             if n is not None and first[n] < (i, a):
-                cut += 1
+                cut.append((a, b))
             else:
                 kept += lines[a:b]
-        yield i, lines, kept, bounds, cut
+        yield i, lines, kept, len(bounds), cut
 
 
-def cut_documents(left: pa.Table, right: pa.Table) -> pa.Table:
+def marked(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The documents of a bucket, boxed again with what the chunks decided."""
+    if left.num_rows == 0:
+        return pa.table({"bucket": pa.array([], pa.int32()), "box": pa.array([], pa.binary())})
+    tab = unboxed(left)
+    told = [(n, [x for ab in cut for x in ab]) for _, _, _, n, cut in decided(tab, right)]
+    tab = (tab.append_column("n_chunks", pa.array([n for n, _ in told], pa.int64()))
+           .append_column("cut", pa.array([c for _, c in told], pa.list_(pa.int64()))))
+    return pa.table({"bucket": pa.array([column(left, "bucket")[0].as_py()], pa.int32()), "box": pa.array([boxed(tab)], pa.binary())})
+
+
+def decided_with_edges(left: pa.Table, right: pa.Table):
+    """As :func:`decided`, of documents out of :func:`marked`: pairs of lines
+    that stand elsewhere before are not kept either."""
+    first, place = first_places(right)
+    pairs: dict[int, list[tuple[int, int]]] = {}
+    for (d, a), n in place.items():
+        pairs.setdefault(d, []).append((a, n))
+    for d, i, lines, n_chunks, cut in marked_documents(left):
+        gone = {k for a, b in cut for k in range(a, b)}
+        for a, n in pairs.get(d, ()):
+            j, b = first[n]
+            if j < i or j == i and b + 2 <= a:
+                gone.update((a, a + 1))
+        yield i, lines, [x for k, x in enumerate(lines) if k not in gone], n_chunks, cut
+
+
+def cut_documents(left: pa.Table, right: pa.Table, decide) -> pa.Table:
     names = ["doc_id", "n_lines", "n_removed", "n_chunks", "n_chunks_removed", "kept_sha256"]
     out: dict[str, list] = {k: [] for k in names}
-    for i, lines, kept, bounds, cut in decided(unboxed(left), right) if left.num_rows else ():
-        row = (None if i == NULL_ID else i, len(lines), len(lines) - len(kept), len(bounds), cut,
+    for i, lines, kept, n_chunks, cut in decide(unboxed(left), right) if left.num_rows else ():
+        row = (None if i == NULL_ID else i, len(lines), len(lines) - len(kept), n_chunks, len(cut),
                hashlib.sha256(b"\n".join(kept)).hexdigest())
         for k, v in zip(out, row):
             out[k].append(v)
     return pa.table({k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()})
 
 
-def cut_rows(left: pa.Table, right: pa.Table, schema: pa.Schema) -> pa.Table:
+def cut_rows(left: pa.Table, right: pa.Table, schema: pa.Schema, decide) -> pa.Table:
     """The documents themselves, with what remains of their texts."""
     if left.num_rows == 0:
         return schema.empty_table()
     tab = unboxed(left)
     texts = [None if t is None else b"\n".join(k) for t, (_, _, k, _, _) in
-             zip(column(tab, "text").to_pylist(), decided(tab, right))]
+             zip(column(tab, "text").to_pylist(), decide(tab, right))]
     text = pa.array(texts, pa.binary()).cast(pa.string())
     rest = column(tab, "rest") if "rest" in tab.column_names else None
     cols = []
@@ -196,27 +265,35 @@ def cut_rows(left: pa.Table, right: pa.Table, schema: pa.Schema) -> pa.Table:
     return pa.table(cols, schema=schema)
 
 
-def found_chunks(dealt: DataFrame, shards: int) -> DataFrame:
-    shared = shared_values(dealt, chunk_hashes, shards)
+def found(dealt: DataFrame, shards: int, places_of) -> DataFrame:
+    """First places, by their bytes, of the texts that several places share."""
+    shared = shared_values(dealt, lambda t: hashes_of(t, places_of), shards)
     return (dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
-            .applyInArrow(lambda a, b: nominate(a, b, shards), NOMINATED)
+            .applyInArrow(lambda a, b: nominate(a, b, shards, places_of), NOMINATED)
             .groupBy("dest").applyInArrow(lambda t: compare(t, shards), FIRSTS))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def rounds(dealt: DataFrame, shards: int, edges: bool):
+    """Grouped documents with what was found, and how that decides."""
+    firsts = found(dealt, shards, chunk_places)
+    if not edges:
+        return dealt.groupBy("bucket").cogroup(firsts.groupBy("bucket")), decided
+    again = dealt.groupBy("bucket").cogroup(firsts.groupBy("bucket")).applyInArrow(marked, MARKED)
+    return again.groupBy("bucket").cogroup(found(again, shards, pair_places).groupBy("bucket")), decided_with_edges
+
+
+def line_dedup(docs: DataFrame, edges: bool = False) -> DataFrame:
     """One row per document: what was removed, and a digest of the rest."""
     width = exchange_width(docs.sparkSession)
-    dealt = in_buckets(docs, 2 * width)
-    return (dealt.groupBy("bucket").cogroup(found_chunks(dealt, width).groupBy("bucket"))
-            .applyInArrow(cut_documents, RESULT))
+    both, decide = rounds(in_buckets(docs, 2 * width), width, edges)
+    return both.applyInArrow(lambda a, b: cut_documents(a, b, decide), RESULT)
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edges: bool = False) -> DataFrame:
     """The documents with all their columns: ``text`` is what remains, and
     ``n_chars`` (if there) its length; a null text stays null."""
     width = exchange_width(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    dealt = in_buckets(docs, 2 * width, others)
+    both, decide = rounds(in_buckets(docs, 2 * width, others), width, edges)
     schema = to_arrow_schema(docs.schema)
-    return (dealt.groupBy("bucket").cogroup(found_chunks(dealt, width).groupBy("bucket"))
-            .applyInArrow(lambda a, b: cut_rows(a, b, schema), docs.schema))
+    return both.applyInArrow(lambda a, b: cut_rows(a, b, schema, decide), docs.schema)
