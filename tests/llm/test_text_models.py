@@ -60,6 +60,33 @@ def test_block_tables_find_all_within_the_radius(spark, radius):
     assert got == {s: sum(bin(x ^ y).count("1") <= radius for y in every) for s, x in zip(signed, every)}
 
 
+@pytest.mark.parametrize("radius, blocks", [(23, 8), (10, 3), (11, 5), (4, 4), (3, 8)])
+def test_wide_blocks_find_all_within_the_radius(spark, radius, blocks):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    every = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 20))) for b in base for _ in range(12)]
+    signed = [tuple((x >> s & (1 << 64) - 1) - ((x >> s & 1 << 63) << 1) for s in (0, 64)) for x in every]
+    df = spark.createDataFrame(signed, "f1 long, f2 long")
+    got = {(r.q1, r.q2): r.n_near for r in within_radius(df, df, radius, blocks).collect()}
+    assert got == {s: sum(bin(x ^ y).count("1") <= radius for y in every) for s, x in zip(signed, every)}
+
+
+def test_registered_radius_finds_near_copies(spark, tmp_path):
+    """A document with a few words changed counts as near."""
+    from tillpoint.llm.catalog import queries
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((100 * k, " ".join(words)))
+        for j in rng.sample(range(200), 5):
+            words[j] = "other"
+        rows.append((100 * k + 1, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_near for r in queries()["op6_fingerprints"](spark, str(tmp_path)).collect()}
+    assert [got[100 * k] for k in range(30)] == [1] * 30
+
+
 def test_native_plans(docs, spark):
     for df in (fingerprints(docs), read_back(format_windows(with_control_case(spark, conversations(spark))))):
         plan = df._jdf.queryExecution().executedPlan().toString()

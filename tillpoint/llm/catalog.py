@@ -44,8 +44,8 @@ def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprints import fingerprint_report
-    return fingerprint_report(table(spark, sf_dir, "documents"))
+    from .fingerprints import NEAR_BLOCKS, NEAR_RADIUS, fingerprint_report
+    return fingerprint_report(table(spark, sf_dir, "documents"), NEAR_RADIUS, blocks=NEAR_BLOCKS)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

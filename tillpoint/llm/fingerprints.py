@@ -15,7 +15,9 @@ are shuffled once.
 
 :func:`within_radius` finds fingerprints within a Hamming radius: with one
 block more than the radius, two such fingerprints agree on a block, so each
-is put into one table per block, permuted so that this block leads.
+is put into one table per block, permuted so that this block leads.  Far
+radii take fewer, wider blocks: one of them differs in at most radius / blocks
+bits, and a query looks up all values of its block within so many bits.
 
 Defined results: a null text is empty, and has the fingerprint of the empty
 word; equal texts have equal fingerprints; a single document is its own next
@@ -26,6 +28,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,12 @@ from .common import GAP, exchange_width
 BITS = 128
 RADIUS = 3
 QUERY_EVERY = 100
+#: Radius and blocks of the registered query: of the pairs of sf0.1 with a
+#: Jaccard similarity of 0.8 to 1 (two-word shingles) 95.7 % lie within 23
+#: bits, none within 3; pairs drawn at random that lie within 23 but not
+#: within 3 are 2 in 100,000.
+NEAR_RADIUS = 23
+NEAR_BLOCKS = 8
 BLANKS = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
 LANES = 0x0000000100000001
@@ -140,30 +149,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return both.where("kind = 0 AND NOT copy").select("doc_id", "n_chars", "edited_sha256", "f1", "f2", "e1", "e2", "n1", "n2")
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """``(q1, q2, n_near)``: how many rows of ``prints(f1, f2)`` lie within
     ``radius`` of each distinct query fingerprint, itself included.  Equal
     fingerprints are counted before the tables are built; a pair is kept in
-    the first table where its blocks agree."""
-    blocks = radius + 1
+    the first table where its blocks agree, but for ``radius // blocks`` bits
+    (none with one block more than the radius, the default)."""
+    blocks = blocks or radius + 1
     width = -(-BITS // blocks)
+    flips = radius // blocks
+    if flips and width > 63:
+        raise ValueError("blocks in which bits may differ have at most 63 bits")
+    masks = [sum(1 << j for j in at) for k in range(flips + 1) for at in combinations(range(width), k)]
 
     def block(f1: Column, f2: Column, t: int) -> Column:
         bits = [(f1, j) if j < 64 else (f2, j - 64) for j in range(t * width, min(BITS, (t + 1) * width))]
-        out = F.lit(0).cast("long")
+        out, done = F.lit(0).cast("long"), 0
         for half in (f1, f2):
-            mask = reduce(lambda a, b: a | b, [1 << j for h, j in bits if h is half], 0)
-            if mask:
+            own = [j for h, j in bits if h is half]
+            mask = sum(1 << j for j in own)
+            if mask and flips:
+                out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(half, own[0]).bitwiseAND(F.lit((1 << len(own)) - 1)), done))
+                done += len(own)
+            elif mask:
                 out = F.xxhash64(out, half.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
         return out
 
+    def agree(t: int) -> Column:
+        a, b = block(F.col("f1"), F.col("f2"), t), block(F.col("q1"), F.col("q2"), t)
+        return F.bit_count(a.bitwiseXOR(b)) <= flips if flips else a == b
+
     def tables(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(t).alias("t"), block(F.col(a), F.col(b), t).alias("v")) for t in range(blocks)])
         return df.withColumn("at", F.explode(keys)).select("*", F.col("at.t").alias(key + "_t"), F.col("at.v").alias(key + "_v")).drop("at")
 
     known = tables(prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")), "f1", "f2", "k")
     asked = tables(queries.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct(), "q1", "q2", "a")
-    first = F.coalesce(*[F.when(block(F.col("f1"), F.col("f2"), t) == block(F.col("q1"), F.col("q2"), t), F.lit(t)) for t in range(blocks)])
+    if flips:  # many rows that compress to few bytes: not to be broadcast
+        asked = asked.withColumn("m", F.explode(literal(masks))).withColumn("a_v", F.col("a_v").bitwiseXOR(F.col("m"))).drop("m").hint("merge")
+    first = F.coalesce(*[F.when(agree(t), F.lit(t)) for t in range(blocks)])
     return (asked.join(known, (F.col("a_t") == F.col("k_t")) & (F.col("a_v") == F.col("k_v"))
                        & (distance(F.col("f1"), F.col("f2"), F.col("q1"), F.col("q2")) <= radius) & (first == F.col("k_t")))
             .groupBy("q1", "q2").agg(F.sum("n").alias("n_near")))
@@ -173,12 +197,12 @@ def hexed(a: str, b: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-def fingerprint_report(docs: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
+def fingerprint_report(docs: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY, blocks: int | None = None) -> DataFrame:
     """One row per document; ``n_near`` (for doc_ids divisible by ``every``):
     how many other documents' fingerprints lie within ``radius``."""
     prints = fingerprints(docs).checkpoint()
     asked = prints.where(F.col("doc_id") % every == 0)
-    near = within_radius(prints.select("f1", "f2"), asked, radius)
+    near = within_radius(prints.select("f1", "f2"), asked, radius, blocks)
     is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     return (prints.withColumn("asked", is_query)
             .join(near.withColumn("there", F.lit(True)),
