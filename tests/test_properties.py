@@ -3,6 +3,7 @@ equivalence of the skew-safe operators against the plain forms."""
 
 import datetime as dt
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -78,3 +79,15 @@ def test_interval_join_equals_brute_force(spark, left, right, lo, hi):
     cond = ((L.lk == R.rk) & (R.rts >= L.lts + F.expr(f"INTERVAL {lo} DAY"))
             & (R.rts <= L.lts + F.expr(f"INTERVAL {hi} DAY")))
     assert rows(got, "lid", "rid") == rows(L.join(R, cond, "left"), "lid", "rid")
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_rfm_digits_are_quintiles_at_any_scale(spark, scale):
+    from decimal import Decimal
+    from tillpoint.plans.aggregates import weekly_customer_ltv
+    day = dt.date(2024, 1, 1)
+    rows = [(c, f"{c}-{k}", day - dt.timedelta(days=c), Decimal(c * scale)) for c in range(1, 11) for k in range(c)]
+    sales = spark.createDataFrame(rows, "customer_sk long, invoice_no string, sale_date date, line_total decimal(12,2)")
+    got = {r.customer_sk: r.rfm_score for r in weekly_customer_ltv(sales, day, quintiles=True).collect()}
+    fifth = {c: (c + 1) // 2 for c in range(1, 11)}
+    assert got == {c: f"{6 - q}{q}{q}" for c, q in fifth.items()}

@@ -131,11 +131,19 @@ def _digit(c: Column, bounds: tuple, le: bool) -> Column:
     return e.otherwise(F.lit(1)).cast("string")
 
 
-def weekly_customer_ltv(fact_sales: DataFrame, as_of: dt.date) -> DataFrame:
+def _quintile(c: Column, cuts: Column) -> Column:
+    """1 to 5: one more than the number of cutoffs below the value."""
+    return F.size(F.filter(cuts, lambda x: x < c)) + 1
+
+
+def weekly_customer_ltv(fact_sales: DataFrame, as_of: dt.date, quintiles: bool = False) -> DataFrame:
     """The weekly snapshot written for the week of ``as_of`` (one partition
     per weekly run): per customer with sales up to ``as_of`` - lifetime
     value, orders, average order value, days since last order, an RFM code
-    of three digits from fixed thresholds, churn risk = min(1, days/365)."""
+    of three digits from fixed thresholds, churn risk = min(1, days/365).
+    With ``quintiles`` each digit is the customer's quintile (5 = best), by
+    the four ``approx_percentile`` cutoffs over all customers; a value equal
+    to a cutoff is below it."""
     f = fact_sales.filter((F.col("sale_date") <= F.lit(as_of)) & F.col("customer_sk").isNotNull())
     per = f.groupBy("customer_sk").agg(
         F.sum("line_total").alias("ltv"), F.count_distinct("invoice_no").alias("orders"),
@@ -143,6 +151,14 @@ def weekly_customer_ltv(fact_sales: DataFrame, as_of: dt.date) -> DataFrame:
     days = F.datediff(F.lit(as_of), F.col("last")).cast("bigint")
     rfm = F.concat(_digit(days, RECENCY_DAYS, True), _digit(F.col("orders"), FREQUENCY_ORDERS, False),
                    _digit(F.col("ltv"), MONETARY_LTV, False))
+    if quintiles:
+        fifths = [0.2, 0.4, 0.6, 0.8]
+        cuts = per.agg(*[F.percentile_approx(c, fifths, 10_000).alias(n) for c, n in (
+            (days, "__r"), (F.col("orders"), "__f"), (F.col("ltv"), "__m"))])
+        per = per.crossJoin(F.broadcast(cuts))
+        rfm = F.concat((6 - _quintile(days, F.col("__r"))).cast("string"),
+                       _quintile(F.col("orders"), F.col("__f")).cast("string"),
+                       _quintile(F.col("ltv"), F.col("__m")).cast("string"))
     return per.select(
         "customer_sk", F.col("ltv").cast("decimal(16,2)").alias("ltv_to_date"),
         F.col("orders").alias("orders_to_date"),

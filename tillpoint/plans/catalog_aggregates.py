@@ -117,6 +117,36 @@ def q_a5(spark, sf):
     return a.weekly_customer_ltv(td.fact_sales(spark, sf), S)
 
 
+def _cuts_sql(x):
+    """Four cutoffs: the least value that a fifth, two fifths ... of all
+    customers do not exceed."""
+    return (f"SELECT " + ", ".join(f"MIN({x}) FILTER (k * 5 >= {j} * n) AS c{j}" for j in (1, 2, 3, 4))
+            + f" FROM (SELECT {x}, ROW_NUMBER() OVER (ORDER BY {x}) AS k, COUNT(*) OVER () AS n FROM d)")
+
+
+def _below_sql(x, t):
+    return " + ".join(f"CASE WHEN {t}.c{j} < {x} THEN 1 ELSE 0 END" for j in (1, 2, 3, 4))
+
+
+@register("A5b_weekly_customer_ltv_quintiles", f"""
+WITH per AS (SELECT customer_sk, SUM(line_total) AS ltv, COUNT(DISTINCT invoice_no) AS orders,
+                    MAX(sale_date) AS last
+             FROM fx_fact_sales WHERE sale_date <= {date_lit(S)} AND customer_sk IS NOT NULL
+             GROUP BY customer_sk),
+d AS (SELECT *, CAST(date_diff('day', last, {date_lit(S)}) AS BIGINT) AS days FROM per),
+r AS ({_cuts_sql('days')}), f AS ({_cuts_sql('orders')}), m AS ({_cuts_sql('ltv')})
+SELECT customer_sk, CAST(ltv AS DECIMAL(16,2)) AS ltv_to_date, orders AS orders_to_date,
+       {hu_div('ltv', 'orders', 2, num_scale=2, out='DECIMAL(12,2)')} AS avg_order_value,
+       days AS days_since_last_order,
+       CAST(5 - ({_below_sql('days', 'r')}) AS VARCHAR) || CAST(1 + {_below_sql('orders', 'f')} AS VARCHAR)
+         || CAST(1 + {_below_sql('ltv', 'm')} AS VARCHAR) AS rfm_score,
+       {hu_div('LEAST(days, 365)', '365', 3, out='DECIMAL(4,3)')} AS churn_risk,
+       CAST(date_trunc('week', {date_lit(S)}) AS DATE) AS week_start_date
+FROM d, r, f, m""")
+def q_a5b(spark, sf):
+    return a.weekly_customer_ltv(td.fact_sales(spark, sf), S, quintiles=True)
+
+
 @register("A8_daily_carrier_otd", f"""
 WITH g AS (
   SELECT carrier, CAST(shipped_ts AS DATE) AS ship_date, COUNT(*) AS shipments_total,
