@@ -91,3 +91,8 @@ def test_rfm_digits_are_quintiles_at_any_scale(spark, scale):
     got = {r.customer_sk: r.rfm_score for r in weekly_customer_ltv(sales, day, quintiles=True).collect()}
     fifth = {c: (c + 1) // 2 for c in range(1, 11)}
     assert got == {c: f"{6 - q}{q}{q}" for c, q in fifth.items()}
+
+
+def test_returns_load_keeps_reasons(spark):
+    got = ent.queries()["F10b_fact_returns_load_reasons"](spark, SF_SMALL).select("invoice_no", "product_sk", "reason_code").collect()
+    assert got and all(r.reason_code == f"R{r.product_sk % 5}" for r in got)

@@ -141,6 +141,18 @@ def q_f10(spark, sf):
     return fx.fact_returns_load(rma, td.dim_customer(spark, sf), prod)
 
 
+@register("F10b_fact_returns_load_reasons", """
+SELECT CAST(regexp_replace(rma_id, '[^0-9]', '', 'g') AS BIGINT) AS return_id, r.invoice_no, c.customer_sk,
+       p.product_sk, requested_at AS return_ts, quantity, CAST(NULL AS DECIMAL(12,2)) AS refund_amount,
+       'R' || CAST(CAST(r.stock_code AS BIGINT) % 5 AS VARCHAR) AS reason_code, 'store' AS return_channel,
+       CAST(NULL AS BIGINT) AS store_sk, CAST(requested_at AS DATE) AS return_date
+FROM fx_rma r LEFT JOIN fx_dim_customer c ON c.customer_id = r.customer_id
+LEFT JOIN fx_dim_product p ON CAST(p.product_sk AS VARCHAR) = r.stock_code""")
+def q_f10b(spark, sf):
+    prod = td.dim_product(spark, sf).withColumn("product_natural", F.col("product_sk").cast("string"))
+    return fx.fact_returns_load(td.return_authorizations(spark, sf), td.dim_customer(spark, sf), prod)
+
+
 def _yn(cond: str) -> str:
     return f"CASE WHEN {cond} THEN 'Y' ELSE 'N' END"
 
