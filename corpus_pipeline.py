@@ -27,7 +27,7 @@ SHINGLE = 5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Bradley-Terry classifier, learned on the labelled
     documents of the input, does not reject."""
-    return passing(docs, fit(featurised(docs), table(spark, sf_dir, "labels")))
+    return passing(docs, fit(featurised(docs).checkpoint(), table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,6 +194,28 @@ def test_quality_uses_no_held_out_label(spark, make):
     assert (one.weights == two.weights).all() and one.cut == two.cut
 
 
+def test_quality_threshold_from_all_labels(spark, make):
+    """Centre, scale and threshold cover the rows that the fit sample leaves out."""
+    import numpy as np
+    rows, labels = quality_rows()
+    feats = featurised(make(rows))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit(feats, lab, sample=40)
+    every = {r.doc_id: np.array(r.feats) for r in feats.collect()}
+    x = np.array(list(every.values()))
+    assert np.allclose(model.center, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3), atol=1e-6)
+    raw = {i: float((f - model.center) / model.scale @ model.weights) for i, f in every.items()}
+    told = [(raw[k], q) for k, q, _ in labels if k in raw and q in (0, 1) and zlib.crc32(str(k).encode()) % 5]
+
+    def wrong(cut):
+        return sum((r >= cut) != q for r, q in told)
+    assert wrong(model.cut) <= min(wrong(r) for r, _ in told) + 1
+    good = sorted(r for r, q in told if q)
+    bad = sorted(r for r, q in told if not q)
+    spread = good[len(good) // 2] - bad[len(bad) // 2]
+    assert abs(8 / model.slope - spread) < 0.05 * abs(spread)
+
+
 def test_quality_without_labels(spark, make):
     feats = featurised(make([(1, "a", "b")]))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -9,8 +9,10 @@ features of a pair.  A quantile of the scores of the labelled documents is
 the threshold, and the score is mapped to 0..1 so that the threshold is 0.3.
 
 The fit uses at most ``SAMPLE`` labelled rows, those with the smallest
-hashes of their doc_id, whatever the size of the corpus.  Features and
-scores cover every whole text.  doc_id, lang, source and labels are never
+hashes of their doc_id, whatever the size of the corpus.  The features are
+centred and scaled over all rows, and the threshold and the slope come from
+the scores of all labelled rows, by a histogram.  Features and scores cover
+every whole text.  doc_id, lang, source and labels are never
 inputs of a score.
 
 Defined results: a null or empty text has all-zero features and a score; a
@@ -24,6 +26,8 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -110,19 +114,68 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def moments(feats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature over all rows.  Batches add up as
+    whole numbers of 2**-32, so no order of the partitions changes a bit."""
+    whole = pa.decimal128(38, 0)
+
+    def run(batches):
+        for batch in batches:
+            x = column(batch, "feats").flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPES + NUMBERS).astype(np.float64)
+            sums, squares = ([Decimal(int(v * 2.0 ** 32)) for v in y.sum(axis=0)] for y in (x, x * x))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(sums)), pa.int32()), pa.array([len(x)] * len(sums), pa.int64()), pa.array(sums, whole),
+                 pa.array(squares, whole)], ["k", "n", "s", "q"])
+
+    rows = (feats.select("feats").mapInArrow(run, "k int, n long, s decimal(38,0), q decimal(38,0)")
+            .groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("k").collect())
+    if not rows or not rows[0][1]:
+        return np.zeros(SHAPES + NUMBERS), np.ones(SHAPES + NUMBERS)
+    mean = [Fraction(int(s), n << 32) for _, n, s, _ in rows]
+    spread = [Fraction(int(q), n << 32) - m * m for (_, n, _, q), m in zip(rows, mean)]
+    return np.array([float(m) for m in mean]), np.maximum([math.sqrt(max(v, 0)) for v in spread], 1e-3)
+
+
+def bins_of(raw: np.ndarray) -> np.ndarray:
+    """Bins in the order of the scores, a 2048th of a power of two wide."""
+    bits = raw.astype(np.float32).view(np.int32).astype(np.int64)
+    return np.where(bits < 0, -(bits & 0x7FFFFFFF) - 1, bits) >> 12
+
+
+def histogram(rows: DataFrame, center: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Bins of the raw scores of ``rows(l_quality, feats)`` in order, as
+    ``least, most, bad, good``."""
+    def run(batches):
+        for batch in batches:
+            x = column(batch, "feats").flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPES + NUMBERS)
+            raw = ((x.astype(np.float64) - center) / scale) @ weights
+            yield pa.RecordBatch.from_arrays([pa.array(bins_of(raw)), pa.array(raw), column(batch, "l_quality").cast(pa.int32())],
+                                             ["bin", "raw", "good"])
+
+    found = (rows.select("l_quality", "feats").mapInArrow(run, "bin long, raw double, good int").groupBy("bin")
+             .agg(F.min("raw"), F.max("raw"), F.sum(1 - F.col("good")), F.sum("good")).orderBy("bin").collect())
+    return np.array([tuple(r)[1:] for r in found], np.float64)
+
+
+def middle(bins: np.ndarray, count: np.ndarray) -> float:
+    """Median score, to the width of a bin."""
+    at = int(np.searchsorted(np.cumsum(count), count.sum() / 2))
+    return float(bins[at, 0] + bins[at, 1]) / 2
+
+
 def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     """Learn from the labels of documents that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").alias("l_quality")).where(
         F.col("l_quality").isin(0, 1) & ~held_out(F.col("l_id")))
-    rows = (feats.join(marks, F.col("doc_id") == F.col("l_id"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "l_quality").limit(sample).select("l_quality", "feats").toArrow())
+    marked = feats.join(marks, F.col("doc_id") == F.col("l_id"))
+    rows = (marked.orderBy(F.xxhash64("doc_id"), "doc_id", "l_quality").limit(sample).select("l_quality", "feats").toArrow())
     y = rows["l_quality"].to_numpy()
     x = rows["feats"].combine_chunks().flatten().to_numpy().reshape(len(y), SHAPES + NUMBERS).astype(np.float64) if len(y) else np.zeros((0, SHAPES + NUMBERS))
     center, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranking(center, scale, center, 0.0, 0.0)
-    center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    center, scale = moments(feats)
     z = (x - center) / scale
     draw = np.random.default_rng(0)
     d = z[draw.choice(good, PAIRS)] - z[draw.choice(bad, PAIRS)]
@@ -133,14 +186,14 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
         hess = (d * (p * (1 - p))[:, None]).T @ d / PAIRS + RIDGE * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step * min(1.0, 10 / (np.linalg.norm(step) + 1e-12))
-    raw = np.sort(z @ w)
-    flag = y[np.argsort(z @ w, kind="stable")]
+    bins = histogram(marked, center, scale, w)
+    bad, good = bins[:, 2], bins[:, 3]
     # the quantile with the fewest documents on the wrong side
-    wrong = np.r_[0, np.cumsum(flag)] + np.r_[(1 - flag).sum(), (1 - flag).sum() - np.cumsum(1 - flag)]
+    wrong = np.r_[0, np.cumsum(good)] + np.r_[bad.sum(), bad.sum() - np.cumsum(bad)]
     best = np.flatnonzero(wrong == wrong.min())
     at = int(best[len(best) // 2])
-    cut = (raw[max(0, at - 1)] + raw[min(len(raw) - 1, at)]) / 2
-    spread = np.median(z[good] @ w) - np.median(z[bad] @ w)
+    cut = (bins[max(0, at - 1), 1] + bins[min(len(bins) - 1, at), 0]) / 2
+    spread = middle(bins, good) - middle(bins, bad)
     return Ranking(center, scale, w, float(cut), float(8 / max(spread, 1e-9)))
 
 
