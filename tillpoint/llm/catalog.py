@@ -69,10 +69,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), edges=True)
 
 
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .structure import damaged, structure_report
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_report(conversations, damaged(conversations))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_topk, op2_best_fit_packing, op3_suffix_dedup, op4_mixing, op5_phrase_dedup,
         op6_fingerprints, op7_near_dedup, op8_chat, op9_quality, op10_line_dedup,
+        op12_structure,
     )}
 
 
