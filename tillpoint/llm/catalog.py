@@ -69,21 +69,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), edges=True)
 
 
+def op11_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import license_report, license_scan
+    return license_report(license_scan(table(spark, sf_dir, "documents")))
+
+
 def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .structure import damaged, structure_report
     conversations = table(spark, sf_dir, "conversations")
     return structure_report(conversations, damaged(conversations))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_topk, op2_best_fit_packing, op3_suffix_dedup, op4_mixing, op5_phrase_dedup,
         op6_fingerprints, op7_near_dedup, op8_chat, op9_quality, op10_line_dedup,
-        op12_structure,
+        op11_license, op12_structure, op13_search,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
     return {"op1_topk": oracles.OP1, "op4_mixing": oracles.OP4, "op5_phrase_dedup": oracles.OP5,
-            "op7_near_dedup": oracles.OP7, "op8_chat": oracles.OP8}
+            "op7_near_dedup": oracles.OP7, "op8_chat": oracles.OP8,
+            "op13_search": oracles.OP13}

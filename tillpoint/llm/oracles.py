@@ -127,3 +127,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        (sum(chars) + sum(CASE WHEN opens AND pos > 1 THEN s_chars + old_chars ELSE 0 END))::BIGINT AS formatted_chars
 FROM opened GROUP BY conv_id
 """
+
+OP13 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL),
+size AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM words WHERE len(t) > 0),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, size GROUP BY term),
+scored AS (
+  SELECT a.item_id, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked a JOIN weights w USING (term) JOIN postings p USING (term), size
+  GROUP BY a.item_id, p.doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
