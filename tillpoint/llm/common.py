@@ -3,6 +3,8 @@ views of Arrow text columns as flat byte arrays."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -28,6 +30,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, read back: cuts lineage as
+    a checkpoint does, and the size that Spark plans with is that of the files.
+    (A checkpoint keeps the estimate of its plan, and every join multiplies
+    estimates, so in a loop of joins the number itself outgrows planning.)"""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exchange_width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sizes them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

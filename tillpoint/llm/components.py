@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``links(a, b)``: the label is the
@@ -12,9 +14,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round hooks each label to its smallest neighbour, follows the hooks
     twice, and keeps only the links that still lead from label to label, so
-    the links shrink from round to round.  Lineage is cut by reliable
-    checkpoints; nothing is collected."""
-    edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
+    the links shrink from round to round.  Lineage is cut by tables in the
+    checkpoint folder; nothing is collected."""
+    edges = written(links.select("a", "b").where("a <> b").distinct())
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
 
     def moved(df: DataFrame, col: str, hook: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         hook = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
         for _ in range(2):
             hook = moved(hook, "to", hook)
-        hook = hook.checkpoint()
-        labels = moved(labels, "label", hook)  # one join a round, run when the labels are used
-        edges = moved(moved(edges, "a", hook), "b", hook).where("a <> b").distinct().checkpoint()
+        hook = written(hook)
+        labels = written(moved(labels, "label", hook))
+        edges = written(moved(moved(edges, "a", hook), "b", hook).where("a <> b").distinct())
     return labels
