@@ -17,6 +17,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import last_known
+
 
 def interval_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                        left_ts: str, right_ts: str, width_days: int = 1,
@@ -74,6 +76,28 @@ def as_of_join(fact: DataFrame, history: DataFrame, fact_key: str, hist_key: str
     return f.join(h, cond, how).drop("__fm", "__hm")
 
 
+def as_of_carry(fact: DataFrame, history: DataFrame, fact_key: str, hist_key: str, fact_ts: str, cols: list[str],
+                eff_from: str = "eff_from", eff_to: str = "eff_to") -> DataFrame:
+    """Every fact with ``cols`` of the version of its key that holds at
+    ``fact_ts`` (eff_from inclusive, eff_to exclusive; NULLs where none does).
+
+    Facts and versions form one line per key in order of time, along which the
+    last version is carried, in days with a summary per day (a key's versions
+    and facts of a day are what one task orders), so work is linear: versions
+    are not copied to the days they span, and a key with many facts is split.
+    Versions of a key must not overlap, as SCD-2 versions do not."""
+    version = F.struct(F.col(eff_to).alias("to"), *cols)
+    names = fact.columns
+    f = fact.select(F.col(fact_key).alias("__k"), F.col(fact_ts).alias("__at"), F.lit(1).alias("__kind"), F.struct(*names).alias("__fact"))
+    h = history.filter(F.col(hist_key).isNotNull()).select(
+        F.col(hist_key).alias("__k"), F.col(eff_from).alias("__at"), F.lit(0).alias("__kind"), version.alias("__version"))
+    line = f.withColumn("__version", F.lit(None).cast(h.schema["__version"].dataType)).unionByName(
+        h.withColumn("__fact", F.lit(None).cast(f.schema["__fact"].dataType)))
+    line = last_known(line, ["__k"], ["__at", "__kind"], {"__v": "__version"}).filter("__kind = 1")
+    holds = F.col("__v.to").isNull() | (F.col("__at") < F.col("__v.to"))
+    return line.select("__fact.*", *[F.when(holds, F.col(f"__v.{c}")).alias(c) for c in cols])
+
+
 def trailing_agg(left: DataFrame, right: DataFrame, left_id: list[str], left_key: str, right_key: str,
                  left_ts: str, right_ts: str, width_seconds: int,
                  maxes: dict[str, Column] | None = None, sets: dict[str, Column] | None = None,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import checked
-from .sequence import next_value, prev_value, row_number_in_key
+from .sequence import last_known, next_value, prev_value, row_number_in_key
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -125,7 +125,7 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col:
     snapshots add nothing, and snapshots at or before the start of a key's
     open version are ignored (already applied, or late), so replaying a batch
     changes nothing.  :func:`late_snapshots` returns the late ones for
-    quarantine; :func:`scd2_from_changes` over all snapshots places them.
+    quarantine; :func:`scd2_splice` places them.
     """
     history = history.checkpoint(eager=True)
     incoming = incoming.checkpoint(eager=True)
@@ -155,3 +155,54 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col:
             F.col("eff_to").isNull().alias("is_current"), "change_reason", "version"]
     seeds_out = kept.filter(F.col("__src") == 0).select(*cols)
     return closed.select(seeds_out.columns).unionByName(seeds_out).unionByName(new.select(*cols))
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> tuple[DataFrame, list[Column]]:
+    """``right`` with its keys renamed, and the null-safe equality of keys."""
+    r = right.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
+    return r, [left[k].eqNullSafe(r[f"{prefix}{k}"]) for k in keys]
+
+
+def scd2_splice(history: DataFrame, seen: DataFrame, incoming: DataFrame, keys: list[str], ts_col: str,
+                tracked: list[str], reason_first: str = "new", reason_change: str = "changed") -> tuple[DataFrame, DataFrame]:
+    """SCD-2 with snapshots in any order of arrival: ``(history, seen)`` after
+    ``incoming``, equal to :func:`scd2_from_changes` over all snapshots so far.
+
+    Beside the versions the state keeps ``seen`` (keys, ts_col): when each key
+    was observed.  A late snapshot that differs from the version it falls into
+    closes it there, and the version goes on at the key's next observation
+    after it; that time is in no version, as equal snapshots add none.  An
+    observation's attributes are those of the version it lies in, so times
+    suffice.  Only keys of the batch are worked on; versions of others pass
+    through.  Snapshots that were seen before change nothing; of several of
+    one key and time in a batch the largest by its attributes counts."""
+    history, seen = history.checkpoint(eager=True), seen.checkpoint(eager=True)
+    attrs = F.struct(*tracked)
+    new = incoming.groupBy(*keys, ts_col).agg(F.max(attrs).alias("__a"))
+    old, same = _same_keys(new, seen, keys, "__o_")
+    new = new.join(old.withColumnRenamed(ts_col, "__o_ts"), [*same, new[ts_col] == F.col("__o_ts")], "left_anti").checkpoint(eager=True)
+    touched = new.select(*keys).distinct()
+
+    def of_touched(df: DataFrame, how: str) -> DataFrame:
+        t, same = _same_keys(df, touched, keys, "__t_")
+        return df.join(t, same, how)
+
+    begun = of_touched(history, "left_semi").select(*keys, F.col("eff_from").alias("__from"), attrs.alias("__a"))
+    times = of_touched(seen, "left_semi").select(*keys, ts_col)
+    b, same = _same_keys(times, begun, keys, "__b_")
+    times = times.join(b, [*same, times[ts_col] == F.col("__from")], "left").select(
+        *keys, ts_col, "__a", F.lit(False).alias("__new"))
+    line = times.unionByName(new.withColumn("__new", F.lit(True)))
+    line = line.withColumn("__known", F.when(~F.col("__new"), F.col("__a"))).checkpoint(eager=True)
+    line = last_known(line, keys, [ts_col], {"__version": "__known"})
+    line = line.withColumn("__a", F.when(F.col("__new"), F.col("__a")).otherwise(F.col("__version"))).select(*keys, ts_col, "__a")
+    line = prev_value(line.checkpoint(eager=True), keys, [ts_col], "__a", "__before")
+    starts = line.filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__a"))).checkpoint(eager=True)
+    starts = next_value(starts, keys, [ts_col], ts_col, "eff_to").checkpoint(eager=True)
+    starts = row_number_in_key(starts, keys, [ts_col], "version")
+    made = starts.select(
+        *keys, *[F.col(f"__a.{c}").alias(c) for c in tracked], F.col(ts_col).alias("eff_from"), "eff_to",
+        F.col("eff_to").isNull().alias("is_current"),
+        F.when(F.col("version") == 1, reason_first).otherwise(reason_change).alias("change_reason"), "version")
+    return (of_touched(history, "left_anti").select(made.columns).unionByName(made),
+            seen.select(*keys, ts_col).unionByName(new.select(*keys, ts_col)))

@@ -92,3 +92,35 @@ def row_number_in_key(df: DataFrame, keys: list[str], order: list[str], out: str
                       bucket: Column | None = None) -> DataFrame:
     """1-based position of the row within its key, in ``order``."""
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, bucket)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None,
+            maxima: dict[str, str] | None = None, bucket: Column | None = None) -> DataFrame:
+    """Several running aggregates in one pass: ``sums`` and ``maxima`` map an
+    output column to the column it runs over (ROWS frame up to this row; a
+    sum counts NULL as 0, a maximum skips it)."""
+    d = _with_bucket(df, bucket, order)
+    w = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    runs = [(o, F.sum, F.coalesce(F.col(c), F.lit(0))) for o, c in (sums or {}).items()]
+    runs += [(o, F.max, F.col(c)) for o, c in (maxima or {}).items()]
+    summ = (d.groupBy(*keys, _B).agg(*[fn(c).alias(f"__t_{o}") for o, fn, c in runs])
+            .select(*keys, _B, *[fn(f"__t_{o}").over(wb).alias(f"__c_{o}") for o, fn, _ in runs]))
+    j = _join_summary(d.withColumns({f"__l_{o}": fn(c).over(w) for o, fn, c in runs}), summ, keys)
+    merged = {o: F.greatest(f"__l_{o}", f"__c_{o}") if fn is F.max else F.col(f"__l_{o}") + F.coalesce(f"__c_{o}", F.lit(0)) for o, fn, _ in runs}
+    return j.withColumns(merged).drop(_B, *[f"__{x}_{o}" for o, _, _ in runs for x in "lc"])
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+               bucket: Column | None = None) -> DataFrame:
+    """Each output of ``values`` (output -> column) is the column's last
+    non-NULL value on this or an earlier row of the key."""
+    d = _with_bucket(df, bucket, order)
+    w = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    at = _struct_order(order)
+    summ = (d.groupBy(*keys, _B).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"__t_{o}") for o, c in values.items()])
+            .select(*keys, _B, *[F.last(f"__t_{o}", ignorenulls=True).over(wb).alias(f"__c_{o}") for o in values]))
+    j = _join_summary(d.withColumns({f"__l_{o}": F.last(c, ignorenulls=True).over(w) for o, c in values.items()}), summ, keys)
+    return j.withColumns({o: F.coalesce(f"__l_{o}", f"__c_{o}") for o in values}).drop(
+        _B, *[f"__{x}_{o}" for o in values for x in "lc"])

@@ -349,6 +349,16 @@ FIXTURES["fx_movements"] = """
          l_shipdate + to_hours(CAST(l_partkey % 24 AS BIGINT)) AS movement_ts
   FROM lineitem"""
 
+FIXTURES["fx_costed_movements"] = f"""
+  SELECT movement_id, sku, warehouse_id, kind AS movement_type,
+         CASE WHEN kind = 'ADJUST' AND l_orderkey % 2 = 1 THEN -qty ELSE qty END AS quantity, unit_cost, movement_ts
+  FROM (SELECT l_orderkey * 8 + l_linenumber AS movement_id, 'SKU' || CAST(l_partkey AS VARCHAR) AS sku,
+               'WH' || CAST(l_suppkey % 7 AS VARCHAR) AS warehouse_id, l_orderkey, CAST(l_quantity AS BIGINT) AS qty,
+               {_pick(f'(l_orderkey + l_linenumber) % {len(td.MOVEMENT_TYPES)}', td.MOVEMENT_TYPES)} AS kind,
+               CAST(floor(l_extendedprice / l_quantity) AS DECIMAL(12,4)) AS unit_cost,
+               l_shipdate + to_hours(CAST(l_partkey % 24 AS BIGINT)) AS movement_ts
+        FROM lineitem) x"""
+
 FIXTURES["fx_addresses"] = f"""
   SELECT CAST(c_custkey AS VARCHAR) AS customer_id,
          'Street ' || CAST(c_custkey % 97 AS VARCHAR) AS addr_line1,

@@ -13,9 +13,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.merge import history_id
-from ..oracle_fixtures import date_lit
+from ..oracle_fixtures import K, date_lit
 from ..registry import register
+from ..session import scratch_table
 from ..sources import testdata as td
+from ..sources.bucketed_state import apply_batch
 from . import state as st
 
 SPLIT = td.FEED_SPLIT
@@ -40,6 +42,22 @@ def q_c1(spark, sf):
     return st.apply_returns_cdc(out, cdc.filter(F.col("return_ts") >= F.lit(SPLIT)))  # replay: no-op
 
 
+@register("C1b_returns_ledger_bucketed_state", """
+SELECT return_id, invoice_no, customer_sk, return_ts, refund_amount, reason_code, status
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY return_id ORDER BY return_ts DESC) AS rn
+      FROM fx_change_log) t
+WHERE rn = 1 AND op <> 'D'""")
+def q_c1b(spark, sf):
+    """Weeks out of order, then every one of them again."""
+    from ..streaming.jobs import merge_cdc, read_ledger, stored_ledger_schema
+    cdc = td.change_log(spark, sf)
+    schema, root = stored_ledger_schema(cdc), scratch_table(spark, "ledger")
+    week = F.pmod(F.floor(F.unix_seconds(F.col("return_ts").cast("timestamp")) / (7 * 86400)), F.lit(4))
+    for number, k in enumerate((2, 0, 3, 1, 0, 1, 2, 3)):
+        apply_batch(root, schema, ["return_id"], cdc.filter(week == k), number, merge_cdc)
+    return read_ledger(spark, root, cdc)
+
+
 @register("S7_merged_returns_cdc", """
 SELECT return_id, invoice_no, customer_sk, return_ts, refund_amount, reason_code, status,
        op = 'D' AS is_deleted, snapshot_date
@@ -80,6 +98,14 @@ def q_c2b(spark, sf):
     return st.customer_address_history_incremental(td.address_snapshots(spark, sf), SPLIT)
 
 
+@register("C2c_address_history_any_order", _C2_SQL)
+def q_c2c(spark, sf):
+    snapshots = td.address_snapshots(spark, sf)
+    turn = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")) / 1000, F.lit(3)).cast("int")
+    batches = [snapshots.filter(turn == k) for k in (1, 0, 2)]  # interleaved in time
+    return st.customer_address_history_spliced([*batches, batches[0]])  # the first again: no change
+
+
 @register("C6_loyalty_points_ledger", """
 SELECT event_id AS entry_id, member_id,
        CASE WHEN event_type = 'EARN' THEN points ELSE -points END AS points_delta,
@@ -142,6 +168,21 @@ def q_k2(spark, sf):
     return st.session_state(spark.read.parquet(f"{sf}/events.parquet"))
 
 
+@register("K2b_session_state_of_feed", f"""
+WITH e AS (
+  SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, CAST(user_id AS VARCHAR) AS user_id,
+         epoch_us(ts) // 1000 AS ms, CAST(event_id AS VARCHAR) AS event_id, event_type,
+         CASE WHEN user_id % 2 = 0 THEN 'ios' ELSE 'android' END AS platform,
+         CASE WHEN event_type = 'click' THEN 1 + {K} % 3 ELSE 0 END AS units, CAST(value AS DECIMAL(10,2)) AS price
+  FROM events WHERE event_type IN ('click', 'view'))
+SELECT session_id, arg_max(user_id, (ms, event_id)) AS user_id, MIN(ms) AS started_ts, MAX(ms) AS last_event_ts,
+       CAST(SUM(units * price) AS DECIMAL(12,2)) AS cart_value, CAST(SUM(units) AS BIGINT) AS cart_items,
+       arg_max(event_type, (ms, event_id)) AS current_screen, arg_max(platform, (ms, event_id)) AS platform, 'US' AS geo_country
+FROM e GROUP BY session_id""")
+def q_k2b(spark, sf):
+    return st.session_state_of_feed(td.mobile_events(spark, sf))
+
+
 PROMO_AT = dt.datetime(2024, 1, 25)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.country import normalize_country
 from ..oracle_fixtures import date_lit, days_back, norm_country_sql
 from ..registry import register
+from ..session import scratch_table
 from ..sources import testdata as td
 from . import views as v
 
@@ -124,6 +125,21 @@ def q_v7(spark, sf):
     return v.active_member_panel(td.fact_loyalty_events(spark, sf), td.dim_store(spark, sf), E)
 
 
+SPANS = [1, 7, 30]
+
+
+@register("V7b_active_members_from_sketches", "\nUNION ALL\n".join(f"""
+SELECT {n} AS days, s.region, COUNT(DISTINCT l.member_id) AS approx_active_members,
+       CAST(SUM(l.points) AS BIGINT) AS total_points_redeemed
+FROM fx_loyalty l LEFT JOIN fx_dim_store s ON s.store_sk = l.store_sk
+WHERE l.event_type = 'REDEEM' AND l.event_date >= {days_back(E, n)}
+GROUP BY s.region""" for n in SPANS))
+def q_v7b(spark, sf):
+    path = scratch_table(spark, "member_sketches")
+    v.member_sketches(td.fact_loyalty_events(spark, sf), td.dim_store(spark, sf)).write.parquet(path)
+    return v.members_from_sketches(spark.read.parquet(path), E, SPANS)
+
+
 @register("V8_sales_rollup_by_region", f"""
 SELECT s.region, s.store_sk, SUM(f.line_total) AS total_revenue, COUNT(*) AS line_count,
        GROUPING(s.region) * 2 + GROUPING(s.store_sk) AS grouping_level

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decimal_ratio
-from ..operators.joins import as_of_join
-from ..operators.merge import TOMBSTONE, history_id, latest_per_key, scd2_from_changes, scd2_merge, upsert
+from ..operators.joins import as_of_carry
+from ..operators.merge import TOMBSTONE, history_id, latest_per_key, scd2_from_changes, scd2_merge, scd2_splice, upsert
 from ..operators.sequence import running_sum
 
 LEDGER_COLS = ["return_id", "invoice_no", "customer_sk", "return_ts", "refund_amount",
@@ -71,6 +71,18 @@ def customer_address_history_incremental(snapshots: DataFrame, split: dt.datetim
         *HISTORY_COLS)
 
 
+def customer_address_history_spliced(batches: list[DataFrame]) -> DataFrame:
+    """C2 from batches of snapshots in any order of arrival."""
+    at = ["customer_sk", *ADDRESS_ATTRS, "ts"]
+    seen = empty_like(batches[0], ["customer_sk", "ts"])
+    history = empty_like(batches[0], at).select(
+        "customer_sk", *ADDRESS_ATTRS, F.col("ts").alias("eff_from"), F.col("ts").alias("eff_to"), F.lit(True).alias("is_current"),
+        F.lit("").alias("change_reason"), F.lit(0).cast("bigint").alias("version"))
+    for batch in batches:
+        history, seen = scd2_splice(history, seen, batch, ["customer_sk"], "ts", ADDRESS_ATTRS, reason_change="address_change")
+    return history.withColumn("history_id", history_id("customer_sk")).select(*HISTORY_COLS)
+
+
 SCD2_SPECS = {
     # table: (keys, tracked attributes)
     "acid_customer_address_history": (["customer_sk"], ADDRESS_ATTRS),
@@ -123,10 +135,8 @@ def adjustment_audit(log: DataFrame) -> DataFrame:
 
 # C8 -------------------------------------------------------------------------
 def sales_with_address(sales: DataFrame, history: DataFrame) -> DataFrame:
-    h = history.select(F.col("customer_sk").alias("h_customer_sk"), "history_id", "address_city",
-                       "eff_from", "eff_to")
-    j = as_of_join(sales.select("invoice_no", "customer_sk", "invoice_ts", "line_total"), h,
-                   "customer_sk", "h_customer_sk", "invoice_ts")
+    j = as_of_carry(sales.select("invoice_no", "customer_sk", "invoice_ts", "line_total"), history,
+                    "customer_sk", "customer_sk", "invoice_ts", ["history_id", "address_city"])
     return j.select("invoice_no", "customer_sk", "invoice_ts", "line_total", "history_id", "address_city")
 
 
@@ -157,6 +167,40 @@ def session_state(events: DataFrame) -> DataFrame:
         F.first(F.when(uid % 3 == 0, "US").when(uid % 3 == 1, "GB").otherwise("DE")).alias("geo_country"))
 
 
+# Fixed value (ours): event types that put their items into the cart.
+CART_EVENTS = ["click"]
+SESSION_EVENT_COLS = ["session_id", "user_id", "event_ts", "at_ms", "event_id", "screen", "platform", "geo_country", "units", "cents"]
+
+
+def session_events(mobile_events: DataFrame) -> DataFrame:
+    """What sessions are made of, from the app's own feed: its session id,
+    platform and country; cents and units of the items of cart events.
+    Events without a session id are left out."""
+    cart = F.coalesce(F.col("properties")["event_type"].isin(*CART_EVENTS), F.lit(False))
+    items = F.when(cart, F.coalesce("items", F.array().cast("array<struct<sku:string,qty:int,price:decimal(10,2)>>")))
+
+    def total(value):
+        return F.coalesce(F.aggregate(F.transform(items, lambda i: F.coalesce(value(i).cast("bigint"), F.lit(0).cast("bigint"))),
+                                      F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
+
+    return mobile_events.filter(F.col("context.session_id").isNotNull()).select(
+        F.col("context.session_id").alias("session_id"), "user_id", "event_ts",
+        F.unix_millis(F.col("event_ts").cast("timestamp")).alias("at_ms"), "event_id", F.col("properties")["event_type"].alias("screen"),
+        "platform", F.col("context.country").alias("geo_country"), total(lambda i: i["qty"]).alias("units"),
+        total(lambda i: i["qty"] * i["price"] * 100).alias("cents"))
+
+
+def session_state_of_feed(mobile_events: DataFrame) -> DataFrame:
+    """K2 from the app's feed: nothing is invented, and what is current is
+    that of the latest event, on equal times of the larger event id."""
+    e = session_events(mobile_events)
+    last = F.max(F.struct("at_ms", "event_id", "user_id", "screen", "platform", "geo_country"))
+    g = e.groupBy("session_id").agg(F.min("at_ms").alias("started_ts"), last.alias("l"), F.sum("cents").alias("c"), F.sum("units").alias("u"))
+    return g.select("session_id", "l.user_id", "started_ts", F.col("l.at_ms").alias("last_event_ts"),
+                    (F.col("c") / 100).cast("decimal(12,2)").alias("cart_value"), F.col("u").alias("cart_items"),
+                    F.col("l.screen").alias("current_screen"), "l.platform", "l.geo_country")
+
+
 PROMO_COLS = ["customer_id", "promo_id", "eligible", "eligibility_reason", "valid_from_ts",
               "valid_to_ts", "redeemed"]
 

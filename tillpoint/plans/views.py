@@ -182,13 +182,40 @@ def active_member_panel(fact_loyalty_events: DataFrame, dim_store: DataFrame,
     le = fact_loyalty_events.filter(
         (F.col("event_type") == "REDEEM") & (F.col("event_date") >= _days_back(as_of, days)))
     st = dim_store.select("store_sk", "region")
-    j = le.join(st, "store_sk", "left")
+    # a row per store and member before the join: a hot store is combined map-side
+    j = le.groupBy("store_sk", "member_id").agg(F.sum("points").alias("points")).join(st, "store_sk", "left")
     return j.groupBy("region").agg(
         F.approx_count_distinct("member_id", rsd).alias("approx_active_members"),
         F.count_distinct("member_id").alias("exact_active_members"),
         F.sum("points").alias("total_points_redeemed"))
 
 
+SKETCH_K = 14
+
+
+def member_sketches(fact_loyalty_events: DataFrame, dim_store: DataFrame, lg_k: int = SKETCH_K) -> DataFrame:
+    """A row per day and region: a HyperLogLog sketch of the members that
+    redeemed, and their points.  Events are read once, and only the days of
+    late events need to be built again; any span of days is answered from
+    these rows (:func:`members_from_sketches`).  Sketches are made per store
+    before the lookup of its region, so a hot store is a row per map task.
+    With 2**14 registers the standard error is 0.8 %; a sketch has at most
+    16 kB, and small sets are kept as they are."""
+    daily = fact_loyalty_events.filter((F.col("event_type") == "REDEEM") & F.col("event_date").isNotNull()).groupBy("event_date", "store_sk").agg(
+        F.hll_sketch_agg("member_id", F.lit(lg_k)).alias("members"), F.sum("points").alias("points"))
+    return daily.join(dim_store.select("store_sk", "region"), "store_sk", "left").groupBy("event_date", "region").agg(
+        F.hll_union_agg("members").alias("members"), F.sum("points").alias("points"))
+
+
+def members_from_sketches(sketches: DataFrame, as_of: dt.date, spans: list[int]) -> DataFrame:
+    """Per span of days back from ``as_of`` (as V7 counts them) and region:
+    estimated members and points, by the union of the days' sketches."""
+    span = F.array(*[F.struct(F.lit(n).alias("days"), _days_back(as_of, n).alias("since")) for n in spans])
+    s = sketches.select("*", F.explode(span).alias("span")).filter(F.col("event_date") >= F.col("span.since"))
+    return s.groupBy(F.col("span.days").alias("days"), "region").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("members")).alias("approx_active_members"), F.sum("points").alias("total_points_redeemed"))
+
+
 # V8 -------------------------------------------------------------------------
 def sales_rollup_by_region(fact_sales: DataFrame, dim_store: DataFrame, as_of: dt.date,
                            days: int = 7, fact_key: str = "store_sk") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +70,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the shared checkpoint folder, for a table
+    that lives as long as the job."""
+    base = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"

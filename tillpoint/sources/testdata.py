@@ -602,6 +602,25 @@ def inventory_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.dayofmonth(ts).cast("bigint").alias("day"))
 
 
+# Movement types of the costed movements, by line.
+MOVEMENT_TYPES = ["IN", "OUT", "IN", "ALLOCATE", "DISPATCH", "IN", "RELEASE", "OUT", "ARRIVE", "ADJUST", "COUNT"]
+
+
+def costed_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory movements of all types with a unit cost (price per unit of
+    the line, in cents); adjustments of odd orders are negative."""
+    li = _read(spark, sf_dir, "lineitem")
+    kind = _pick((F.col("l_orderkey") + F.col("l_linenumber")) % len(MOVEMENT_TYPES), MOVEMENT_TYPES)
+    sign = F.when((kind == "ADJUST") & (F.col("l_orderkey") % 2 == 1), -1).otherwise(1)
+    return li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("movement_id"),
+        F.concat(F.lit("SKU"), F.col("l_partkey").cast("string")).alias("sku"),
+        F.concat(F.lit("WH"), (F.col("l_suppkey") % 7).cast("string")).alias("warehouse_id"),
+        kind.alias("movement_type"), (sign * F.col("l_quantity").cast("bigint")).alias("quantity"),
+        (F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint")).cast("decimal(12,4)").alias("unit_cost"),
+        F.timestamp_add("HOUR", (F.col("l_partkey") % 24).cast("int"), F.col("l_shipdate")).alias("movement_ts"))
+
+
 def customer_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     key = F.col("c_custkey")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.state import LEDGER_COLS
+from ..sources.bucketed_state import BUCKETS, bucketed_sink, read_state
 from ..sources.readers import TS_MICROS
 from ..sources.sinks import SNAPSHOT_COL, latest_snapshot, read_snapshot
 from ..operators.merge import TOMBSTONE, upsert
@@ -104,26 +105,32 @@ def snapshot_merge_sink(root: str, schema: T.StructType, merge):
 
 
 def keyed_upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str],
-                        order_col: str) -> StreamingQuery:
-    """T5: last-writer-wins keyed table (K1-K4) maintained from a stream."""
-    schema = stream.schema
+                        order_col: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """T5: last-writer-wins keyed table (K1-K4) maintained from a stream, in
+    hash buckets, of which a batch rewrites those of its keys."""
     merge = lambda cur, b: upsert(cur, b, keys, order_col)
-    return (stream.writeStream.foreachBatch(snapshot_merge_sink(root, schema, merge))
+    return (stream.writeStream.foreachBatch(bucketed_sink(root, stream.schema, keys, merge, buckets))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def cdc_ledger_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """returns_ledger (C1) maintained from a CDC stream.  Micro-batches
-    need not arrive in change order, so deletes are kept as tombstones in
-    the stored state; :func:`read_ledger` hides them."""
-    schema = T.StructType([*stream.select(*LEDGER_COLS).schema.fields,
-                           T.StructField(TOMBSTONE, T.BooleanType(), True)])
-    merge = lambda cur, b: upsert(cur, b.select(*LEDGER_COLS, "op"), ["return_id"], "return_ts",
-                                  op_col="op", tombstones=True)
-    return (stream.writeStream.foreachBatch(snapshot_merge_sink(root, schema, merge))
+def stored_ledger_schema(cdc: DataFrame) -> T.StructType:
+    """The stored form of returns_ledger: its columns and the tombstone."""
+    return T.StructType([*cdc.select(*LEDGER_COLS).schema.fields, T.StructField(TOMBSTONE, T.BooleanType(), True)])
+
+
+def merge_cdc(cur: DataFrame, batch: DataFrame) -> DataFrame:
+    return upsert(cur, batch.select(*LEDGER_COLS, "op"), ["return_id"], "return_ts", op_col="op", tombstones=True)
+
+
+def cdc_ledger_stream(stream: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """returns_ledger (C1) maintained from a CDC stream, in hash buckets.
+    Micro-batches need not arrive in change order, so deletes are kept as
+    tombstones in the stored state; :func:`read_ledger` hides them."""
+    sink = bucketed_sink(root, stored_ledger_schema(stream), ["return_id"], merge_cdc, buckets)
+    return (stream.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    cur, _ = _current_state(spark, root, T.StructType([]))
-    return cur.filter(~F.col(TOMBSTONE)).drop(TOMBSTONE)
+def read_ledger(spark: SparkSession, root: str, cdc: DataFrame) -> DataFrame:
+    """The ledger that ``cdc`` (for its types) maintains under ``root``."""
+    return read_state(spark, root, stored_ledger_schema(cdc)).filter(~F.col(TOMBSTONE)).drop(TOMBSTONE)
