@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..oracle_fixtures import K, _pick, date_lit, hu_div
-from ..registry import register
+from ..registry import REGISTRY, register
+from ..session import scratch_table
 from ..sources import testdata as td
 from . import aggregates as a
+from .refresh import INGEST, refresh
 
 S, SH = td.SALES_AS_OF, td.SHIP_AS_OF
 
@@ -255,3 +259,20 @@ def q_a9(spark, sf):
     evc = lookup_join(ev, dc, "user_id", "customer_id", "inner").drop("customer_id")  # hot users
     last = a.last_touch(td.app_sales(spark, sf), evc, 1)
     return a.marketing_attribution_cube(last, td.EVENTS_AS_OF)
+
+
+@register("P3_late_arrivals_refresh_otd", REGISTRY["A8_daily_carrier_otd"].oracle)
+def q_p3(spark, sf):
+    """A8 kept up to date: most shipments arrive on the first day, a
+    twentieth of those of the last 90 days on two later ones; the refreshed
+    table is read back."""
+    recent = F.col("shipped_ts") > F.date_sub(F.lit(SH), 90)
+    late = F.when(recent, F.pmod(F.xxhash64("shipment_id"), F.lit(40)))
+    arrived = F.date_add(F.lit(SH), F.when(late == 0, 2).when(late == 1, 1).otherwise(0))
+    landing, out = scratch_table(spark, "shipments_landed"), scratch_table(spark, "carrier_otd")
+    td.fact_shipments(spark, sf).withColumn(INGEST, arrived).repartition(INGEST).write.partitionBy(INGEST).parquet(landing)
+    landed, since = spark.read.parquet(landing), None
+    for day in range(3):
+        upto = F.date_add(F.lit(SH), day)
+        since = refresh(landed.filter(F.col(INGEST) <= upto), since, F.to_date("shipped_ts"), a.daily_carrier_otd, out, "ship_date").upto
+    return spark.read.parquet(out)

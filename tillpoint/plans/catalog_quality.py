@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import register
+from ..session import scratch_table
+from ..sources.sinks import clustered
 from ..sources import testdata as td
 from . import facts as fx
 from . import quality as q
@@ -106,3 +108,48 @@ def q_q9(spark, sf):
     reload = fx.fact_sales_load(td.sales_retail(spark, sf), td.dim_customer(spark, sf),
                                 td.dim_product(spark, sf)).select(*_RECON_COLS)
     return q.reconcile(src, reload, "fact_sales", "sale_date")
+
+
+def _two_layouts(spark, sf, files=16):
+    """fact_sales written clustered by customer and dealt at random, read back."""
+    fact, found = td.fact_sales(spark, sf).select("invoice_no", "customer_sk", "sale_date"), []
+    for name, laid in (("clustered", clustered(fact, ["customer_sk"], files)), ("shuffled", fact.repartition(files, "invoice_no"))):
+        path = scratch_table(spark, f"sales_{name}")
+        laid.write.parquet(path)
+        found.append((name, spark.read.parquet(path)))
+    return found
+
+
+@register("Q3b_clustering_depth", """
+SELECT 'fact_sales ' || layout || '(customer_sk)' AS object, layout = 'clustered' AS passed, n AS row_count
+FROM (SELECT COUNT(*) AS n FROM fx_fact_sales) f, (VALUES ('clustered'), ('shuffled')) l(layout)""")
+def q_q3b(spark, sf):
+    return reduce(DataFrame.unionByName, [
+        q.check_clustered(t, f"fact_sales {name}", "customer_sk").select("object", "passed", "row_count") for name, t in _two_layouts(spark, sf)])
+
+
+# Planted differences: lines changed, missing and extra in the reload.
+_DRILL_KEY = ["invoice_no", "product_sk"]
+
+
+@register("Q9b_reconcile_drill_down", """
+WITH k AS (SELECT invoice_no, product_sk, sale_date, CAST(invoice_no AS BIGINT) % 997 AS r FROM fx_fact_sales)
+SELECT DISTINCT invoice_no, product_sk, sale_date, CASE r WHEN 5 THEN 'missing' WHEN 6 THEN 'changed' ELSE 'extra' END AS state
+FROM k WHERE r IN (5, 6)
+UNION ALL
+SELECT DISTINCT invoice_no || 'x', product_sk, sale_date, 'extra' FROM k WHERE r = 7""")
+def q_q9b(spark, sf):
+    source = td.fact_sales(spark, sf).select("invoice_no", "product_sk", "quantity", "line_total", "sale_date")
+    r = F.col("invoice_no").cast("bigint") % 997
+    target = source.filter(r != 5).withColumn("quantity", F.col("quantity") + F.when(r == 6, 1).otherwise(0)).unionByName(
+        source.filter(r == 7).withColumn("invoice_no", F.concat("invoice_no", F.lit("x"))))
+    buckets, tables = 16, []
+    for name, df in (("source", source), ("target", target)):
+        path = scratch_table(spark, f"drill_{name}")
+        df = q.with_bucket(df.withColumn("sale_month", F.trunc("sale_date", "month")), _DRILL_KEY, buckets)
+        df.repartition("__bucket").write.partitionBy("__bucket").parquet(path)
+        tables.append(spark.read.parquet(path))
+    plain = [t.drop("__bucket") for t in tables]
+    trees = [q.hash_tree(t, "sale_month", _DRILL_KEY, buckets).checkpoint() for t in plain]
+    found = q.drill_down(*tables, "sale_month", [*_DRILL_KEY, "sale_date"], q.differing_buckets(*trees).checkpoint(), buckets)
+    return found.select(*_DRILL_KEY, "sale_date", "state")

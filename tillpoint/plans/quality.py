@@ -8,14 +8,16 @@ declared StructTypes.
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sequence import running
+
 RESULT = "check string, object string, passed boolean, detail string"
 
 
@@ -74,6 +76,55 @@ def check_partition_column(df: DataFrame, obj: str, col: str, expected: Column)
                  F.lit(" rows differ")).alias("detail"))
 
 
+def file_ranges(df: DataFrame, key: str, within: list[str] | None = None) -> DataFrame:
+    """A row per file of a table read from files: smallest and largest key
+    (NULLs apart) and rows."""
+    return df.groupBy(*(within or []), F.input_file_name().alias("file")).agg(
+        F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("rows"))
+
+
+def clustering_depth(df: DataFrame, obj: str, key: str, within: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """Q3 for clustering: per table (or partition ``within`` it), how many
+    files a lookup of one key has to open.  Files are intervals of keys; a
+    sweep over their ends counts the intervals open at each file's start, as a
+    running sum.  ``avg_depth`` near 1 is a clustered table, near the number of
+    files one whose files all span all keys.  The sweep is over one row per
+    file end, bucketed by key; ``key`` is a number, date or time."""
+    within = within or []
+    files = file_ranges(df, key, within).filter(F.col("low").isNotNull())
+    kind = df.schema[key].dataType
+
+    def number(c: str) -> Column:
+        if isinstance(kind, T.DateType):
+            return F.datediff(F.col(c), F.lit(dt.date(1970, 1, 1))).cast("double")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+        return F.col(c).cast("double")
+
+    files = files.select(*within, "file", "rows", number("low").alias("low"), number("high").alias("high")).checkpoint()
+    span = files.agg(F.min("low"), F.max("high")).first()
+    low, width = span[0] or 0.0, ((span[1] or 0.0) - (span[0] or 0.0)) / buckets or 1.0
+    ends = (files.select(*within, "rows", F.col("low").alias("at"), F.lit(0).alias("side"))
+            .unionByName(files.select(*within, F.lit(0).cast("bigint").alias("rows"), F.col("high").alias("at"), F.lit(1).alias("side")))
+            .groupBy(*within, "at", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+            .withColumn("step", F.when(F.col("side") == 0, F.col("n")).otherwise(-F.col("n"))))
+    swept = running(ends, within, ["at", "side"], sums={"depth": "step"}, bucket=F.floor((F.col("at") - low) / width))
+    return swept.filter("side = 0").groupBy(*within).agg(
+        F.sum("n").alias("files"), F.sum("rows").alias("row_count"), (F.sum(F.col("depth") * F.col("n")) / F.sum("n")).alias("avg_depth"),
+        F.max("depth").alias("max_depth")).filter("files IS NOT NULL").select(
+        F.lit(f"{obj}({key})").alias("object"), *within, "files", "row_count", "avg_depth", "max_depth")
+
+
+def check_clustered(df: DataFrame, obj: str, key: str, within: list[str] | None = None, limit: float = 2.0) -> DataFrame:
+    """Passed where a key lies in at most ``limit`` files on average (two
+    neighbours share a key that ends one and begins the next)."""
+    d = clustering_depth(df, obj, key, within)
+    detail = F.concat(F.lit("files="), F.col("files").cast("string"), F.lit(" avg_depth="), F.round("avg_depth", 2).cast("string"),
+                      F.lit(" max_depth="), F.col("max_depth").cast("string"))
+    return d.select(F.lit("Q3_clustering").alias("check"), "object", *(within or []), (F.col("avg_depth") <= limit).alias("passed"),
+                    detail.alias("detail"), "row_count")
+
+
 # Q4 -------------------------------------------------------------------------
 def check_unique(df: DataFrame, obj: str, keys: list[str]) -> DataFrame:
     """Key uniqueness (storage does not enforce it): duplicated keys and the
@@ -173,6 +224,70 @@ def reconcile(source: DataFrame, target: DataFrame, obj: str, partition_col: str
                              F.coalesce(F.col("tn"), F.lit(0)).cast("string")).alias("detail"))
 
 
+def hash_tree(df: DataFrame, partition_col: str, key: list[str], buckets: int) -> DataFrame:
+    """The lower level of a table's hash tree: rows and an order-free hash per
+    (partition, bucket of the key); :func:`partition_level` sums it up."""
+    cols = sorted(df.columns)
+    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols]).cast("decimal(38,0)")
+    return df.groupBy(F.col(partition_col).alias("part"), hash_bucket(key, buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row).alias("h"))
+
+
+def hash_bucket(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def partition_level(tree: DataFrame) -> DataFrame:
+    return tree.groupBy("part").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+
+
+def _differing(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    x = a.select(*by, F.col("n").alias("__an"), F.col("h").alias("__ah"))
+    y = b.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("n").alias("__bn"), F.col("h").alias("__bh"))
+    j = x.join(y, [x[c].eqNullSafe(y[f"__{c}"]) for c in by], "full_outer")
+    same = F.col("__an").eqNullSafe(F.col("__bn")) & F.col("__ah").eqNullSafe(F.col("__bh"))
+    return j.filter(~same).select(*[F.coalesce(c, f"__{c}").alias(c) for c in by])
+
+
+def differing_buckets(source_tree: DataFrame, target_tree: DataFrame) -> DataFrame:
+    """(part, bucket) that differ, looked for below differing partitions only."""
+    parts = _differing(partition_level(source_tree), partition_level(target_tree), ["part"]).withColumnRenamed("part", "__p")
+
+    def below(t: DataFrame) -> DataFrame:
+        return t.join(parts, t["part"].eqNullSafe(parts["__p"]), "left_semi")
+
+    return _differing(below(source_tree), below(target_tree), ["part", "bucket"])
+
+
+def drill_down(source: DataFrame, target: DataFrame, partition_col: str, key: list[str], differing: DataFrame,
+               buckets: int) -> DataFrame:
+    """The rows that differ, from the buckets of ``differing`` alone: ``key``
+    columns, partition and ``state`` ('missing' or 'extra' in the target,
+    'changed').  A table stored with its bucket as the partition column
+    ``__bucket`` (:func:`with_bucket`) is read in those folders only.  Of rows
+    of one key and partition, those equal on both sides do not count."""
+    cols = sorted(c for c in source.columns if c != "__bucket")
+    d = differing.select(F.col("part").alias("__dp"), F.col("bucket").alias("__db"))
+    numbers = [r[0] for r in differing.select("bucket").distinct().collect()]  # at most ``buckets``; they prune folders
+
+    def rows(df: DataFrame, side: int) -> DataFrame:
+        b = df if "__bucket" in df.columns else with_bucket(df, key, buckets)
+        b = b.filter(F.col("__bucket").isin(numbers))
+        some = b.join(F.broadcast(d) if few else d, F.col(partition_col).eqNullSafe(F.col("__dp")) & (F.col("__bucket") == F.col("__db")), "left_semi")
+        whole = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols])
+        return some.select(*key, F.col(partition_col).alias("__part"), whole.alias("__row"), F.lit(side).alias("__side"))
+
+    few = differing.count() <= 100_000  # of numbers and a partition value: a few MB at most, else the join is shuffled
+    each = rows(source, 1).unionByName(rows(target, -1)).groupBy(*key, "__part", "__row").agg(F.sum("__side").alias("__more")).filter("__more <> 0")
+    g = each.groupBy(*key, "__part").agg(F.max("__more").alias("__hi"), F.min("__more").alias("__lo"))
+    state = F.when(F.col("__lo") > 0, "missing").when(F.col("__hi") < 0, "extra").otherwise("changed")
+    return g.select(*key, F.col("__part").alias(partition_col), state.alias("state"))
+
+
+def with_bucket(df: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("__bucket", hash_bucket(key, buckets))
+
+
 # Q11 ------------------------------------------------------------------------
 def check_resolves(spark: SparkSession, builders: dict, inputs: dict[str, T.StructType]) -> DataFrame:
     """Analyse every builder on empty inputs with the declared schemas

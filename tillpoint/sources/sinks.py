@@ -83,6 +83,15 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: st
     w.format(fmt).save(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Remove partition folders that hold no rows any more."""
+    for name in names:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            fs.delete(p, True)
+
+
 def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int,
                    partition_by: list[str] | None = None) -> None:
     """Bucketed, sorted table for joins that repeat on ``keys`` (the join
