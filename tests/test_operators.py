@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -146,3 +148,29 @@ def test_lookup_join_splits_hot_keys_exactly(spark):
         got = keys.lookup_join(fact, dim, "fk", "dk", how, share=0.2)
         exp = fact.join(dim, fact.fk == dim.dk, how)
         assert rows(got, "fid", "fk", "dk", "name") == rows(exp, "fid", "fk", "dk", "name")
+
+
+def test_lookup_join_spreads_hot_and_null_keys(spark):
+    from tillpoint.operators import keys
+    fact = spark.createDataFrame([(i, None if i % 3 == 0 else 7 if i % 3 == 1 else i, {"k": "v"}) for i in range(3000)],
+                                 "fid int, fk bigint, tags map<string,string>")
+    dim = spark.createDataFrame([(k, f"name{k}") for k in range(3000)], "dk bigint, name string")
+    got = keys.lookup_join(fact, dim, "fk", "dk", salts=8)
+    assert got.columns == ["fid", "fk", "tags", "dk", "name"] and got.count() == 3000
+    assert got.filter("name IS NULL").count() == 1000 and got.filter("name = 'name7'").count() == 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = keys.lookup_join(fact, dim, "fk", "dk", salts=64).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 3 * 3000 / 8
+    with pytest.raises(ValueError):
+        keys.lookup_join(fact, dim, "fk", "dk", "full")
+
+
+def test_hot_keys_of_nothing(spark):
+    from tillpoint.operators import keys
+    empty = spark.createDataFrame([], "k long")
+    assert keys.hot_keys(empty, "k") == [] and keys.lookup_join(empty, empty.withColumnRenamed("k", "d"), "k", "d").count() == 0

@@ -54,6 +54,26 @@ def test_r2_csv_permissive(spark):
     assert good == sorted(tuple(r) for r in src.collect())
 
 
+def test_r2_empty_fields_are_empty_strings(spark):
+    d = _tmp()
+    schema = "id int, a string, b double, c string"
+    with open(f"{d}/x.csv", "w") as fh:
+        fh.write('id,a,b,c\n1,,,\n2,"","",""\n3,\\N,\\N,\\N\n4,x,1.5,"say \\"hi\\", you"\n5,short\n6,a,1,b,extra\n7,y,word,z\n')
+    from pyspark.sql.types import _parse_datatype_string
+    got = {r.id: r for r in R.read_csv(spark, d, _parse_datatype_string(schema)).collect()}
+    assert [tuple(got[i])[1:] for i in (1, 2, 3, 4)] == [("", None, "", None), ("", None, "", None), (None, None, None, None), ("x", 1.5, 'say "hi", you', None)]
+    assert got[5]._corrupt_record == "5,short" and (got[5].a, got[5].c) == ("short", None)
+    assert got[6]._corrupt_record == "6,a,1,b,extra" and got[7]._corrupt_record == "7,y,word,z" and got[7].b is None
+
+
+def test_r1_any_separator(spark):
+    d = _tmp()
+    spark.createDataFrame([("1.x^3",), ("2.y^4",)], "value string").write.mode("overwrite").text(d)
+    from pyspark.sql.types import _parse_datatype_string
+    assert rows(R.read_delimited_text(spark, d, _parse_datatype_string("a int, b string"), sep=".", flag_col=None)) == [(1, "x^3"), (2, "y^4")]
+    assert rows(R.read_delimited_text(spark, d, _parse_datatype_string("a string, b int"), sep="^", flag_col=None)) == [("1.x", 3), ("2.y", 4)]
+
+
 def test_r3_json_lines_with_schema(spark):
     src = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     d = _tmp()

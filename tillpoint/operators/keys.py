@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dense_index(df: DataFrame, order_cols: list[str], out: str, start: int = 0) -> DataFrame:
@@ -38,28 +39,42 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str, start: int = 0)
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     """Non-NULL values of ``key`` holding more than ``share`` of the rows.
     At most 1 / share values can, so the list brought to the driver is
-    bounded (100 keys at 1 %) whatever the size of ``df``."""
-    total = df.count()
-    if total == 0:
-        return []
-    heavy = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(
-        F.col(key).isNotNull() & (F.col("__n") > F.lit(total * share)))
-    return [r[0] for r in heavy.select(key).collect()]
+    bounded (100 keys at 1 %) whatever the size of ``df``.  One job: the
+    total and the largest counts come from the same grouped count."""
+    counts = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    most = counts.filter(F.col("__k").isNotNull()).orderBy(F.desc("__n")).limit(int(1 / share)).select("__k", "__n", F.lit(False).alias("__all"))
+    total = counts.agg(F.sum("__n").alias("__n")).select(F.lit(None).cast(df.schema[key].dataType).alias("__k"), "__n", F.lit(True).alias("__all"))
+    found = most.unionByName(total).collect()
+    least = next(r["__n"] or 0 for r in found if r["__all"]) * share
+    return [r["__k"] for r in found if not r["__all"] and r["__n"] > least]
+
+
+SALTS = 64
+
+
+def _hashable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _hashable(t.elementType)
+    return not isinstance(t, (T.MapType, T.VariantType))
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "left",
-                share: float = 0.01) -> DataFrame:
-    """``fact`` joined to ``dim`` whose ``dim_key`` is unique (key names
-    must differ).  Keys with more than ``share`` of the fact rows (see
-    :func:`hot_keys`) are joined to a broadcast of just their dimension
-    rows, so a key with a third of the facts is never shuffled into one
-    task; the remaining keys take the usual shuffle join.  Exact: each fact
-    row goes through exactly one of the two joins."""
-    cond = F.col(fact_key) == F.col(dim_key)
+                share: float = 0.01, salts: int = SALTS) -> DataFrame:
+    """``fact`` joined (left or inner) to ``dim`` whose ``dim_key`` is unique
+    (key names must differ).  Rows of keys with more than ``share`` of the
+    facts (:func:`hot_keys`) and rows without a key are spread over ``salts``
+    by a hash of the row, and the few dimension rows of those keys are copied
+    to every salt; all else has salt 0.  So it is one join, no key with a
+    third of the facts is shuffled into one task, and the fact is read once
+    for the counts (the key column alone) and once for the join."""
+    if how not in ("left", "inner"):
+        raise ValueError(f"a lookup is a left or inner join, not {how}")
     hot = hot_keys(fact.select(fact_key), fact_key, share)
-    if not hot:
-        return fact.join(dim, cond, how)
-    is_hot = F.coalesce(F.col(fact_key).isin(hot), F.lit(False))
-    hot_dim = dim.filter(F.col(dim_key).isin(hot))  # at most len(hot) rows: proven bound
-    return fact.filter(is_hot).join(F.broadcast(hot_dim), cond, how).unionByName(
-        fact.filter(~is_hot).join(dim, cond, how))
+    row = F.pmod(F.xxhash64(*[f.name for f in fact.schema.fields if _hashable(f.dataType)]), F.lit(salts)).cast("int")
+    spread = F.col(fact_key).isNull() | F.col(fact_key).isin(hot) if hot else F.col(fact_key).isNull()
+    f = fact.withColumn("__salt", F.when(spread, row).otherwise(0))
+    copies = F.when(F.col(dim_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    d = dim.withColumn("__dim_salt", F.explode(copies))
+    return f.join(d, (F.col(fact_key) == F.col(dim_key)) & (F.col("__salt") == F.col("__dim_salt")), how).drop("__salt", "__dim_salt")

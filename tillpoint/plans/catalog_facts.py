@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.merge import history_id
-from ..oracle_fixtures import date_lit
+from ..oracle_fixtures import K, date_lit
 from ..registry import register
 from ..sources import testdata as td
 from . import facts as fx
@@ -34,7 +34,7 @@ def q_f1(spark, sf):
 @register("F2_supplier_invoice_lines", """
 WITH x AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY invoice_no ORDER BY sku, qty, unit_price) - 1 AS pos
            FROM fx_invoice_lines)
-SELECT l_orderkey * 10000000 + l_suppkey * 100 + pos AS invoice_line_id, invoice_no, l_suppkey AS supplier_sk,
+SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_suppkey, pos) AS invoice_line_id, invoice_no, l_suppkey AS supplier_sk,
        sku, qty AS quantity, CAST(unit_price AS DECIMAL(12,4)) AS unit_cost,
        CAST(qty * unit_price AS DECIMAL(14,2)) AS line_total, 'USD' AS currency_code,
        CAST(CAST(d AS DATE) AS TIMESTAMP) AS received_ts, CAST(year(d) AS BIGINT) AS invoice_year,
@@ -93,7 +93,14 @@ def q_f5(spark, sf):
     return fx.fact_web_session(v.omniture(td.omniture_logs(spark, sf)))
 
 
-@register("F7_fact_app_clicks")
+@register("F7_fact_app_clicks", f"""
+SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS session_id, user_id AS user_sk, ts AS event_ts, event_type,
+       CAST(NULL AS VARCHAR) AS screen, CAST({K} AS VARCHAR) AS target_id,
+       map(['k', 'event_type'], [CAST({K} AS VARCHAR), event_type]) AS properties,
+       {{'platform': CASE WHEN user_id % 2 = 0 THEN 'ios' ELSE 'android' END, 'version': '5.' || CAST(user_id % 4 AS VARCHAR),
+         'model': CASE user_id % 3 WHEN 0 THEN 'phone' WHEN 1 THEN 'tablet' ELSE 'desktop' END}} AS device,
+       CAST(ts AS DATE) AS event_date, CASE WHEN user_id % 2 = 0 THEN 'ios' ELSE 'android' END AS platform_partition
+FROM events WHERE event_type IN ('click', 'view')""")
 def q_f7(spark, sf):
     return fx.fact_app_clicks(td.mobile_events(spark, sf))
 

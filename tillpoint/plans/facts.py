@@ -13,13 +13,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import checked
-from ..operators.keys import dense_index
+from ..operators.keys import dense_index, lookup_join
 
 
 def _lookup(df: DataFrame, dim: DataFrame, natural: str, dim_natural: str, sk: str, out: str) -> DataFrame:
     d = dim.select(F.col(dim_natural).alias(f"__n_{out}"), F.col(sk).alias(out))
-    return df.join(d, df[natural] == d[f"__n_{out}"], "left").drop(f"__n_{out}")
+    return lookup_join(df, d, natural, f"__n_{out}").drop(f"__n_{out}")
 
 
 # F1 -------------------------------------------------------------------------
@@ -41,19 +40,17 @@ def fact_sales_load(raw: DataFrame, dim_customer: DataFrame, dim_product: DataFr
 
 
 # F2 -------------------------------------------------------------------------
-def fact_supplier_invoice_lines(invoices: DataFrame) -> DataFrame:
-    """One row per invoice line (position kept); month partition column."""
-    x = invoices.select("*", F.posexplode("line_items").alias("__pos", "__li"))
+def fact_supplier_invoice_lines(invoices: DataFrame, first_id: int = 1) -> DataFrame:
+    """One row per invoice line (position kept); month partition column.
+    Lines are numbered densely from ``first_id`` (a later load goes on after
+    the largest id so far) by order, supplier, invoice and position."""
+    x = invoices.select("*", F.posexplode("line_items").alias("__line", "__li"))
     sup = F.regexp_extract("supplier_id", r"(\d+)$", 1).cast("bigint")
     parts = F.split("invoice_no", "-")
-    # id = order * 10^7 + supplier * 100 + line position; checked, because
-    # beyond these slots two lines would get one id
-    supplier = F.get(parts, 1).cast("bigint")
-    line_id = checked(F.get(parts, 0).cast("bigint") * 10_000_000 + supplier * 100 + F.col("__pos"),
-                      (supplier < 100_000) & (F.col("__pos") < 100),
-                      "invoice line id: a supplier key from 100000 or an invoice of over 100 lines")
+    x = x.withColumns({"__order": F.get(parts, 0).cast("bigint"), "__from": F.get(parts, 1).cast("bigint")})
+    x = dense_index(x, ["__order", "__from", "invoice_no", "__line"], "invoice_line_id", start=first_id)
     return x.select(
-        line_id.alias("invoice_line_id"),
+        "invoice_line_id",
         "invoice_no", sup.alias("supplier_sk"), F.col("__li.sku").alias("sku"),
         F.col("__li.qty").alias("quantity"), F.col("__li.unit_price").cast("decimal(12,4)").alias("unit_cost"),
         (F.col("__li.qty") * F.col("__li.unit_price")).cast("decimal(14,2)").alias("line_total"),
@@ -62,7 +59,7 @@ def fact_supplier_invoice_lines(invoices: DataFrame) -> DataFrame:
         F.year("invoice_date").cast("bigint").alias("invoice_year"),
         F.month("invoice_date").cast("bigint").alias("invoice_month"),
         F.trunc("invoice_date", "month").alias("_partition_month"),
-        F.col("__pos").alias("line_position"))
+        F.col("__line").alias("line_position"))
 
 
 # F3 -------------------------------------------------------------------------
@@ -85,7 +82,11 @@ def fact_shipments_fold(carrier_events: DataFrame) -> DataFrame:
 
 # F4 -------------------------------------------------------------------------
 def fact_email_engagement(clicks: DataFrame) -> DataFrame:
-    """Clicks folded per send: first click, its link, all clicks sorted."""
+    """Clicks folded per send: first click, its link, all clicks sorted.  A
+    click that was delivered more than once (same time and link) is one, so
+    repeats, which have no bound, are gone before lists are made; what is left
+    of a send are the clicks of one recipient."""
+    clicks = clicks.select("send_id", "campaign_id", "recipient", "clicked_at", "click_url").distinct()
     g = clicks.groupBy("send_id").agg(
         F.first("campaign_id").alias("campaign_id"), F.first("recipient").alias("recipient"),
         F.min("clicked_at").alias("event_ts"), F.min_by("click_url", "clicked_at").alias("link_url"),

@@ -40,7 +40,8 @@ def _load_all() -> None:
     # Importing the catalog modules fills REGISTRY.
     from .plans import catalog_views  # noqa: F401
     for mod in ("catalog_aggregates", "catalog_state", "catalog_staging",
-                "catalog_facts", "catalog_quality", "catalog_loyalty", "catalog_inventory"):
+                "catalog_facts", "catalog_quality", "catalog_loyalty", "catalog_inventory",
+                "catalog_loads"):
         try:
             __import__(f"{__package__}.plans.{mod}")
         except ModuleNotFoundError as e:  # not written yet

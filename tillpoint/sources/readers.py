@@ -8,6 +8,8 @@ row is flagged, so dirty raw data never fails a job under ANSI mode.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ def read_delimited_text(spark: SparkSession, path: str, schema: T.StructType, se
                         null_token: str = NULL_TOKEN, flag_col: str | None = "_bad_fields") -> DataFrame:
     """Hive-style delimited text: split on ``sep`` keeping empty trailing
     fields, ``\\N`` -> NULL while ``''`` stays ``''``, then typed."""
-    parts = F.split(F.col("value"), sep if sep != "|" else r"\|", -1)
+    parts = F.split(F.col("value"), re.escape(sep), -1)  # literally, not as a pattern
     raw = [F.get(parts, i) for i in range(len(schema.fields))]
     raw = [F.when(c == F.lit(null_token), F.lit(None).cast("string")).otherwise(c) for c in raw]
     cols = [_typed(c, f.dataType).alias(f.name) for c, f in zip(raw, schema.fields)]
@@ -47,11 +49,25 @@ def read_delimited_text(spark: SparkSession, path: str, schema: T.StructType, se
 # R2 -------------------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
              corrupt_col: str = "_corrupt_record") -> DataFrame:
-    """CSV with a declared schema; malformed lines are kept (PERMISSIVE)
-    with their text in ``corrupt_col`` instead of failing the job."""
-    s = T.StructType([*schema.fields, T.StructField(corrupt_col, T.StringType(), True)])
-    return (spark.read.schema(s).option("header", header).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", corrupt_col).option("nullValue", NULL_TOKEN).csv(path))
+    """CSV with a declared schema; lines with too few or too many fields, or
+    with a value that does not fit its type, are kept with their text in
+    ``corrupt_col`` instead of failing the job.  ``\\N`` is NULL; an empty
+    field, quoted or not, is an empty string, and NULL in any other type."""
+    strings = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields]
+                           + [T.StructField(corrupt_col, T.StringType(), True)])
+    # an unquoted empty field always reads as the reader's null, so that must be nothing else
+    raw = (spark.read.schema(strings).option("header", header).option("mode", "PERMISSIVE").option("nullValue", "\u0001")
+           .option("columnNameOfCorruptRecord", corrupt_col).option("enforceSchema", True).csv(path))
+    whole = F.col(corrupt_col).isNull()
+    cols, unfit = [], F.lit(False)
+    for f in schema.fields:
+        c = F.when(F.col(f.name) == NULL_TOKEN, F.lit(None).cast("string")).otherwise(F.when(whole, F.coalesce(F.col(f.name), F.lit(""))).otherwise(F.col(f.name)))
+        value = _typed(c, f.dataType)
+        if not isinstance(f.dataType, T.StringType):
+            unfit = unfit | F.coalesce((c != "") & value.isNull(), F.lit(False))
+        cols.append(value.alias(f.name))
+    line = F.to_csv(F.struct(*[F.col(f.name) for f in schema.fields]))
+    return raw.select(*cols, F.coalesce(F.col(corrupt_col), F.when(unfit, line)).alias(corrupt_col))
 
 
 # R3 -------------------------------------------------------------------------
