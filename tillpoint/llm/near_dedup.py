@@ -7,20 +7,24 @@ smallest hash it saw only the count of leading zeros and ten mantissa bits
 of the whole set under a hash function of its own, so short documents have
 full sketches too.
 
-1. *Banding.*  73 bands of seven registers; documents that agree on at least
-   two bands are candidates (a pair at similarity 0.8 is missed with a
-   probability of about 7e-7; the chance of unlike documents falls with the
-   14th power of their similarity).  Buckets of documents report each band
-   key once per distinct set; shards keep keys that several sets have.
+1. *Banding.*  102 bands of ten registers (every register is in two);
+   documents that agree on at least two bands are candidates.  A pair at
+   similarity 0.8 is missed with a probability of about 1.2e-4, one at 0.82
+   with 5e-6; of pairs at 0.6, 13 % are candidates, at 0.5 0.5 %.  Buckets of
+   documents report each band key once per distinct set; shards keep keys
+   that several sets have.
 2. *Verification.*  A pair's full sets meet; the collision-corrected Jaccard
    estimate of the sketches sorts out hopeless pairs, then the sets
    themselves are intersected.
 3. *Groups without all pairs.*  Documents of equal sets are one node.  In
    two rounds, each node is compared with a few hubs: of every band one node
-   (the smallest, then one by hash) is the hub, and a node tries the hubs it
-   meets most often and is not yet connected to.  Only pairs that still lead
-   from one component to another are compared after that, all of them, so no
-   link that matters is left out.
+   is the hub (the one that meets most others over all its bands, as the
+   text does that a group was copied from; then one by hash), and a node
+   tries the hubs it meets most often and is not yet connected to.  Only
+   pairs that still lead from one component to another are compared after
+   that, all of them, so no link that matters is left out.  They are dealt
+   over a grid, a row and a column per node, so a set goes to about twice
+   the square root of the shards, however many pairs it is in.
 
 Defined results: words are lower-cased (A-Z) runs of other than white space;
 a text of fewer words than a shingle is one shingle; a text without words is
@@ -31,6 +35,8 @@ always kept, with a null component; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import (NULL_ID, bucket_of, column, exchange_width, in_buckets, int64s, mix, pack, split_by, squeeze,
-                     stretch_out, unboxed, unpack)
+                     stretch_out, unboxed, unpack, written)
 from .components import components
 from .wordseq import sequence_hashes, split_words, word_hashes
 
@@ -48,9 +54,11 @@ SHINGLE = 2
 SIMILAR = (80, 100)
 REGISTERS = 512
 MANTISSA = 10
-BAND = 7
-BANDS = REGISTERS // BAND
+BAND = 10
+BANDS = 2 * (REGISTERS // BAND)
 AGREE = 2
+#: Order of the registers in the second half of the bands.
+SECOND = np.arange(REGISTERS) * 227 % REGISTERS
 #: How far below the threshold an estimate may be: eight standard deviations.
 MARGIN = 0.15
 #: Hubs that a node is compared with in each round.
@@ -108,7 +116,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """Keys (one per band) of rows of registers."""
-    rows = regs[:, :BANDS * BAND].astype(np.uint64).reshape(len(regs), BANDS, BAND)
+    used = REGISTERS // BAND * BAND
+    rows = np.concatenate([regs[:, :used], regs[:, SECOND[:used]]], axis=1).astype(np.uint64).reshape(len(regs), BANDS, BAND)
     key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((len(regs), 1), np.uint64)
     for j in range(BAND):
         key = key * np.uint64(0x100000001B3) + rows[:, :, j]
@@ -190,19 +199,19 @@ def members_of(batches):
 
 def send_sets(left: pa.Table, right: pa.Table, size: int, shards: int) -> pa.Table:
     """Sketch and set of every asked-for document of a bucket, by the shard
-    of the hub it is compared with."""
+    where it is compared with ``hub`` (the document itself: it is the hub)."""
     if left.num_rows == 0 or right.num_rows == 0:
         return blobs([])
     tab = once(unboxed(left))
     wanted = pa.array(np.unique(column(right, "doc").to_numpy()))
     tab = tab.filter(pc.is_in(column(tab, "doc_id"), value_set=wanted))
     sets = {i: s for _, i, s in shingle_sets(tab, size)}
-    groups: dict[int, list[tuple[int, int, int]]] = {}
-    for doc, hub, salt in zip(*(column(right, c).to_pylist() for c in ("doc", "hub", "salt"))):
-        groups.setdefault(xxhash.xxh3_64_intdigest(b"%d:%d" % (hub, salt)) % shards, []).append((hub, salt, doc))
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for doc, hub, shard in zip(*(column(right, c).to_pylist() for c in ("doc", "hub", "shard"))):
+        groups.setdefault(shard, []).append((hub, doc))
     rows = []
     for shard, asked in groups.items():
-        own = sorted({d for _, _, d in asked})
+        own = sorted({d for _, d in asked})
         rows.append((shard, 0, 0, pack(np.array(asked, np.int64)), pack(np.array([(d, len(sets[d])) for d in own], np.int64)),
                      pack(np.concatenate([sets[d] for d in own])), squeeze(b"".join(sketch(sets[d]).tobytes() for d in own))))
     return blobs(rows)
@@ -217,7 +226,7 @@ def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
         for k, (doc, n) in enumerate(sizes.tolist()):
             sets[doc], regs[doc] = vals[at:at + n], reg[k]
             at += n
-        for hub, salt, doc in unpack(a, np.int64).reshape(-1, 3).tolist():
+        for hub, doc in unpack(a, np.int64).reshape(-1, 2).tolist():
             if hub != doc:
                 asked.setdefault(hub, []).append(doc)
     out = []
@@ -242,7 +251,7 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``(band, node, label)`` of the bands whose nodes are not all of one
     component."""
     now = (members.join(labels, "node", "left")
-           .select("band", "node", F.coalesce("label", "node").alias("label")))
+           .select("band", "node", "popular", F.coalesce("label", "node").alias("label")))
     mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top")
     return now.join(mixed.select("band"), "band")
 
@@ -261,23 +270,42 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
 
     members = (sketched.where("kind = 0").mapInArrow(members_of, "band long, doc long")
                .join(nodes, "doc").select("band", "node").distinct())
-    spread = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top"))
-    members = members.join(spread.where("low <> top"), "band").select("band", "node").checkpoint()
+    spread = members.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("met"))
+    members = written(members.join(spread.where("low <> top"), "band").select("band", "node", "met"))
+    popular = members.groupBy("node").agg(F.sum("met").alias("popular"))
+    members = written(members.join(popular, "node").select("band", "node", "popular"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of ``pairs(hub, node)`` those that are links, as ``(a, b)``."""
-        hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("salts"))
-        asked = (pairs.join(hubs, "hub").select(F.col("node").alias("doc"), "hub",
-                                                F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
-                 .union(hubs.select(F.col("hub").alias("doc"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))))
+    def linked(asked: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` among what ``asked(doc, hub, shard)`` brings together."""
         return (dealt.groupBy("bucket").cogroup(asked.withColumn("bucket", bucket_of(F.col("doc"), buckets)).groupBy("bucket"))
                 .applyInArrow(lambda a, b: send_sets(a, b, shingle, shards), SKETCHED)
                 .groupBy("dest").applyInArrow(lambda t: link_shard(t, similar), "a long, b long"))
 
+    def with_hubs(pairs: DataFrame) -> DataFrame:
+        """``pairs(hub, node)``: a shard per hub and ``FANOUT`` of its nodes."""
+        def shard(salt):
+            return F.pmod(F.xxhash64("hub", salt), F.lit(shards)).cast("int").alias("shard")
+
+        hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FANOUT).alias("salts"))
+        salted = pairs.join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
+        homes = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        return (salted.select(F.col("node").alias("doc"), "hub", shard(F.col("salt")))
+                .union(homes.select(F.col("hub").alias("doc"), "hub", shard(F.col("salt")))))
+
+    def on_a_grid(pairs: DataFrame) -> DataFrame:
+        side = max(1, math.isqrt(shards))
+
+        def line(node):
+            return F.pmod(F.xxhash64(node, F.lit(5)), F.lit(side))
+
+        cell = (line("hub") * side + line("node")).cast("int").alias("shard")
+        return (pairs.select(F.col("node").alias("doc"), "hub", cell)
+                .union(pairs.select(F.col("hub").alias("doc"), "hub", cell).distinct()))
+
     tested = links = None
     now = members.withColumn("label", F.col("node"))
     for turn, partners in enumerate(PARTNERS):
-        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.struct(-F.col("popular"), "node")
         hubs = now.groupBy("band").agg(F.min_by(F.struct("node", "label"), order).alias("hub"))
         met = (now.join(hubs, "band").where("label <> hub.label")
                .groupBy("node", F.col("hub.node").alias("hub")).count().where(F.col("count") >= AGREE))
@@ -286,12 +314,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
                  .select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y"), "hub", "node"))
         if tested is not None:
             tries = tries.join(tested, ["x", "y"], "left_anti")
-        tries = tries.checkpoint()
-        found = verified(tries.select("hub", "node")).checkpoint()
+        tries = written(tries)
+        found = written(linked(with_hubs(tries.select("hub", "node"))))
         tested = tries.select("x", "y") if tested is None else tested.union(tries.select("x", "y"))
         links = found if links is None else links.union(found)
         labels = components(links)
-        now = unsettled(members, labels).checkpoint()
+        now = written(unsettled(members, labels))
 
     # What still leads from one component to another: all of it, without the pairs within a component.
     most = (now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
@@ -302,9 +330,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
                                            & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node"))))
               .groupBy(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).count()
               .where(F.col("count") >= AGREE).select("x", "y").join(tested, ["x", "y"], "left_anti")
-              .select(F.col("x").alias("hub"), F.col("y").alias("node")).checkpoint())
+              .select(F.col("x").alias("hub"), F.col("y").alias("node")))
+    across = written(across)
     if not across.isEmpty():
-        labels = components(links.union(verified(across).checkpoint()))
+        labels = components(links.union(written(linked(on_a_grid(across)))))
     final = nodes.join(labels, "node", "left").select("doc", F.coalesce("label", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
     return (every.join(final, F.col("doc_id") == F.col("doc"), "left")
