@@ -9,8 +9,8 @@ full sketches too.
 
 1. *Banding.*  102 bands of ten registers (every register is in two);
    documents that agree on at least two bands are candidates.  A pair at
-   similarity 0.8 is missed with a probability of about 1.2e-4, one at 0.82
-   with 5e-6; of pairs at 0.6, 13 % are candidates, at 0.5 0.5 %.  Buckets of
+   similarity 0.8 is missed with a probability of about 4e-4, one at 0.82
+   with 4e-5 (simulated); of pairs at 0.6, 13 % are candidates, at 0.7 77 %.  Buckets of
    documents report each band key once per distinct set; shards keep keys
    that several sets have.
 2. *Verification.*  A pair's full sets meet; the collision-corrected Jaccard
