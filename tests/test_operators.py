@@ -174,3 +174,12 @@ def test_hot_keys_of_nothing(spark):
     from tillpoint.operators import keys
     empty = spark.createDataFrame([], "k long")
     assert keys.hot_keys(empty, "k") == [] and keys.lookup_join(empty, empty.withColumnRenamed("k", "d"), "k", "d").count() == 0
+
+
+def test_upsert_ties_do_not_depend_on_the_order_of_rows(spark):
+    changes = [(1, 5, "a", "U"), (1, 5, "b", "D"), (1, 5, "b", "U"), (2, 5, "x", "D"), (2, 4, "z", "U")]
+    empty = spark.createDataFrame([], "k int, t int, v string")
+    for seed in range(4):
+        random.Random(seed).shuffle(changes)
+        df = spark.createDataFrame(changes, "k int, t int, v string, op string").repartition(seed + 1)
+        assert rows(merge.upsert(empty, df, ["k"], "t", op_col="op")) == [(1, 5, "b")]

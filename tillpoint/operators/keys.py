@@ -52,11 +52,12 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
 SALTS = 64
 
 
-def _hashable(t: T.DataType) -> bool:
+def orderable(t: T.DataType) -> bool:
+    """Whether values of a type can be ordered (and hashed): no maps inside."""
     if isinstance(t, T.StructType):
-        return all(_hashable(f.dataType) for f in t.fields)
+        return all(orderable(f.dataType) for f in t.fields)
     if isinstance(t, T.ArrayType):
-        return _hashable(t.elementType)
+        return orderable(t.elementType)
     return not isinstance(t, (T.MapType, T.VariantType))
 
 
@@ -72,7 +73,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup is a left or inner join, not {how}")
     hot = hot_keys(fact.select(fact_key), fact_key, share)
-    row = F.pmod(F.xxhash64(*[f.name for f in fact.schema.fields if _hashable(f.dataType)]), F.lit(salts)).cast("int")
+    row = F.pmod(F.xxhash64(*[f.name for f in fact.schema.fields if orderable(f.dataType)]), F.lit(salts)).cast("int")
     spread = F.col(fact_key).isNull() | F.col(fact_key).isin(hot) if hot else F.col(fact_key).isNull()
     f = fact.withColumn("__salt", F.when(spread, row).otherwise(0))
     copies = F.when(F.col(dim_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))

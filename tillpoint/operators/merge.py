@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import checked
+from .keys import orderable
 from .sequence import last_known, next_value, prev_value, row_number_in_key
 
 
@@ -29,8 +30,9 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order_col: s
            op_col: str | None = None, delete_value: str = "D", tombstones: bool = False) -> DataFrame:
     """Apply ``changes`` to ``current`` (schema of ``current``).
 
-    Per key the latest change wins (last writer by ``order_col``; on equal
-    order values the change wins over the stored row).  A change older than
+    Per key the latest change wins (last writer by ``order_col``; of changes
+    with equal order values the largest by its other columns, and a change
+    wins over a stored row).  A change older than
     the stored row is ignored.  With ``op_col``, a winning change whose op
     is ``delete_value`` removes the key.  With ``tombstones`` the removed key
     stays in the state as a row flagged ``_deleted`` (with its order value),
@@ -39,7 +41,9 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order_col: s
     """
     cols = [c for c in current.columns if c != TOMBSTONE]
     extra = [op_col] if op_col else []
-    ch = latest_per_key(changes.select(*cols, *extra), keys, [order_col])
+    ties = [f.name for f in changes.select(*cols, *extra).schema.fields
+            if f.name not in (order_col, *keys) and orderable(f.dataType)]
+    ch = latest_per_key(changes.select(*cols, *extra), keys, [order_col, *ties])
     cur_del = F.col(TOMBSTONE) if TOMBSTONE in current.columns else F.lit(False)
     c = current.select(*[F.col(x).alias(f"__c_{x}") for x in cols], F.lit(True).alias("__c_here"),
                        F.coalesce(cur_del, F.lit(False)).alias("__c_del"))

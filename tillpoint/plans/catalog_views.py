@@ -45,7 +45,7 @@ FROM weekly
 WINDOW w AS (ORDER BY d_week_seq, d_year),
        w13 AS (ORDER BY d_week_seq, d_year ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)""")
 def q_v2(spark, sf):
-    f = td.fact_sales(spark, sf)
+    f = td.fact_sales(spark, sf).groupBy("sale_date").agg(*[F.sum(c).alias(c) for c in ("line_total", "quantity")]).checkpoint()
     days = f.agg(F.min("sale_date").alias("lo"), F.max("sale_date").alias("hi")).first()
     # the calendar spans the fact, so no sale falls outside of it
     return v.weekly_running_totals(f, td.dim_date(spark, days["lo"], days["hi"]) if days["lo"] else td.dim_date(spark))

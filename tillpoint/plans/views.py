@@ -42,7 +42,10 @@ def _days_back(as_of: dt.date, days: int) -> Column:
 
 # V1 -------------------------------------------------------------------------
 def daily_sales_by_country(fact_sales: DataFrame) -> DataFrame:
-    daily = fact_sales.groupBy("sale_date", "country").agg(
+    """Lines are summed per invoice and customer first: the two distinct
+    counts then expand invoices, not lines."""
+    sums = [F.sum(c).alias(c) for c in ("line_total", "quantity")]
+    daily = fact_sales.groupBy("sale_date", "country", "invoice_no", "customer_sk").agg(*sums).groupBy("sale_date", "country").agg(
         F.count_distinct("invoice_no").alias("orders"),
         F.sum("line_total").alias("revenue"),
         F.sum("quantity").alias("units"),
@@ -223,21 +226,20 @@ def sales_rollup_by_region(fact_sales: DataFrame, dim_store: DataFrame, as_of: d
     the reference as written)."""
     f = (fact_sales.filter(F.col("sale_date") >= _days_back(as_of, days))
          .select(F.col(fact_key).alias("__fk"), "line_total"))
-    s = dim_store.select("store_sk", "region")
-    j = f.join(s, f["__fk"] == s["store_sk"])
-    r = j.rollup("region", "store_sk").agg(
-        F.sum("line_total").alias("total_revenue"),
-        F.count(F.lit(1)).alias("line_count"),
-        (F.grouping("region") * 2 + F.grouping("store_sk")).cast("int").alias("grouping_level"))
-    # SQL's ROLLUP yields the grand-total row even over no rows; Spark's
-    # Expand yields nothing then.  Re-derive the grand total from the region
-    # subtotals with a global aggregate, which always returns one row.
-    grand = r.filter(F.col("grouping_level") == 1).agg(
-        F.lit(None).cast("string").alias("region"), F.lit(None).cast("bigint").alias("store_sk"),
-        F.sum("total_revenue").alias("total_revenue"),
-        F.coalesce(F.sum("line_count"), F.lit(0)).cast("bigint").alias("line_count"),
-        F.lit(3).alias("grouping_level"))
-    return r.filter(F.col("grouping_level") != 3).unionByName(grand)
+    # a row per store before the join; the levels above come from the one below
+    per = f.groupBy("__fk").agg(F.sum("line_total").alias("total_revenue"), F.count(F.lit(1)).alias("line_count"))
+    sums = [F.sum("total_revenue").alias("total_revenue"), F.sum("line_count").alias("line_count")]
+    stores = per.join(dim_store.select("store_sk", "region"), F.col("__fk") == F.col("store_sk")).groupBy("region", "store_sk").agg(*sums).checkpoint()
+    regions = stores.groupBy("region").agg(*sums)
+
+    def level(df: DataFrame, number: int) -> DataFrame:
+        region = F.col("region") if number < 3 else F.lit(None).cast("string")
+        store = F.col("store_sk") if number < 1 else F.lit(None).cast("bigint")
+        return df.select(region.alias("region"), store.alias("store_sk"), "total_revenue",
+                         F.coalesce("line_count", F.lit(0)).cast("bigint").alias("line_count"), F.lit(number).alias("grouping_level"))
+
+    # a global aggregate: the grand total is there even over no rows
+    return level(stores, 0).unionByName(level(regions, 1)).unionByName(level(stores.agg(*sums), 3))
 
 
 # V9 -------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def _load_all() -> None:
     from .plans import catalog_views  # noqa: F401
     for mod in ("catalog_aggregates", "catalog_state", "catalog_staging",
                 "catalog_facts", "catalog_quality", "catalog_loyalty", "catalog_inventory",
-                "catalog_loads"):
+                "catalog_loads", "catalog_sources"):
         try:
             __import__(f"{__package__}.plans.{mod}")
         except ModuleNotFoundError as e:  # not written yet
