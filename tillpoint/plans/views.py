@@ -226,10 +226,10 @@ def sales_rollup_by_region(fact_sales: DataFrame, dim_store: DataFrame, as_of: d
     the reference as written)."""
     f = (fact_sales.filter(F.col("sale_date") >= _days_back(as_of, days))
          .select(F.col(fact_key).alias("__fk"), "line_total"))
-    # a row per store before the join; the levels above come from the one below
+    # a row per store before the join; the levels above reuse its exchange
     per = f.groupBy("__fk").agg(F.sum("line_total").alias("total_revenue"), F.count(F.lit(1)).alias("line_count"))
     sums = [F.sum("total_revenue").alias("total_revenue"), F.sum("line_count").alias("line_count")]
-    stores = per.join(dim_store.select("store_sk", "region"), F.col("__fk") == F.col("store_sk")).groupBy("region", "store_sk").agg(*sums).checkpoint()
+    stores = per.join(dim_store.select("store_sk", "region"), F.col("__fk") == F.col("store_sk")).groupBy("region", "store_sk").agg(*sums)
     regions = stores.groupBy("region").agg(*sums)
 
     def level(df: DataFrame, number: int) -> DataFrame:
