@@ -1,6 +1,7 @@
 """Substring, phrase, line and near dedup against plain versions."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -152,6 +153,28 @@ def test_all_left_pairs_are_compared(make, monkeypatch):
     assert plain(near_dedup(make(rows), 1)) == grouped(near_rows([(i, t) for i, t, _ in rows], 1))
 
 
+def edited(rng, words, share):
+    return " ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
+
+
+def test_a_dense_group_around_the_threshold(make):
+    """Copies edited so far that most pairs lie between 0.6 and 0.85."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, edited(rng, base, rng.choice((0.02, 0.05, 0.08, 0.12))), "a") for i in range(90)]
+    want = grouped(near_rows([(i, t) for i, t, _ in rows], 2))
+    assert plain(near_dedup(make(rows))) == want
+    assert 5 < len({r[2] for r in want}) < 85
+
+
+def test_rows_of_one_id_and_without_an_id(make):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(5, text, "a"), (5, text + " more", "a"), (5, "aaa first of its id", "a"), (9, "aaa first of its id", "a"), (None, text, "a"), (None, text, "b"),
+            (7, text, "c"), (7, text, "c"), (8, text, "c")]
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in near_dedup(make(rows)).collect())
+    assert got == sorted([((False, 0), 59, None, True)] * 2 + [((True, 5), 4, 5, True), ((True, 7), 59, 7, True), ((True, 8), 59, 7, False), ((True, 9), 4, 5, False)])
+
+
 def test_one_of_each_group(make, docs_rows):
     df = make(docs_rows + REPEATED)
     kept = one_of_each_group(df, 2)

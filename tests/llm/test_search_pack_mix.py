@@ -202,6 +202,32 @@ def test_mixing_reaches_its_targets(make):
     assert grouped(tuple(r) for r in again) == grouped(tuple(r) for r in got)
 
 
+def test_odds_are_unequal_and_targets_are_met(make):
+    """Short documents get more copies than long ones; every source comes as
+    near to its target as one document can bring it."""
+    rng = random.Random(14)
+    rows = [(k, " ".join(["w"] * rng.choice((20, 30, 900, 1500))), "abc"[k % 3]) for k in range(3000)]
+    got = mix(make(rows)).collect()
+    words, copies = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        words[r.target] += r.taken
+        copies[r.target, r["size"] < 100].append(r.copies)
+    for target, n in words.items():
+        assert abs(n - target) <= 450  # half of the shortest long document, where no short one is left
+        short, long = (sum(copies[target, x]) / len(copies[target, x]) for x in (True, False))
+        assert short > long + 0.1 or target >= 2 * next(r.source_size for r in got if r.target == target) - 1
+
+
+def test_a_long_document_does_not_end_a_sample(make):
+    """A document too long for what is left is passed over, and one that
+    fits takes its place."""
+    rows = [(k, "w", "a") for k in range(700)] + [(10_000, " ".join(["w"] * 300), "a")] + [(20_000 + k, " ".join(["v"] * 10), "b") for k in range(30)]
+    for seed in ("mix", "x", "y", "z"):
+        got = mix(make(rows), seed=seed).collect()
+        for target in {r.target for r in got}:
+            assert abs(sum(r.taken for r in got if r.target == target) - target) <= 5
+
+
 def test_mixing_edge_tables(make, docs, docs_rows):
     assert mix(make([])).count() == 0
     assert [(r["size"], r.target, r.taken) for r in mix(make([(1, None, None), (2, "", "a")])).collect()] == [(0, 0.0, 0)] * 2

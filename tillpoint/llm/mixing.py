@@ -4,18 +4,30 @@ A document's size is its number of words.  The mix has ``budget`` times all
 sizes; sources share it by weight, no source takes more than ``repeats``
 times its own size, and what that leaves over is shared again by weight.
 
-Each source then takes every document ``floor(target / size)`` times for
-certain.  The rest of its target is a sample without replacement of fixed
-size: documents are ranked by the odds of a uniform number (from a hash of
-the doc_id) divided by the odds of their inclusion, and taken in this order
-until the words reach the target (the last one only if that comes nearer).
-Ranks are found without sorting a source in one task: uniform numbers fall
-into slots, prefix sums over slots find the one where the target is reached,
-and only rows of one slot are ordered among themselves.
-
-Defined results: a null or empty text has size 0 and takes nothing; null
-sources are one source of their own, after all others; ties in the ranking
-go by doc_id and size; an empty table gives an empty result; extra columns
+Documents of a source are not alike: a short one is expected more often than
+a long one.  Around the source's share (target / size) a document's expected
+copies move with a preference that falls with its size, as far as half the
+room to 0 and to ``repeats``, and are centred so that they add up to the
+target in words.  The whole part of a document's expectation is taken for
+certain.  The fractions are inclusion odds of a sample without replacement of
+fixed size in words: documents are ranked by the odds of a uniform number
+(from a hash of the doc_id) divided by the odds of their inclusion, and taken
+in this order while the words stay within the target.  Behind the cut those
+that still fit are taken in the same order, and at last the one document
+whose size comes nearest to what is left then, if that brings the source
+nearer to its target.
+
+Ranks are found without sorting a source: ranks fall into 4096 slots, the
+slot of the cut into 4096 again, prefix sums over slots find the cut, and
+only rows of the last slot (a 2**24th of a source) are ordered.  Documents
+meet the numbers of their source by source and slot of the uniform number, so
+no source is a hot key.
+
+Defined results: a null or empty text has size 0 and takes nothing (its
+copies are those for certain); rows equal in doc_id and size rank as one and
+are taken together; null
+sources are one source of their own, after all others; ties in the
+ranking go by doc_id and size; an empty table gives an empty result; extra columns
 are kept on request and may have any name.
 """
 
@@ -24,12 +36,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import GAP
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 REPEATS = 2
 SLOTS = 4096
+#: Part of the room around a source's share that sizes may use, and the size of middle preference.
+FAVOUR = 0.5
+MIDDLE = 256
 SEED = "mix"
 
 
@@ -60,31 +75,124 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
                                F.col("m_cap").cast("double")).alias("target"))
 
 
+def preference(size: Column) -> Column:
+    """Between 0 (long) and 65536 (empty), a whole number, so that sums of it
+    do not depend on their order."""
+    return F.floor(F.lit(65536 * MIDDLE) / (size + MIDDLE)).cast("long")
+
+
+def same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def ranked(d: DataFrame, repeats: int) -> DataFrame:
+    """``m_whole`` copies for certain and ``m_z``, the Pareto rank between 0
+    and 1 (null: no odds of another copy), for rows with their source's
+    ``source_size, target, m_liked``."""
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    room = F.lit(FAVOUR) * F.least(share, F.lit(float(repeats)) - share)
+    expected = share + room * (preference(F.col("size")) - F.col("m_liked")) / 65536.0
+    d = d.withColumn("m_expected", expected).withColumn("m_whole", F.floor("m_expected"))
+    part = F.col("m_expected") - F.col("m_whole")
+    odds = (F.col("m_u") / (1 - F.col("m_u"))) / (part / (1 - part))
+    return d.withColumn("m_z", F.when(part > 0, odds)).withColumn("m_z", F.col("m_z") / (1 + F.col("m_z")))
+
+
+def slot(z: Column, level: int) -> Column:
+    """Slot of a rank: the first of 4096, or the second within it."""
+    first = F.least(F.floor(z * SLOTS), F.lit(SLOTS - 1))
+    return first.cast("int") if level == 1 else F.least(F.floor((z * SLOTS - first) * SLOTS), F.lit(SLOTS - 1)).cast("int")
+
+
+def first_over(words: DataFrame, by: str, start: Column) -> DataFrame:
+    """``(m_source, left, cut, before)``: per source the first slot whose words,
+    summed from ``start``, go over ``left``, and the words before it."""
+    order = Window.partitionBy("m_source").orderBy(by)
+    upto = start + F.sum("m_words").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    w = words.withColumn("m_upto", upto).where(F.col("m_upto") > F.col("left"))
+    return w.groupBy("m_source").agg(F.min("left").alias("left"), F.min(by).alias("cut"), F.min_by(F.col("m_upto") - F.col("m_words"), by).alias("before"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS,
         seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``
     (words), ``copies``, and the columns of ``keep`` as one struct ``kept``."""
-    rows = docs.select(
-        F.col("doc_id"), F.col("source").alias("m_source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        uniform(F.col("doc_id"), F.col("text"), seed).alias("m_u"), *([F.struct(*keep).alias("kept")] if keep else []))
-    rows = rows.withColumn("m_slot", F.floor(F.col("m_u") * SLOTS).cast("int"))
-    slots = rows.groupBy("m_source", "m_slot").agg(F.sum("size").alias("m_words"))
-    targets = source_targets(slots.groupBy("m_source").agg(F.sum("m_words").alias("source_size")), weights, budget, repeats)
-    before = Window.partitionBy("m_source").orderBy("m_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select("m_source", "m_slot", F.coalesce(F.sum("m_words").over(before), F.lit(0)).alias("m_before"))
-    t, s = targets.alias("t"), slots.alias("s")
-    # one row per source and slot: joined to the documents, no source is a hot key
-    known = s.join(t, F.col("s.m_source").eqNullSafe(F.col("t.m_source"))).select(
-        F.col("s.m_source").alias("k_source"), F.col("s.m_slot").alias("k_slot"), "m_before", "source_size", "target")
-    d = rows.join(known, F.col("m_source").eqNullSafe(F.col("k_source")) & (F.col("m_slot") == F.col("k_slot")))
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    d = d.withColumn("m_whole", F.floor(share)).withColumn("m_part", share - F.col("m_whole"))
-    odds = F.when(F.col("m_part") > 0, (F.col("m_u") / (1 - F.col("m_u"))) / (F.col("m_part") / (1 - F.col("m_part"))))
-    d = d.withColumn("m_rank", odds)
-    inside = Window.partitionBy("m_source", "m_slot").orderBy("m_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    words_before = F.col("m_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    left = F.col("target") - F.col("m_whole") * F.col("source_size")
-    d = d.withColumn("copies", F.col("m_whole") + F.when(words_before + F.col("size") / 2 < left, 1).otherwise(0))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
-                    F.col("copies").cast("int").alias("copies"), *(["kept"] if keep else []))
+    def measured(extra: list[Column]) -> DataFrame:
+        words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP), "")).cast("long")
+        rows = docs.select("doc_id", F.col("source").alias("m_source"), words.alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("m_u"), *extra)
+        return rows.withColumn("m_home", F.floor(F.col("m_u") * SLOTS).cast("int"))
+
+    light = measured([]).checkpoint()
+    homes = light.groupBy("m_source", "m_home").agg(F.sum("size").alias("m_words"), F.sum(F.col("size") * preference(F.col("size"))).alias("m_liking"))
+    sizes = homes.groupBy("m_source").agg(F.sum("m_words").alias("source_size"), F.sum("m_liking").alias("m_liking"))
+    targets = source_targets(sizes.select("m_source", "source_size"), weights, budget, repeats)
+    liked = F.when(F.col("source_size") > 0, F.col("m_liking") / F.col("source_size")).otherwise(0.0)
+    sources = (targets.join(sizes.select(F.col("m_source").alias("s_source"), "m_liking"), same("m_source", "s_source"))
+               .select("m_source", "source_size", "target", liked.alias("m_liked")))
+
+    def at_home(numbers: DataFrame) -> DataFrame:
+        """Numbers of every source, by source and slot."""
+        n = numbers.withColumnRenamed("m_source", "k_source")
+        h = homes.select(F.col("m_source").alias("h_source"), F.col("m_home").alias("k_home"))
+        return n.join(h, same("k_source", "h_source")).drop("h_source")
+
+    def meet(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+        return rows.join(at_home(numbers), same("m_source", "k_source") & (F.col("m_home") == F.col("k_home"))).drop("k_source", "k_home")
+
+    d = ranked(meet(light, sources), repeats)
+    d = d.select("doc_id", "m_source", "m_home", "size", "target", "m_whole", "m_z", slot(F.col("m_z"), 1).alias("m_one"),
+                 slot(F.col("m_z"), 2).alias("m_two")).checkpoint()
+    left = d.groupBy("m_source").agg((F.first("target") - F.sum(F.col("size") * F.col("m_whole"))).alias("left"))
+    odds = d.where("m_z IS NOT NULL AND size > 0")
+
+    def cut_in(rows: DataFrame, left: DataFrame) -> DataFrame:
+        """``(m_source, one, two, last, rest)``: where ``rows`` in order go
+        over the ``left`` words of their source, and the words missing there.
+        A source whose rows all fit has none."""
+        left = left.withColumnRenamed("m_source", "l_source")
+        words = rows.groupBy("m_source", "m_one").agg(F.sum("size").alias("m_words")).join(left, same("m_source", "l_source"))
+        one = first_over(words, "m_one", F.lit(0)).select(F.col("m_source").alias("c_source"), "left", F.col("cut").alias("one"), "before")
+        inside = rows.join(one, same("m_source", "c_source") & (F.col("m_one") == F.col("one")))
+        words = inside.groupBy("m_source", "m_two", "left", "before").agg(F.sum("size").alias("m_words"))
+        two = first_over(words, "m_two", F.col("before")).select(F.col("m_source").alias("d_source"), F.col("cut").alias("two"), F.col("before").alias("start"))
+        # rows of the last slot, in order; equal rows come together
+        order = Window.partitionBy("m_source").orderBy("m_z", "doc_id", "size")
+        last = (inside.join(two, same("m_source", "d_source") & (F.col("m_two") == F.col("two")))
+                .withColumn("m_upto", F.col("start") + F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0))))
+        fits = F.col("m_upto") <= F.col("left")
+        return last.groupBy("m_source", "one", "two").agg(
+            F.max(F.when(fits, place)).alias("last"), (F.min("left") - F.coalesce(F.max(F.when(fits, F.col("m_upto"))), F.min("start"))).alias("rest"))
+
+    def before(cut: str) -> Column:
+        """Rows up to a cut; all of a source that has none."""
+        c = F.col(cut)
+        here, there = F.struct(F.col("m_one").alias("a"), F.col("m_two").alias("b")), F.struct(c["one"].alias("a"), c["two"].alias("b"))
+        return c.isNull() | (here < there) | ((here == there) & F.coalesce(place <= c["last"], F.lit(False)))
+
+    def as_one(cut: DataFrame, name: str) -> DataFrame:
+        return cut.select("m_source", F.struct("one", "two", "last", "rest").alias(name))
+
+    place = F.struct("m_z", "doc_id", "size")
+    first = as_one(cut_in(odds, left), "first").checkpoint()
+    # what is passed over there makes room for what still fits, in the same order
+    fitting = ~before("first") & (F.col("size") <= F.col("first.rest"))
+    more = meet(odds, first).where(fitting).drop("first").checkpoint()
+    second = as_one(cut_in(more, first.select("m_source", F.col("first.rest").alias("left"))), "second")
+    all_fit = more.groupBy(F.col("m_source").alias("a_source")).agg(F.sum("size").alias("fit"))
+    second = second.withColumnRenamed("m_source", "b_source")
+    cuts = (first.join(second, same("m_source", "b_source"), "left").join(all_fit, same("m_source", "a_source"), "left")
+            .select("m_source", "first", "second", F.coalesce("second.rest", F.col("first.rest") - F.coalesce("fit", F.lit(0))).alias("m_rest"))).checkpoint()
+    taken = F.col("m_z").isNotNull() & (before("first") | fitting & before("second"))
+    # and the one document that then comes nearest to what is left
+    far = F.abs(F.col("size") - F.col("m_rest"))
+    behind = meet(odds, cuts).where(~taken & (far < F.col("m_rest")))
+    filler = behind.groupBy(F.col("m_source").alias("f_source")).agg(F.min_by(place, F.struct(far.alias("far"), "m_z", "doc_id", "size")).alias("m_filler"))
+    cuts = cuts.withColumnRenamed("m_source", "c_source")
+    numbers = (sources.join(cuts, same("m_source", "c_source"), "left").drop("c_source", "m_rest")
+               .join(filler, same("m_source", "f_source"), "left").drop("f_source"))
+    out = ranked(meet(measured([F.struct(*keep).alias("kept")]) if keep else light, numbers), repeats)
+    out = out.withColumn("m_one", slot(F.col("m_z"), 1)).withColumn("m_two", slot(F.col("m_z"), 2))
+    again = (F.col("size") > 0) & (taken | F.coalesce(place == F.col("m_filler"), F.lit(False)))
+    out = out.withColumn("copies", F.col("m_whole") + F.when(again, 1).otherwise(0))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
+                      F.col("copies").cast("int").alias("copies"), *(["kept"] if keep else []))

@@ -24,19 +24,39 @@ targets AS (
   SELECT l.*, coalesce(least(weight * (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, number LIMIT 1),
                              cap::DOUBLE), cap::DOUBLE) AS target
   FROM levels l),
+liked AS (
+  SELECT source, sum(size * CAST(floor(16777216 / (size + 256)::DOUBLE) AS BIGINT))::BIGINT AS liking FROM rows GROUP BY source),
 shares AS (
   SELECT r.doc_id, r.size, r.u, t.source_size, t.target, t.number,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS share
-  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS share,
+         CASE WHEN t.source_size > 0 THEN l.liking::DOUBLE / t.source_size ELSE 0 END AS liked
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source JOIN liked l ON r.source IS NOT DISTINCT FROM l.source),
+expected AS (
+  SELECT *, share + 0.5::DOUBLE * least(share, 2.0::DOUBLE - share) * (floor(16777216 / (size + 256)::DOUBLE) - liked) / 65536.0::DOUBLE AS e FROM shares),
+parts AS (SELECT *, floor(e) AS whole, e - floor(e) AS part FROM expected),
+odds AS (
+  SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q FROM parts),
 ranked AS (
-  SELECT *, floor(share) AS whole,
-         coalesce(sum(size) OVER (PARTITION BY number ORDER BY u, doc_id, size
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before
-  FROM shares)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN words_before + size / 2 < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken,
-       (whole + CASE WHEN words_before + size / 2 < target - whole * source_size THEN 1 ELSE 0 END)::INT AS copies
-FROM ranked
+  SELECT *, q / (1 + q) AS z, target - sum(size * whole) OVER (PARTITION BY number) AS rest FROM odds),
+upto AS (
+  SELECT *, sum(size) OVER (PARTITION BY number ORDER BY z, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS words
+  FROM ranked WHERE z IS NOT NULL AND size > 0),
+cut AS (
+  SELECT number, any_value(rest) - coalesce(max(words) FILTER (words <= rest), 0) AS gap FROM upto GROUP BY number),
+fitting AS (
+  SELECT u.*, gap, sum(size) OVER (PARTITION BY u.number ORDER BY z, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS more
+  FROM upto u JOIN cut c ON u.number = c.number WHERE words > rest AND size <= gap),
+cut2 AS (
+  SELECT c.number, c.gap - coalesce((SELECT max(more) FROM fitting f WHERE f.number = c.number AND more <= f.gap), 0) AS gap FROM cut c),
+filler AS (
+  SELECT u.number, arg_min({'z': u.z, 'id': u.doc_id, 'size': u.size}, (abs(u.size - c.gap), u.z, u.doc_id, u.size)) AS f
+  FROM upto u JOIN cut2 c ON u.number = c.number LEFT JOIN fitting x ON x.doc_id = u.doc_id
+  WHERE u.words > u.rest AND NOT coalesce(x.more <= x.gap, false) AND abs(u.size - c.gap) < c.gap GROUP BY u.number),
+chosen AS (
+  SELECT r.*, r.whole + CASE WHEN r.size > 0 AND (coalesce(u.words <= r.rest, false) OR coalesce(x.more <= x.gap, false) OR coalesce(f.f = {'z': r.z, 'id': r.doc_id, 'size': r.size}, false)) THEN 1 ELSE 0 END AS n
+  FROM ranked r LEFT JOIN upto u ON u.doc_id = r.doc_id LEFT JOIN fitting x ON x.doc_id = r.doc_id LEFT JOIN filler f ON f.number = r.number)
+SELECT doc_id, size, source_size, target, (size * n)::BIGINT AS taken, n::INT AS copies
+FROM chosen
 """
 
 OP1 = r"""
