@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +79,23 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     copies = F.when(F.col(dim_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
     d = dim.withColumn("__dim_salt", F.explode(copies))
     return f.join(d, (F.col(fact_key) == F.col(dim_key)) & (F.col("__salt") == F.col("__dim_salt")), how).drop("__salt", "__dim_salt")
+
+
+def spread_hot(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str], share: float = 0.01,
+               salts: int = SALTS) -> tuple[DataFrame, DataFrame, Column]:
+    """For a left, inner, semi or anti join of ``left`` to ``right`` (one row
+    per key) on keys compared null-safely: both sides and the condition, with
+    the rows of hot keys spread by ``__salt`` and the right rows of those keys
+    copied to every ``__right_salt``.  Key names must differ."""
+    if any(left.schema[a].dataType != right.schema[b].dataType for a, b in zip(keys, right_keys)):
+        raise TypeError("keys of different types hash differently")
+    mark = F.xxhash64(*keys)
+    hot = hot_keys(left.select(mark.alias("__mark")), "__mark", share)
+    row = F.pmod(F.xxhash64(*[f.name for f in left.schema.fields if orderable(f.dataType)]), F.lit(salts)).cast("int")
+    one = F.array(F.lit(0))
+    salted = left.withColumn("__salt", F.when(mark.isin(hot), row).otherwise(0) if hot else F.lit(0))
+    copies = F.when(F.xxhash64(*right_keys).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one) if hot else one
+    condition = F.col("__salt") == F.col("__right_salt")
+    for a, b in zip(keys, right_keys):
+        condition = condition & F.col(a).eqNullSafe(F.col(b))
+    return salted, right.withColumn("__right_salt", F.explode(copies)), condition

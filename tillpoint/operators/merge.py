@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import checked
-from .keys import orderable
+from .keys import orderable, spread_hot
 from .sequence import last_known, next_value, prev_value, row_number_in_key
 
 
@@ -136,7 +136,8 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, keys: list[str], ts_col:
     cur = history.filter(F.col("is_current"))
     closed = history.filter(~F.col("is_current"))
     start = cur.select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.col("eff_from").alias("__o_from"))
-    incoming = incoming.join(start, [incoming[k].eqNullSafe(start[f"__o_{k}"]) for k in keys], "left")
+    salted, start, same = spread_hot(incoming, start, keys, [f"__o_{k}" for k in keys])
+    incoming = salted.join(start, same, "left").drop("__salt", "__right_salt")
     incoming = incoming.filter(F.col("__o_from").isNull() | (F.col(ts_col) > F.col("__o_from")))
     seed = cur.select(*keys, *tracked, F.col("eff_from").alias(ts_col), F.lit(0).alias("__src"),
                       "version", "change_reason")
@@ -188,8 +189,9 @@ def scd2_splice(history: DataFrame, seen: DataFrame, incoming: DataFrame, keys:
     touched = new.select(*keys).distinct()
 
     def of_touched(df: DataFrame, how: str) -> DataFrame:
-        t, same = _same_keys(df, touched, keys, "__t_")
-        return df.join(t, same, how)
+        renamed = touched.withColumnsRenamed({k: f"__t_{k}" for k in keys})
+        salted, t, same = spread_hot(df, renamed, keys, [f"__t_{k}" for k in keys])
+        return salted.join(t, same, how).drop("__salt")
 
     begun = of_touched(history, "left_semi").select(*keys, F.col("eff_from").alias("__from"), attrs.alias("__a"))
     times = of_touched(seen, "left_semi").select(*keys, ts_col)

@@ -253,9 +253,9 @@ def q_a9(spark, sf):
     ev = me.select("user_id", "event_ts", F.col("context.referrer").alias("referrer"),
                    (F.col("properties")["k"].cast("bigint") % 5).alias("campaign_sk"),
                    (F.col("user_id").cast("bigint") % 10).alias("__store"))
-    ev = ev.join(stores, ev["__store"] == stores["__st"], "left").drop("__store", "__st")
-    dc = td.dim_customer(spark, sf).select("customer_id", "customer_sk")
     from ..operators.keys import lookup_join
+    ev = lookup_join(ev, stores, "__store", "__st").drop("__store", "__st")  # hot stores
+    dc = td.dim_customer(spark, sf).select("customer_id", "customer_sk")
     evc = lookup_join(ev, dc, "user_id", "customer_id", "inner").drop("customer_id")  # hot users
     last = a.last_touch(td.app_sales(spark, sf), evc, 1)
     return a.marketing_attribution_cube(last, td.EVENTS_AS_OF)

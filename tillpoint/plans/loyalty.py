@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.sequence import last_known, next_value, running, running_sum
 
 EXPIRY_DAYS = 365
-BUCKET_POINTS = 100_000
+BUCKET_POINTS = 10_000
 
 
 def point_intervals(events: DataFrame, as_of: dt.datetime, expiry_days: int = EXPIRY_DAYS) -> DataFrame:
