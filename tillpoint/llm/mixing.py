@@ -123,12 +123,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         return rows.withColumn("m_home", F.floor(F.col("m_u") * SLOTS).cast("int"))
 
     light = measured([]).checkpoint()
-    homes = light.groupBy("m_source", "m_home").agg(F.sum("size").alias("m_words"), F.sum(F.col("size") * preference(F.col("size"))).alias("m_liking"))
+    # the small tables are written too: plans that hold one another grow with every step
+    homes = light.groupBy("m_source", "m_home").agg(
+        F.sum("size").alias("m_words"), F.sum(F.col("size") * preference(F.col("size"))).alias("m_liking")).checkpoint()
     sizes = homes.groupBy("m_source").agg(F.sum("m_words").alias("source_size"), F.sum("m_liking").alias("m_liking"))
     targets = source_targets(sizes.select("m_source", "source_size"), weights, budget, repeats)
     liked = F.when(F.col("source_size") > 0, F.col("m_liking") / F.col("source_size")).otherwise(0.0)
     sources = (targets.join(sizes.select(F.col("m_source").alias("s_source"), "m_liking"), same("m_source", "s_source"))
-               .select("m_source", "source_size", "target", liked.alias("m_liked")))
+               .select("m_source", "source_size", "target", liked.alias("m_liked"))).checkpoint()
 
     def at_home(numbers: DataFrame) -> DataFrame:
         """Numbers of every source, by source and slot."""
@@ -142,7 +144,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     d = ranked(meet(light, sources), repeats)
     d = d.select("doc_id", "m_source", "m_home", "size", "target", "m_whole", "m_z", slot(F.col("m_z"), 1).alias("m_one"),
                  slot(F.col("m_z"), 2).alias("m_two")).checkpoint()
-    left = d.groupBy("m_source").agg((F.first("target") - F.sum(F.col("size") * F.col("m_whole"))).alias("left"))
+    left = d.groupBy("m_source").agg((F.first("target") - F.sum(F.col("size") * F.col("m_whole"))).alias("left")).checkpoint()
     odds = d.where("m_z IS NOT NULL AND size > 0")
 
     def cut_in(rows: DataFrame, left: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         A source whose rows all fit has none."""
         left = left.withColumnRenamed("m_source", "l_source")
         words = rows.groupBy("m_source", "m_one").agg(F.sum("size").alias("m_words")).join(left, same("m_source", "l_source"))
-        one = first_over(words, "m_one", F.lit(0)).select(F.col("m_source").alias("c_source"), "left", F.col("cut").alias("one"), "before")
+        one = first_over(words, "m_one", F.lit(0)).select(F.col("m_source").alias("c_source"), "left", F.col("cut").alias("one"), "before").checkpoint()
         inside = rows.join(one, same("m_source", "c_source") & (F.col("m_one") == F.col("one")))
         words = inside.groupBy("m_source", "m_two", "left", "before").agg(F.sum("size").alias("m_words"))
         two = first_over(words, "m_two", F.col("before")).select(F.col("m_source").alias("d_source"), F.col("cut").alias("two"), F.col("before").alias("start"))
@@ -177,7 +179,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     # what is passed over there makes room for what still fits, in the same order
     fitting = ~before("first") & (F.col("size") <= F.col("first.rest"))
     more = meet(odds, first).where(fitting).drop("first").checkpoint()
-    second = as_one(cut_in(more, first.select("m_source", F.col("first.rest").alias("left"))), "second")
+    second = as_one(cut_in(more, first.select("m_source", F.col("first.rest").alias("left"))), "second").checkpoint()
     all_fit = more.groupBy(F.col("m_source").alias("a_source")).agg(F.sum("size").alias("fit"))
     second = second.withColumnRenamed("m_source", "b_source")
     cuts = (first.join(second, same("m_source", "b_source"), "left").join(all_fit, same("m_source", "a_source"), "left")
@@ -189,7 +191,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     filler = behind.groupBy(F.col("m_source").alias("f_source")).agg(F.min_by(place, F.struct(far.alias("far"), "m_z", "doc_id", "size")).alias("m_filler"))
     cuts = cuts.withColumnRenamed("m_source", "c_source")
     numbers = (sources.join(cuts, same("m_source", "c_source"), "left").drop("c_source", "m_rest")
-               .join(filler, same("m_source", "f_source"), "left").drop("f_source"))
+               .join(filler, same("m_source", "f_source"), "left").drop("f_source")).checkpoint()
     out = ranked(meet(measured([F.struct(*keep).alias("kept")]) if keep else light, numbers), repeats)
     out = out.withColumn("m_one", slot(F.col("m_z"), 1)).withColumn("m_two", slot(F.col("m_z"), 2))
     again = (F.col("size") > 0) & (taken | F.coalesce(place == F.col("m_filler"), F.lit(False)))
