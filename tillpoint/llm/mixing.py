@@ -17,9 +17,9 @@ that still fit are taken in the same order, and at last the one document
 whose size comes nearest to what is left then, if that brings the source
 nearer to its target.
 
-Ranks are found without sorting a source: ranks fall into 4096 slots, the
-slot of the cut into 4096 again, prefix sums over slots find the cut, and
-only rows of the last slot (a 2**24th of a source) are ordered.  Documents
+Ranks are found without sorting a source: ranks fall into 2**20 slots, prefix
+sums over the slots find that of the cut, and only its rows (a millionth of a
+source) are ordered.  Documents
 meet the numbers of their source by source and slot of the uniform number, so
 no source is a hot key.
 
@@ -41,7 +41,9 @@ from .common import GAP
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 REPEATS = 2
+#: Slots of the uniform number (for joins) and of the rank.
 SLOTS = 4096
+RANKS = 1 << 20
 #: Part of the room around a source's share that sizes may use, and the size of middle preference.
 FAVOUR = 0.5
 MIDDLE = 256
@@ -98,19 +100,8 @@ def ranked(d: DataFrame, repeats: int) -> DataFrame:
     return d.withColumn("m_z", F.when(part > 0, odds)).withColumn("m_z", F.col("m_z") / (1 + F.col("m_z")))
 
 
-def slot(z: Column, level: int) -> Column:
-    """Slot of a rank: the first of 4096, or the second within it."""
-    first = F.least(F.floor(z * SLOTS), F.lit(SLOTS - 1))
-    return first.cast("int") if level == 1 else F.least(F.floor((z * SLOTS - first) * SLOTS), F.lit(SLOTS - 1)).cast("int")
-
-
-def first_over(words: DataFrame, by: str, start: Column) -> DataFrame:
-    """``(m_source, left, cut, before)``: per source the first slot whose words,
-    summed from ``start``, go over ``left``, and the words before it."""
-    order = Window.partitionBy("m_source").orderBy(by)
-    upto = start + F.sum("m_words").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    w = words.withColumn("m_upto", upto).where(F.col("m_upto") > F.col("left"))
-    return w.groupBy("m_source").agg(F.min("left").alias("left"), F.min(by).alias("cut"), F.min_by(F.col("m_upto") - F.col("m_words"), by).alias("before"))
+def slot(z: Column) -> Column:
+    return F.least(F.floor(z * RANKS), F.lit(RANKS - 1)).cast("int")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS,
@@ -142,37 +133,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         return rows.join(at_home(numbers), same("m_source", "k_source") & (F.col("m_home") == F.col("k_home"))).drop("k_source", "k_home")
 
     d = ranked(meet(light, sources), repeats)
-    d = d.select("doc_id", "m_source", "m_home", "size", "target", "m_whole", "m_z", slot(F.col("m_z"), 1).alias("m_one"),
-                 slot(F.col("m_z"), 2).alias("m_two")).checkpoint()
+    d = d.select("doc_id", "m_source", "m_home", "size", "target", "m_whole", "m_z", slot(F.col("m_z")).alias("m_slot")).checkpoint()
     left = d.groupBy("m_source").agg((F.first("target") - F.sum(F.col("size") * F.col("m_whole"))).alias("left")).checkpoint()
     odds = d.where("m_z IS NOT NULL AND size > 0")
 
     def cut_in(rows: DataFrame, left: DataFrame) -> DataFrame:
-        """``(m_source, one, two, last, rest)``: where ``rows`` in order go
-        over the ``left`` words of their source, and the words missing there.
-        A source whose rows all fit has none."""
-        left = left.withColumnRenamed("m_source", "l_source")
-        words = rows.groupBy("m_source", "m_one").agg(F.sum("size").alias("m_words")).join(left, same("m_source", "l_source"))
-        one = first_over(words, "m_one", F.lit(0)).select(F.col("m_source").alias("c_source"), "left", F.col("cut").alias("one"), "before").checkpoint()
-        inside = rows.join(one, same("m_source", "c_source") & (F.col("m_one") == F.col("one")))
-        words = inside.groupBy("m_source", "m_two", "left", "before").agg(F.sum("size").alias("m_words"))
-        two = first_over(words, "m_two", F.col("before")).select(F.col("m_source").alias("d_source"), F.col("cut").alias("two"), F.col("before").alias("start"))
-        # rows of the last slot, in order; equal rows come together
+        """``(m_source, slot, last, rest)``: where ``rows`` in order go over
+        the ``left`` words of their source, and the words missing there.  A
+        source whose rows all fit has none."""
+        words = (rows.groupBy("m_source", "m_slot").agg(F.sum("size").alias("m_words"))
+                 .join(left.withColumnRenamed("m_source", "l_source"), same("m_source", "l_source")))
+        order = Window.partitionBy("m_source").orderBy("m_slot").rowsBetween(Window.unboundedPreceding, 0)
+        over = words.withColumn("m_upto", F.sum("m_words").over(order)).where(F.col("m_upto") > F.col("left"))
+        at = over.groupBy(F.col("m_source").alias("c_source")).agg(
+            F.min("left").alias("left"), F.min("m_slot").alias("slot"), F.min_by(F.col("m_upto") - F.col("m_words"), "m_slot").alias("start"))
+        # rows of that slot, in order; equal rows come together
         order = Window.partitionBy("m_source").orderBy("m_z", "doc_id", "size")
-        last = (inside.join(two, same("m_source", "d_source") & (F.col("m_two") == F.col("two")))
+        last = (rows.join(at, same("m_source", "c_source") & (F.col("m_slot") == F.col("slot")))
                 .withColumn("m_upto", F.col("start") + F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0))))
         fits = F.col("m_upto") <= F.col("left")
-        return last.groupBy("m_source", "one", "two").agg(
+        return last.groupBy("m_source", "slot").agg(
             F.max(F.when(fits, place)).alias("last"), (F.min("left") - F.coalesce(F.max(F.when(fits, F.col("m_upto"))), F.min("start"))).alias("rest"))
 
     def before(cut: str) -> Column:
         """Rows up to a cut; all of a source that has none."""
         c = F.col(cut)
-        here, there = F.struct(F.col("m_one").alias("a"), F.col("m_two").alias("b")), F.struct(c["one"].alias("a"), c["two"].alias("b"))
-        return c.isNull() | (here < there) | ((here == there) & F.coalesce(place <= c["last"], F.lit(False)))
+        return c.isNull() | (F.col("m_slot") < c["slot"]) | ((F.col("m_slot") == c["slot"]) & F.coalesce(place <= c["last"], F.lit(False)))
 
     def as_one(cut: DataFrame, name: str) -> DataFrame:
-        return cut.select("m_source", F.struct("one", "two", "last", "rest").alias(name))
+        return cut.select("m_source", F.struct("slot", "last", "rest").alias(name))
 
     place = F.struct("m_z", "doc_id", "size")
     first = as_one(cut_in(odds, left), "first").checkpoint()
@@ -193,7 +182,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     numbers = (sources.join(cuts, same("m_source", "c_source"), "left").drop("c_source", "m_rest")
                .join(filler, same("m_source", "f_source"), "left").drop("f_source")).checkpoint()
     out = ranked(meet(measured([F.struct(*keep).alias("kept")]) if keep else light, numbers), repeats)
-    out = out.withColumn("m_one", slot(F.col("m_z"), 1)).withColumn("m_two", slot(F.col("m_z"), 2))
+    out = out.withColumn("m_slot", slot(F.col("m_z")))
     again = (F.col("size") > 0) & (taken | F.coalesce(place == F.col("m_filler"), F.lit(False)))
     out = out.withColumn("copies", F.col("m_whole") + F.when(again, 1).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
