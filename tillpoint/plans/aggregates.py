@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,15 +60,17 @@ def cube_lattice(df: DataFrame, dims: list[str], sums: dict[str, Column], distin
     distinct column in this way is looked up in all the data (one row of
     booleans); over others the set goes through its own distinct values,
     taken from the smallest table that has them.  Of several parents the one
-    with the fewest rows is used."""
+    whose dimensions have the fewest members is used.  The finest grouping is
+    written; the sets above it are one query whose exchanges are shared."""
     out, d = distinct or (None, None)
     extra = [d] if d else []
     names = list(sums)
     base = df.groupBy(*dims, *extra).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).checkpoint()
+    members = base.agg(*[F.approx_count_distinct(x).alias(x) for x in dims]).first()
 
     def own(t: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
         # over no rows there is no grand total either
-        return t.groupBy(*(by or [F.lit(0).alias("__all")])).agg(*[F.sum(n).alias(n) for n in names], *aggs).checkpoint()
+        return t.groupBy(*(by or [F.lit(0).alias("__all")])).agg(*[F.sum(n).alias(n) for n in names], *aggs)
 
     depends = set(dims)
     if d:
@@ -78,26 +81,16 @@ def cube_lattice(df: DataFrame, dims: list[str], sums: dict[str, Column], distin
     full = tuple(dims)
     bases = {full: base}
     cells = {full: own(base, dims, *counted)}
-    sizes: dict[tuple, int] = {}
-
-    def smallest(tables: dict[tuple, DataFrame], among: list[tuple]) -> tuple:
-        if len(among) > 1:
-            for s in among:
-                if (id(tables), s) not in sizes:
-                    sizes[id(tables), s] = tables[s].count()
-        return min(among, key=lambda s: sizes.get((id(tables), s), 0))
-
     for width in range(len(dims) - 1, -1, -1):
         for keep in itertools.combinations(dims, width):
             gone = [x for x in dims if x not in keep]
-            parents = {x: tuple(y for y in dims if y in keep or y == x) for x in gone}
-            adds = [parents[x] for x in gone if x in depends]
+            adds = [x for x in gone if x in depends]
             if adds:
-                p = smallest(cells, adds)
-                cells[keep] = own(cells[p], list(keep), *([F.sum(out).alias(out)] if d else []))
+                x = min(adds, key=lambda x: members[x])
+                cells[keep] = own(cells[tuple(y for y in dims if y in keep or y == x)], list(keep), *([F.sum(out).alias(out)] if d else []))
             else:
-                p = smallest(bases, [s for s in bases if set(keep) < set(s)])
-                bases[keep] = own(bases[p], [*keep, *extra])
+                parent = min((s for s in bases if set(keep) < set(s)), key=lambda s: math.prod(members[x] or 1 for x in s))
+                bases[keep] = own(bases[parent], [*keep, *extra])
                 cells[keep] = own(bases[keep], list(keep), *counted)
 
     def shown(keep: tuple, t: DataFrame) -> DataFrame:
