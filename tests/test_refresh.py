@@ -7,7 +7,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SF_SMALL, rows
+from tillpoint import registry
 from tillpoint.plans.refresh import INGEST, refresh, touched_days
 
 D0 = dt.date(2024, 5, 1)
@@ -78,3 +79,17 @@ def test_nothing_landed(spark):
     out = tempfile.mkdtemp(prefix="tillpoint-refresh-")
     r = refresh(spark.createDataFrame([], SCHEMA), None, F.col("day"), build, out, "out_day")
     assert (r.days, r.emptied, r.upto) == ([], [], None)
+
+
+def test_landing_is_not_one_task_for_the_first_day(spark):
+    """Nearly all shipments arrive on one day; they are written by as many
+    tasks as read them."""
+    sf = tempfile.mkdtemp(prefix="tillpoint-sf-")
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").filter(F.col("l_shipdate") > F.lit(dt.date(2001, 7, 1)))  # few days: quick
+    lines.repartition(6).write.parquet(f"{sf}/lineitem.parquet")
+    base = spark.sparkContext.getCheckpointDir()
+    known = set(glob.glob(f"{base.removeprefix('file:')}/shipments_landed-*"))
+    registry.queries()["P3_late_arrivals_refresh_otd"](spark, sf)
+    landing, = set(glob.glob(f"{base.removeprefix('file:')}/shipments_landed-*")) - known
+    days = sorted(glob.glob(f"{landing}/{INGEST}=*"))
+    assert len(days) == 3 and len(glob.glob(f"{days[0]}/*.parquet")) > 1
