@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
-from tillpoint.operators import joins, merge, sequence
+from conftest import SF_SMALL, rows
+from tillpoint.operators import joins, keys, merge, sequence
+from tillpoint.plans import facts
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -183,3 +184,43 @@ def test_upsert_ties_do_not_depend_on_the_order_of_rows(spark):
         random.Random(seed).shuffle(changes)
         df = spark.createDataFrame(changes, "k int, t int, v string, op string").repartition(seed + 1)
         assert rows(merge.upsert(empty, df, ["k"], "t", op_col="op")) == [(1, 5, "b")]
+
+
+def counted(spark, df):
+    """``df`` and how often one of its rows was computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(look, df.schema), seen
+
+
+def test_hot_keys_compute_their_input_once(spark):
+    rows = [(7 if i % 2 else i, "a" if i % 3 else None) for i in range(300)]
+    df, seen = counted(spark, spark.createDataFrame(rows, "k long, s string"))
+    assert keys.hot_keys(df, "k", 0.2) == [7] and seen.value == 300
+    assert keys.hot_keys_of(df, ["k", "s"], 0.2) == {"k": [7], "s": ["a"]} and seen.value == 600
+    assert keys.hot_keys_of(df.filter("k < 0"), ["k", "s"]) == {"k": [], "s": []}
+
+
+def test_sales_load_computes_the_landing_once_for_both_lookups(spark):
+    raw = spark.createDataFrame(
+        [(str(i), f"SKU{i % 3}", None, i, "2001-01-02 03:04:05", 1.5, str(i % 2), "UK", "20010102") for i in range(50)],
+        "invoice_no string, stock_code string, description string, quantity long, invoice_date string, unit_price double, "
+        "customer_id string, country string, date_ts string")
+    raw, seen = counted(spark, raw)
+    customers = spark.createDataFrame([("1", 11)], "customer_id string, customer_sk long")
+    products = spark.createDataFrame([("SKU2", 22)], "stock_code string, product_sk long")
+    loaded = facts.fact_sales_load(raw, customers, products)
+    assert seen.value == 50
+    found = sorted((int(r.invoice_no), r.customer_sk, r.product_sk) for r in loaded.collect())
+    assert found == [(i, 11 if i % 2 else None, 22 if i % 3 == 2 else None) for i in range(50)]
+
+
+def test_sale_lines_are_joined_to_orders_without_a_sort(spark):
+    from tillpoint.sources import testdata as td
+    text = td.fact_sales(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text and "Sort [l_orderkey" not in text

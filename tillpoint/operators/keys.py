@@ -39,14 +39,28 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str, start: int = 0)
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     """Non-NULL values of ``key`` holding more than ``share`` of the rows.
     At most 1 / share values can, so the list brought to the driver is
-    bounded (100 keys at 1 %) whatever the size of ``df``.  One job: the
-    total and the largest counts come from the same grouped count."""
-    counts = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-    most = counts.filter(F.col("__k").isNotNull()).orderBy(F.desc("__n")).limit(int(1 / share)).select("__k", "__n", F.lit(False).alias("__all"))
-    total = counts.agg(F.sum("__n").alias("__n")).select(F.lit(None).cast(df.schema[key].dataType).alias("__k"), "__n", F.lit(True).alias("__all"))
+    bounded (100 keys at 1 %) whatever the size of ``df``."""
+    return hot_keys_of(df, [key], share)[key]
+
+
+def hot_keys_of(df: DataFrame, keys: list[str], share: float = 0.01) -> dict[str, list]:
+    """:func:`hot_keys` of several columns from one reading of ``df``.  One
+    job: the total and the largest counts come from the same grouped count.
+    Nothing is filtered above it, as a filter would go below the count on one
+    side only, and ``df`` would be computed twice; the NULL counts are passed
+    over here."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    counts = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).groupingSets([[n] for n in names], *names).agg(
+        F.count(F.lit(1)).alias("__n"), F.grouping_id().cast("int").alias("__set"))
+    most = counts.orderBy(F.desc("__n")).limit((int(1 / share) + 1) * len(keys)).select(*names, "__n", "__set")
+    # every row is counted once per key
+    total = counts.agg((F.sum("__n") / len(keys)).cast("bigint").alias("__n")).select(
+        *[F.lit(None).cast(df.schema[k].dataType).alias(n) for k, n in zip(keys, names)], "__n", F.lit(-1).alias("__set"))
     found = most.unionByName(total).collect()
-    least = next(r["__n"] or 0 for r in found if r["__all"]) * share
-    return [r["__k"] for r in found if not r["__all"] and r["__n"] > least]
+    least = next(r["__n"] or 0 for r in found if r["__set"] < 0) * share
+    every = (1 << len(keys)) - 1
+    return {k: [r[n] for r in found if r["__set"] == every - (1 << (len(keys) - 1 - i)) and r[n] is not None and r["__n"] > least]
+            for i, (k, n) in enumerate(zip(keys, names))}
 
 
 SALTS = 64
@@ -62,17 +76,19 @@ def orderable(t: T.DataType) -> bool:
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "left",
-                share: float = 0.01, salts: int = SALTS) -> DataFrame:
+                share: float = 0.01, salts: int = SALTS, hot: list | None = None) -> DataFrame:
     """``fact`` joined (left or inner) to ``dim`` whose ``dim_key`` is unique
     (key names must differ).  Rows of keys with more than ``share`` of the
     facts (:func:`hot_keys`) and rows without a key are spread over ``salts``
     by a hash of the row, and the few dimension rows of those keys are copied
     to every salt; all else has salt 0.  So it is one join, no key with a
     third of the facts is shuffled into one task, and the fact is read once
-    for the counts (the key column alone) and once for the join."""
+    for the counts (the key column alone; not if ``hot`` names the keys) and
+    once for the join."""
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup is a left or inner join, not {how}")
-    hot = hot_keys(fact.select(fact_key), fact_key, share)
+    if hot is None:
+        hot = hot_keys(fact.select(fact_key), fact_key, share)
     row = F.pmod(F.xxhash64(*[f.name for f in fact.schema.fields if orderable(f.dataType)]), F.lit(salts)).cast("int")
     spread = F.col(fact_key).isNull() | F.col(fact_key).isin(hot) if hot else F.col(fact_key).isNull()
     f = fact.withColumn("__salt", F.when(spread, row).otherwise(0))
