@@ -104,7 +104,8 @@ def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(15,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
     qty = F.col("l_quantity").cast("bigint")
-    return li.join(oc, li.l_orderkey == oc.o_orderkey).select(
+    # one row per order: hashed, so the lines need no sort
+    return li.join(oc.hint("shuffle_hash"), li.l_orderkey == oc.o_orderkey).select(
         F.col("l_orderkey").cast("string").alias("invoice_no"),
         F.col("o_custkey").alias("customer_sk"),
         F.col("l_partkey").alias("product_sk"),
