@@ -69,3 +69,10 @@ def test_v4_ranks_without_single_partition_over_rows(spark):
     # single-partition windows run over per-bucket counts (one row per bucket)
     windows = [ln for ln in text.splitlines() if ln.strip().startswith("Arguments:") and "rank(" in ln]
     assert windows and all("__rank_bucket" in ln for ln in windows)
+
+
+def test_b1_feed_is_dealt_before_it_is_unpivoted(spark):
+    """The unpivoted rows of one large file are not counted in one task."""
+    text = plan(ent.queries()["B1_bridge_product_attribute"](spark, SF_SMALL))
+    below = text.split("unpivot" if "unpivot" in text else "attribute_name")[-1]
+    assert re.search(r"Exchange hashpartitioning\(sku#\d+, feed_date#\d+", below)

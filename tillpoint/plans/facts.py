@@ -302,7 +302,10 @@ def bridge_product_attribute(feed: DataFrame) -> DataFrame:
     """Attributes unpivoted to rows (normalised text); when feeds disagree
     the value of the newest feed is the primary one; sort_order follows
     PRODUCT_ATTRIBUTES."""
-    norm = feed.select("sku", "feed_date", *[F.lower(F.trim(a)).alias(a) for a in PRODUCT_ATTRIBUTES])
+    # dealt before the rows are multiplied: the first step of the count keeps
+    # a row per value it meets, and one task may read a whole feed
+    dealt = feed.select("sku", "feed_date", *PRODUCT_ATTRIBUTES).repartition("sku", "feed_date")
+    norm = dealt.select("sku", "feed_date", *[F.lower(F.trim(a)).alias(a) for a in PRODUCT_ATTRIBUTES])
     u = norm.unpivot(["sku", "feed_date"], PRODUCT_ATTRIBUTES, "attribute_name", "attribute_value")
     g = u.filter(F.col("attribute_value").isNotNull()).groupBy("sku", "attribute_name", "attribute_value").agg(
         F.max("feed_date").alias("__last"))
