@@ -86,3 +86,22 @@ def test_addresses_in_any_order(spark):
     part = F.pmod(F.xxhash64("ts"), F.lit(2))
     got = st.customer_address_history_spliced([snapshots.filter(part == 1), snapshots.filter(part == 0)])
     assert rows(got) == rows(st.customer_address_history(snapshots))
+
+
+def test_a_step_is_computed_once_and_a_replay_joins_nothing(spark):
+    seen_rows = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen_rows.add(b.num_rows)
+            yield b
+
+    snapshots = [("x", at(h), "AB"[h % 2], h) for h in range(6)]
+    batch, seen = spark.createDataFrame(snapshots, SCHEMA), spark.createDataFrame([], "k string, ts timestamp_ntz")
+    counted = spark.createDataFrame([], HISTORY)
+    history, seen = scd2_splice(counted, seen, batch, ["k"], "ts", ["a", "b"])
+    before = rows(history, *COLS)
+    watched = history.mapInArrow(look, history.schema)
+    replayed, _ = scd2_splice(watched, seen, batch, ["k"], "ts", ["a", "b"])
+    assert seen_rows.value == len(before) == 6
+    assert "Join" not in replayed._jdf.queryExecution().executedPlan().toString() and rows(replayed, *COLS) == before

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import checked
+from ..session import written
 from .keys import orderable, spread_hot
 from .sequence import last_known, next_value, prev_value, row_number_in_key
 
@@ -106,10 +107,10 @@ def scd2_from_changes(snapshots: DataFrame, keys: list[str], ts_col: str, tracke
     changes = changes.withColumn(
         "change_reason", F.when(F.col("__prev_h").isNull(), F.lit(reason_first)).otherwise(F.lit(reason_change)))
     # Each two-level step reads its input twice; cutting lineage between
-    # steps (reliable checkpoint in the shared checkpoint folder) keeps the
+    # steps (scratch tables in the shared checkpoint folder) keeps the
     # plan linear and makes a lost executor recompute one step, not all.
-    changes = next_value(changes.checkpoint(eager=True), keys, order, ts_col, "eff_to")
-    changes = row_number_in_key(changes.checkpoint(eager=True), keys, order, "version")
+    changes = next_value(written(changes), keys, order, ts_col, "eff_to")
+    changes = row_number_in_key(written(changes), keys, order, "version")
     out = changes.withColumnRenamed(ts_col, "eff_from").withColumn(
         "is_current", F.col("eff_to").isNull()).drop("__h", "__prev_h")
     if key_id:
@@ -181,34 +182,37 @@ def scd2_splice(history: DataFrame, seen: DataFrame, incoming: DataFrame, keys:
     suffice.  Only keys of the batch are worked on; versions of others pass
     through.  Snapshots that were seen before change nothing; of several of
     one key and time in a batch the largest by its attributes counts."""
-    history, seen = history.checkpoint(eager=True), seen.checkpoint(eager=True)
+    history, seen = written(history), written(seen)
     attrs = F.struct(*tracked)
     new = incoming.groupBy(*keys, ts_col).agg(F.max(attrs).alias("__a"))
     old, same = _same_keys(new, seen, keys, "__o_")
-    new = new.join(old.withColumnRenamed(ts_col, "__o_ts"), [*same, new[ts_col] == F.col("__o_ts")], "left_anti").checkpoint(eager=True)
-    touched = new.select(*keys).distinct()
+    new = written(new.join(old.withColumnRenamed(ts_col, "__o_ts"), [*same, new[ts_col] == F.col("__o_ts")], "left_anti"))
+    if new.isEmpty():
+        return history, seen.select(*keys, ts_col)
+    touched = written(new.select(*[F.col(k).alias(f"__t_{k}") for k in keys]).distinct().withColumn("__hit", F.lit(True)))
 
-    def of_touched(df: DataFrame, how: str) -> DataFrame:
-        renamed = touched.withColumnsRenamed({k: f"__t_{k}" for k in keys})
-        salted, t, same = spread_hot(df, renamed, keys, [f"__t_{k}" for k in keys])
+    def with_touched(df: DataFrame, how: str) -> DataFrame:
+        salted, t, same = spread_hot(df, touched, keys, [f"__t_{k}" for k in keys])
         return salted.join(t, same, how).drop("__salt")
 
-    begun = of_touched(history, "left_semi").select(*keys, F.col("eff_from").alias("__from"), attrs.alias("__a"))
-    times = of_touched(seen, "left_semi").select(*keys, ts_col)
+    # one pass tells the versions to work on from those that pass through
+    marked = written(with_touched(history, "left").select(*history.columns, "__hit"))
+    begun = marked.filter("__hit").select(*keys, F.col("eff_from").alias("__from"), attrs.alias("__a"))
+    times = with_touched(seen, "left_semi").select(*keys, ts_col)
     b, same = _same_keys(times, begun, keys, "__b_")
     times = times.join(b, [*same, times[ts_col] == F.col("__from")], "left").select(
         *keys, ts_col, "__a", F.lit(False).alias("__new"))
     line = times.unionByName(new.withColumn("__new", F.lit(True)))
-    line = line.withColumn("__known", F.when(~F.col("__new"), F.col("__a"))).checkpoint(eager=True)
+    line = written(line.withColumn("__known", F.when(~F.col("__new"), F.col("__a"))))
     line = last_known(line, keys, [ts_col], {"__version": "__known"})
     line = line.withColumn("__a", F.when(F.col("__new"), F.col("__a")).otherwise(F.col("__version"))).select(*keys, ts_col, "__a")
-    line = prev_value(line.checkpoint(eager=True), keys, [ts_col], "__a", "__before")
-    starts = line.filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__a"))).checkpoint(eager=True)
-    starts = next_value(starts, keys, [ts_col], ts_col, "eff_to").checkpoint(eager=True)
+    line = prev_value(written(line), keys, [ts_col], "__a", "__before")
+    starts = written(line.filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__a"))))
+    starts = written(next_value(starts, keys, [ts_col], ts_col, "eff_to"))
     starts = row_number_in_key(starts, keys, [ts_col], "version")
     made = starts.select(
         *keys, *[F.col(f"__a.{c}").alias(c) for c in tracked], F.col(ts_col).alias("eff_from"), "eff_to",
         F.col("eff_to").isNull().alias("is_current"),
         F.when(F.col("version") == 1, reason_first).otherwise(reason_change).alias("change_reason"), "version")
-    return (of_touched(history, "left_anti").select(made.columns).unionByName(made),
+    return (marked.filter("__hit IS NULL").select(made.columns).unionByName(made),
             seen.select(*keys, ts_col).unionByName(new.select(*keys, ts_col)))

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package relies on.  UTC matters for
 # unix_seconds(cast(ntz as timestamp)) (V11); AQE gives runtime broadcast
@@ -77,3 +77,13 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     that lives as long as the job."""
     base = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a scratch table, read back: cuts lineage as a reliable
+    checkpoint does, but computes ``df`` once (an eager checkpoint counts the
+    rows first and computes the last stage again to save it), takes less
+    space, and readers get only the columns they use."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
