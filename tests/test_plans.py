@@ -76,3 +76,9 @@ def test_b1_feed_is_dealt_before_it_is_unpivoted(spark):
     text = plan(ent.queries()["B1_bridge_product_attribute"](spark, SF_SMALL))
     below = text.split("unpivot" if "unpivot" in text else "attribute_name")[-1]
     assert re.search(r"Exchange hashpartitioning\(sku#\d+, feed_date#\d+", below)
+
+
+def test_a1_sets_with_the_largest_dimension_share_its_exchange(spark):
+    text = plan(ent.queries()["A1_sales_cube"](spark, SF_SMALL))
+    assert re.search(r"Exchange hashpartitioning\(product_sk#\d+L?, \d+\)", text)
+    assert not re.search(r"Exchange hashpartitioning\((country|month_key)#\d+L?, product_sk#\d+L?, \d+\)", text)

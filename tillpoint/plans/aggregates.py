@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import decimal_ratio
 from ..operators.joins import trailing_agg
+from ..session import written
 
 
 # B2 -------------------------------------------------------------------------
@@ -61,11 +62,14 @@ def cube_lattice(df: DataFrame, dims: list[str], sums: dict[str, Column], distin
     booleans); over others the set goes through its own distinct values,
     taken from the smallest table that has them.  Of several parents the one
     whose dimensions have the fewest members is used.  The finest grouping is
-    written; the sets above it are one query whose exchanges are shared."""
+    written; the sets above it are one query whose exchanges are shared.  The
+    cells of all dimensions are dealt once by the dimension with the most
+    members, so no set with that dimension needs an exchange of its own; a
+    member has at most a row per combination of the others there."""
     out, d = distinct or (None, None)
     extra = [d] if d else []
     names = list(sums)
-    base = df.groupBy(*dims, *extra).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).checkpoint()
+    base = written(df.groupBy(*dims, *extra).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "cube")
     members = base.agg(*[F.approx_count_distinct(x).alias(x) for x in dims]).first()
 
     def own(t: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
@@ -80,7 +84,7 @@ def cube_lattice(df: DataFrame, dims: list[str], sums: dict[str, Column], distin
     counted = [F.count(d).alias(out)] if d else []
     full = tuple(dims)
     bases = {full: base}
-    cells = {full: own(base, dims, *counted)}
+    cells = {full: own(base, dims, *counted).repartition(max(dims, key=lambda x: members[x] or 0))}
     for width in range(len(dims) - 1, -1, -1):
         for keep in itertools.combinations(dims, width):
             gone = [x for x in dims if x not in keep]
