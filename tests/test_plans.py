@@ -82,3 +82,10 @@ def test_a1_sets_with_the_largest_dimension_share_its_exchange(spark):
     text = plan(ent.queries()["A1_sales_cube"](spark, SF_SMALL))
     assert re.search(r"Exchange hashpartitioning\(product_sk#\d+L?, \d+\)", text)
     assert not re.search(r"Exchange hashpartitioning\((country|month_key)#\d+L?, product_sk#\d+L?, \d+\)", text)
+
+
+def test_f6b_steps_stay_where_the_running_stock_put_them(spark):
+    """Movements go through one exchange, openings through three, days through one."""
+    text = plan(ent.queries()["F6b_inventory_daily_snapshot"](spark, SF_SMALL))
+    assert len(re.findall(r"Exchange hashpartitioning\(", text)) <= 5
+    assert not re.search(r"Exchange hashpartitioning\([^)]*hour", text) and "posexplode" not in text

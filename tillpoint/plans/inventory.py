@@ -21,11 +21,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sequence import running
-
 KEY = ["sku", "warehouse_id"]
 # Fixed values (ours): what a unit of a movement type adds to stock, to
 # allocations and to goods under way.  Other types change nothing.
@@ -49,9 +47,15 @@ def daily_states(movements: DataFrame) -> DataFrame:
     """State after every day with movements, and the next such day.  Rows
     without a sku, warehouse or time are left out."""
     m = movements.filter("sku IS NOT NULL AND warehouse_id IS NOT NULL AND movement_ts IS NOT NULL").select(
-        *KEY, "movement_id", "movement_ts", F.col("unit_cost").cast("double").alias("u"),
+        *KEY, F.to_date("movement_ts").alias("day"), "movement_id", "movement_ts", F.col("unit_cost").cast("double").alias("u"),
         *[_effect(i).cast("bigint").alias(n) for i, n in enumerate(("stock", "allocated", "under_way"))])
-    m = running(m, KEY, ["movement_ts", "movement_id"], sums={"after": "stock"})
+    # the running stock, within a day and from day to day; rows stay where
+    # this window put them (by key and day) up to the steps of a day
+    within = Window.partitionBy(*KEY, "day").orderBy("movement_ts", "movement_id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    opening = m.groupBy(*KEY, "day").agg(F.sum("stock").alias("total")).select(
+        *KEY, "day", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("opening"))
+    m = m.withColumn("local", F.sum("stock").over(within)).join(opening, [*KEY, "day"]).withColumn("after", F.col("local") + F.col("opening"))
     before, x, u = F.col("after") - F.col("stock"), F.col("stock"), F.col("u")
     receipt = (x > 0) & u.isNotNull()
     onto = before > 0
@@ -59,9 +63,8 @@ def daily_states(movements: DataFrame) -> DataFrame:
     step = F.when(receipt, F.struct(
         "movement_ts", "movement_id", F.when(onto, before / total).otherwise(F.lit(0.0)).alias("keep"),
         F.when(onto, x * u / total).otherwise(u).alias("add"), u.alias("u")))
-    day = F.to_date("movement_ts")
     sums = [F.sum(c).alias(c) for c in ("stock", "allocated", "under_way")]
-    hours = m.groupBy(*KEY, day.alias("day"), F.hour("movement_ts").alias("hour")).agg(
+    hours = m.groupBy(*KEY, "day", F.hour("movement_ts").alias("hour")).agg(
         F.array_sort(F.collect_list(step)).alias("steps"), *sums, F.max("movement_ts").alias("last_ts")).select(
         *KEY, "day", "hour", _composed(F.col("steps")).alias("step"), F.get("steps", F.lit(0))["u"].alias("u"),
         "stock", "allocated", "under_way", "last_ts")
@@ -86,8 +89,9 @@ def daily_states(movements: DataFrame) -> DataFrame:
     # before its first receipt a key is valued at the cost of that receipt
     start = F.struct(zero.alias("on_hand"), zero.alias("allocated"), zero.alias("in_transit"), F.col("first_cost").alias("cost"), none.alias("out"))
     states = keys.select(*KEY, F.aggregate("days", start, after, lambda acc: acc["out"]).alias("states"))
-    at = states.select(*KEY, "states", F.posexplode("states").alias("i", "s"))
-    return at.select(*KEY, "s.*", F.get("states", F.col("i") + 1)["day"].alias("next_day"))
+    fields = ("day", "on_hand", "allocated", "in_transit", "cost", "last_ts")
+    return states.select(*KEY, F.inline(F.transform("states", lambda s, i: F.struct(
+        *[s[c].alias(c) for c in fields], F.get(F.col("states"), i + 1)["day"].alias("next_day")))))
 
 
 def inventory_daily_snapshot(movements: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
@@ -98,9 +102,11 @@ def inventory_daily_snapshot(movements: DataFrame, first: dt.date, last: dt.date
     s = daily_states(movements)
     begin = F.greatest("day", F.lit(first))
     end = F.least(F.coalesce(F.date_sub("next_day", 1), F.lit(last)), F.lit(last))
-    grid = s.filter(begin <= end).withColumn("snapshot_date", F.explode(F.sequence(begin, end)))
-    return grid.select(
+    # all that is the same on every day of a state comes before its days
+    rows = s.filter(begin <= end).select(
         "sku", F.substring("warehouse_id", 3, 10).cast("bigint").alias("warehouse_sk"), F.col("on_hand").alias("on_hand_units"),
         F.col("allocated").alias("allocated_units"), F.col("in_transit").alias("in_transit_units"),
         (F.col("on_hand") - F.col("allocated")).alias("available_units"),
-        F.round(F.col("cost") + 1e-9, 4).cast("decimal(12,4)").alias("avg_cost"), F.col("last_ts").alias("last_movement_ts"), "snapshot_date")
+        F.round(F.col("cost") + 1e-9, 4).cast("decimal(12,4)").alias("avg_cost"), F.col("last_ts").alias("last_movement_ts"),
+        F.sequence(begin, end).alias("days"))
+    return rows.select(*[c for c in rows.columns if c != "days"], F.explode("days").alias("snapshot_date"))
