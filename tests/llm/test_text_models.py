@@ -15,6 +15,7 @@ import corpus_pipeline
 from tillpoint.llm import catalog
 from tillpoint.llm.chat import escape, format_windows, read_back, unescape, with_control_case
 from tillpoint.llm.fingerprints import fingerprint_report, fingerprints, within_radius
+from tillpoint.llm.mixing import mix
 from tillpoint.llm.quality import featurised, fit, passing, scored
 
 
@@ -238,6 +239,16 @@ def test_pipeline_stages(spark, docs, docs_rows):
             assert stage(spark, docs.limit(0), SF_SMALL).count() == 0, name
 
 
+def test_mixture_repeats_rows_on_a_small_plan(spark, make):
+    """A row for each copy, and no join or filter that holds the formula of the copies."""
+    docs = make([(k, "word " * (10 + k % 50), "abc"[(k >= 100) + (k >= 120)]) for k in range(200)])
+    taken = {r.kept.doc_id: r.copies for r in mix(docs, keep=tuple(docs.columns)).collect()}
+    out = corpus_pipeline.mixture(spark, docs, SF_SMALL)
+    assert 0 in taken.values() and max(taken.values()) > 1
+    assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter(taken)  # a count of 0 equals none
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
 def test_run_applies_the_stages_in_order(spark, monkeypatch):
     calls = []
 
