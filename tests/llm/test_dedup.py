@@ -167,6 +167,38 @@ def test_a_dense_group_around_the_threshold(make):
     assert 5 < len({r[2] for r in want}) < 85
 
 
+@pytest.mark.parametrize("partners", [(4, 8), (0,)])
+def test_pairs_around_a_pivot_lose_no_link(make, docs_rows, monkeypatch, partners):
+    """With pivots of few nodes, all that the hubs leave goes by its differences."""
+    monkeypatch.setattr(nd, "DENSE", 3)
+    monkeypatch.setattr(nd, "PARTNERS", partners)
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    other = base[:100] + [f"o{k}" for k in range(50)]  # not similar to the base, but copies of it are to one another
+    rows = docs_rows + chained() + [(5000 + i, edited(rng, base if i % 3 else other, rng.choice((0.02, 0.05, 0.08, 0.12))), "a") for i in range(120)]
+    assert plain(near_dedup(make(rows))) == grouped(near_rows([(i, t) for i, t, _ in rows], 2))
+
+
+def test_far_nodes_do_not_meet_a_whole_group(make, monkeypatch):
+    """Texts without a partner, in a group around one text: few of their pairs are compared."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base), "a")] + [(i, edited(rng, base, 0.02 if i % 4 else 0.13), "a") for i in range(1, 241)]
+    pairs, grid = [], nd.written
+
+    def noted(df):
+        out = grid(df)
+        if out.columns == ["hub", "node"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "written", noted)
+    got = plain(near_dedup(make(rows)))
+    assert got == grouped(near_rows([(i, t) for i, t, _ in rows], 2))
+    alone = sum(r[2] == r[0] for r in got)
+    assert alone > 30 and pairs[-1] < alone * 240 / 20
+
+
 def test_rows_of_one_id_and_without_an_id(make):
     text = " ".join(f"word{k}" for k in range(60))
     rows = [(5, text, "a"), (5, text + " more", "a"), (5, "aaa first of its id", "a"), (9, "aaa first of its id", "a"), (None, text, "a"), (None, text, "b"),

@@ -21,10 +21,19 @@ full sketches too.
    is the hub (the one that meets most others over all its bands, as the
    text does that a group was copied from; then one by hash), and a node
    tries the hubs it meets most often and is not yet connected to.  Only
-   pairs that still lead from one component to another are compared after
-   that, all of them, so no link that matters is left out.  They are dealt
-   over a grid, a row and a column per node, so a set goes to about twice
-   the square root of the shards, however many pairs it is in.
+   pairs that still lead from one component to another matter after that.
+4. *Around a pivot.*  Many of them lie in one large group, whose nodes meet
+   one popular node, their pivot.  There a node is what its set and the
+   pivot's do not share.  Two sets are similar only if they have enough of
+   these differences in common, and that takes at least one unless both are
+   linked with the pivot.  Differences are ranked, rare ones first; a pair
+   is compared if its first common one leaves enough behind it.  This drops
+   no similar pair, and nodes that only have the pivot's words in common
+   never meet.
+5. *The rest.*  Pairs of other pivots, or none, are compared if they agree on
+   two bands, all of them, so no link that matters is left out.  They are
+   dealt over a grid, a row and a column per node, so a set goes to about
+   twice the square root of the shards, however many pairs it is in.
 
 Defined results: words are lower-cased (A-Z) runs of other than white space;
 a text of fewer words than a shingle is one shingle; a text without words is
@@ -41,7 +50,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -65,6 +74,8 @@ MARGIN = 0.15
 PARTNERS = (4, 8)
 #: Documents compared with one hub in one task.
 FANOUT = 500
+#: Nodes that make one a pivot.
+DENSE = 50
 SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 SKETCHED = "dest int, bucket int, kind int, a binary, b binary, c binary, d binary"
 
@@ -217,8 +228,8 @@ def send_sets(left: pa.Table, right: pa.Table, size: int, shards: int) -> pa.Tab
     return blobs(rows)
 
 
-def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
-    """Pairs (hub, document) whose full sets are similar enough."""
+def brought(tab: pa.Table) -> tuple[dict, dict, dict]:
+    """Sets and sketches of a shard's documents, and the documents of each hub."""
     sets, regs, asked = {}, {}, {}
     for a, b, c, d in zip(*(column(tab, k).to_pylist() for k in "abcd")):
         sizes, vals = unpack(b, np.int64).reshape(-1, 2), unpack(c, np.uint64)
@@ -229,6 +240,12 @@ def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
         for hub, doc in unpack(a, np.int64).reshape(-1, 2).tolist():
             if hub != doc:
                 asked.setdefault(hub, []).append(doc)
+    return sets, regs, asked
+
+
+def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
+    """Pairs (hub, document) whose full sets are similar enough."""
+    sets, regs, asked = brought(tab)
     out = []
     num, den = similar
     for hub, docs in asked.items():
@@ -247,6 +264,25 @@ def link_shard(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
+def differences(tab: pa.Table, similar: tuple[int, int]) -> pa.Table:
+    """What only one of a pivot's and its node's sets holds, a row each;
+    ``far``: the two are not similar enough."""
+    sets, _, asked = brought(tab)
+    num, den = similar
+    about, each = [], []
+    for pivot, docs in asked.items():
+        s = sets[pivot]
+        for doc in set(docs):
+            t = sets[doc]
+            each.append(np.setxor1d(s, t, assume_unique=True))
+            both = (len(s) + len(t) - len(each[-1])) // 2
+            about.append((pivot, doc, len(t), len(each[-1]), den * both < num * (len(s) + len(t) - both)))
+    cols = np.repeat(np.array(about, np.int64).reshape(-1, 5), [len(e) for e in each], axis=0)
+    element = np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.table({"pivot": cols[:, 0], "node": cols[:, 1], "size": cols[:, 2], "diff": cols[:, 3],
+                     "far": cols[:, 4].astype(bool), "element": element})
+
+
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``(band, node, label)`` of the bands whose nodes are not all of one
     component."""
@@ -275,11 +311,14 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     popular = members.groupBy("node").agg(F.sum("met").alias("popular"))
     members = written(members.join(popular, "node").select("band", "node", "popular"))
 
-    def linked(asked: DataFrame) -> DataFrame:
-        """Links ``(a, b)`` among what ``asked(doc, hub, shard)`` brings together."""
+    def sent(asked: DataFrame) -> GroupedData:
+        """The sets that ``asked(doc, hub, shard)`` brings together."""
         return (dealt.groupBy("bucket").cogroup(asked.withColumn("bucket", bucket_of(F.col("doc"), buckets)).groupBy("bucket"))
-                .applyInArrow(lambda a, b: send_sets(a, b, shingle, shards), SKETCHED)
-                .groupBy("dest").applyInArrow(lambda t: link_shard(t, similar), "a long, b long"))
+                .applyInArrow(lambda a, b: send_sets(a, b, shingle, shards), SKETCHED).groupBy("dest"))
+
+    def linked(asked: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` among them."""
+        return sent(asked).applyInArrow(lambda t: link_shard(t, similar), "a long, b long")
 
     def with_hubs(pairs: DataFrame) -> DataFrame:
         """``pairs(hub, node)``: a shard per hub and ``FANOUT`` of its nodes."""
@@ -321,18 +360,53 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
         labels = components(links)
         now = written(unsettled(members, labels))
 
+    def around(told: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs ``(x, y)`` of one pivot and two labels that have enough differences in common, if any have."""
+        num, den = similar
+        often = told.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("often"))
+        place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "element"))
+        # similar: 2 * common * (den + num) >= the sum of both slacks; room is what there is from a difference on
+        rows = told.withColumn("slack", (den + num) * F.col("diff") - (den - num) * F.col("size"))
+        low = rows.groupBy("pivot").agg(F.min("slack").alias("low"), F.min(F.when(F.col("far"), F.col("slack"))).alias("far_low"))
+        rows = (rows.join(often, ["pivot", "element"]).withColumn("room", 2 * (den + num) * (1 + F.col("diff") - place))
+                .where("often > 1").join(low, "pivot").join(label, "node"))
+        x = rows.where("far AND room >= slack + low").select("pivot", "element", F.col("node").alias("x"), F.col("label").alias("x_label"),
+                                                             F.col("slack").alias("x_slack"), F.col("room").alias("x_room"))
+        y = rows.where("room >= slack + far_low").select("pivot", "element", "node", "label", "slack", "room", "far")
+        return (x.join(y, ["pivot", "element"])
+                .where("x_label <> label AND least(x_room, room) >= x_slack + slack AND (NOT far OR x < node)")
+                .select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct())
+
     # What still leads from one component to another: all of it, without the pairs within a component.
-    most = (now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
-            .agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main")))
-    now = now.join(most, "band")
-    rest = now.where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    across = (rest.join(now, "band").where((F.col("x_label") != F.col("label"))
-                                           & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node"))))
+    centre = now.groupBy("band").agg(F.max(F.struct("popular", -F.col("node"))).alias("centre"))
+    pivot = now.join(centre, "band").groupBy("node").agg((-F.max("centre")["col2"]).alias("pivot"))
+    dense = pivot.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DENSE).select("pivot")
+    pivot = written(pivot.join(dense, "pivot").select("node", "pivot"))
+    now = written(now.join(pivot, "node", "left"))
+    kinds = now.groupBy("band", "label", "pivot").agg(F.count(F.lit(1)).alias("n"))
+
+    def largest(kind: str) -> DataFrame:
+        """Of a band the kind that most nodes have, and how many."""
+        return (kinds.where(F.col(kind).isNotNull()).groupBy("band", kind).agg(F.sum("n").alias("n"))
+                .groupBy("band").agg(F.max(F.struct("n", F.col(kind).alias("of"))).alias(f"most_{kind}")))
+
+    # one side of the pairs: those aside of the largest component, or of the largest group around a pivot
+    by_pivot = F.coalesce(F.col("most_pivot.n") > F.col("most_label.n"), F.lit(False))
+    aside = F.when(by_pivot, ~F.col("pivot").eqNullSafe(F.col("most_pivot.of"))).otherwise(F.col("label") != F.col("most_label.of"))
+    now = (now.join(largest("label"), "band").join(largest("pivot"), "band", "left")
+           .select("band", "node", "label", "pivot", aside.alias("aside")))
+    rest = now.where("aside").select("band", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("pivot").alias("x_pivot"))
+    across = (rest.join(now, "band").where("x_label <> label AND coalesce(x_pivot <> pivot, true) AND (NOT aside OR x < node)")
               .groupBy(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).count()
-              .where(F.col("count") >= AGREE).select("x", "y").join(tested, ["x", "y"], "left_anti")
-              .select(F.col("x").alias("hub"), F.col("y").alias("node")))
-    across = written(across)
-    if not across.isEmpty():
+              .where(F.col("count") >= AGREE).select("x", "y"))
+    crowded = not pivot.isEmpty()
+    if crowded:
+        told = written(sent(with_hubs(pivot.where("node <> pivot").select(F.col("pivot").alias("hub"), "node")))
+                       .applyInArrow(lambda t: differences(t, similar), "pivot long, node long, size long, diff long, far boolean, element long"))
+        links = links.union(told.where("NOT far").select("pivot", "node").distinct())
+        across = across.union(around(told, now.select("node", "label").distinct()))
+    across = written(across.join(tested, ["x", "y"], "left_anti").select(F.col("x").alias("hub"), F.col("y").alias("node")))
+    if crowded or not across.isEmpty():
         labels = components(links.union(written(linked(on_a_grid(across)))))
     final = nodes.join(labels, "node", "left").select("doc", F.coalesce("label", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
