@@ -368,8 +368,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
         # similar: 2 * common * (den + num) >= the sum of both slacks; room is what there is from a difference on
         rows = told.withColumn("slack", (den + num) * F.col("diff") - (den - num) * F.col("size"))
         low = rows.groupBy("pivot").agg(F.min("slack").alias("low"), F.min(F.when(F.col("far"), F.col("slack"))).alias("far_low"))
-        rows = (rows.join(often, ["pivot", "element"]).withColumn("room", 2 * (den + num) * (1 + F.col("diff") - place))
-                .where("often > 1").join(low, "pivot").join(label, "node"))
+        rows = written(rows.join(often, ["pivot", "element"]).withColumn("room", 2 * (den + num) * (1 + F.col("diff") - place))
+                       .where("often > 1").join(low, "pivot").join(label, "node"))
         x = rows.where("far AND room >= slack + low").select("pivot", "element", F.col("node").alias("x"), F.col("label").alias("x_label"),
                                                              F.col("slack").alias("x_slack"), F.col("room").alias("x_room"))
         y = rows.where("room >= slack + far_low").select("pivot", "element", "node", "label", "slack", "room", "far")
@@ -393,8 +393,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
     # one side of the pairs: those aside of the largest component, or of the largest group around a pivot
     by_pivot = F.coalesce(F.col("most_pivot.n") > F.col("most_label.n"), F.lit(False))
     aside = F.when(by_pivot, ~F.col("pivot").eqNullSafe(F.col("most_pivot.of"))).otherwise(F.col("label") != F.col("most_label.of"))
-    now = (now.join(largest("label"), "band").join(largest("pivot"), "band", "left")
-           .select("band", "node", "label", "pivot", aside.alias("aside")))
+    now = written(now.join(largest("label"), "band").join(largest("pivot"), "band", "left")
+                  .select("band", "node", "label", "pivot", aside.alias("aside")))
     rest = now.where("aside").select("band", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("pivot").alias("x_pivot"))
     across = (rest.join(now, "band").where("x_label <> label AND coalesce(x_pivot <> pivot, true) AND (NOT aside OR x < node)")
               .groupBy(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).count()
@@ -404,7 +404,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int]
         told = written(sent(with_hubs(pivot.where("node <> pivot").select(F.col("pivot").alias("hub"), "node")))
                        .applyInArrow(lambda t: differences(t, similar), "pivot long, node long, size long, diff long, far boolean, element long"))
         links = links.union(told.where("NOT far").select("pivot", "node").distinct())
-        across = across.union(around(told, now.select("node", "label").distinct()))
+        across = written(across).union(around(told, now.select("node", "label").distinct()))
     across = written(across.join(tested, ["x", "y"], "left_anti").select(F.col("x").alias("hub"), F.col("y").alias("node")))
     if crowded or not across.isEmpty():
         labels = components(links.union(written(linked(on_a_grid(across)))))
